@@ -95,9 +95,16 @@ def two_sided(
     ).select(*key, "f.side", "f.reason")
 
 
-def drift(records: DataFrame, authority: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """keys, field, got, expected - one row per field that differs (null-safe).
-    Records unknown to the authority are left to `reconcile`."""
+def drift(
+    records: DataFrame,
+    authority: DataFrame,
+    keys: Sequence[str],
+    fields: Sequence[str],
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """keys, carried columns, field, got, expected - one row per field that
+    differs (null-safe). Records unknown to the authority are left to
+    `reconcile`."""
     keys = list(keys)
     frozen = authority.select(*keys, *[F.col(f).alias("_x_" + f) for f in fields])
     joined = lookup_join(records, frozen, keys, "inner")
@@ -117,7 +124,7 @@ def drift(records: DataFrame, authority: DataFrame, keys: Sequence[str], fields:
         ),
         lambda v: v.isNotNull(),
     )
-    return joined.select(*keys, F.explode(found).alias("d")).select(*keys, "d.*")
+    return joined.select(*keys, *carry, F.explode(found).alias("d")).select(*keys, *carry, "d.*")
 
 
 def exact_difference(a: DataFrame, b: DataFrame) -> DataFrame:
