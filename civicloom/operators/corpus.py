@@ -83,7 +83,7 @@ def groups_whole(groups: DataFrame, members: DataFrame, entries: DataFrame) -> D
     """grp, member, kind. groups(grp); members(grp, member), distinct;
     entries(member, answers). A missing member, a member that does not point
     back, a group of fewer than two, an entry answering no known group."""
-    known = members.join(groups.select("grp").distinct(), "grp", "left_semi")
+    known = lookup_join(members, groups.select("grp").distinct(), ["grp"], "left_semi")
     entry = entries.select("member", "answers", F.lit(True).alias("_in"))
     linked = lookup_join(known, entry, ["member"])
     broken = linked.withColumn(
@@ -197,3 +197,18 @@ def untraceable_figures(
     joined = found.join(flat, list(keys))
     lost = F.filter("_f", lambda x: ~F.col("_flat").contains(F.regexp_replace(x, r"\s+", "")))
     return joined.select(*keys, F.explode(lost).alias("figure"))
+
+
+def hotlines(agencies: DataFrame, numbers: DataFrame, key: str) -> DataFrame:
+    """key, number, gap: dialable numbers of agencies whose list was obtained
+    and is not empty; every other agency shows its gap instead. Numbers stay
+    rows; an agency's list is never gathered."""
+    ready = agencies.where(F.col("status") == "obtained").select(key)
+    listed = lookup_join(numbers, ready, [key], "inner").select(
+        key, T.tel(F.col("number")).alias("number"), F.lit(None).cast("string").alias("gap")
+    )
+    n = R.key_counts(agencies.select(key), listed.select(key), [key])
+    silent = n.where((F.col("in_left") > 0) & (F.col("in_right") == 0)).select(
+        key, F.lit(None).cast("string").alias("number"), F.lit("not-obtained").alias("gap")
+    )
+    return listed.unionByName(silent)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicloom.operators import search as S
+from civicloom.operators.skew import lookup_join
 
 
 def job_search(
@@ -42,3 +43,28 @@ def job_revision(history: DataFrame, current: DataFrame, derived: DataFrame) ->
         F.lit("page-to-recheck").alias("kind"), F.col("file").cast("string").alias("file"), "slug"
     )
     return changed.unionByName(stale)
+
+
+def job_publish(
+    lines: DataFrame, entries: DataFrame, known: DataFrame, key: str, facts: dict[str, Column], locales: list[str]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(content, body lines, ledger) of every record.
+
+    lines: key, pos and the five step fields; entries: key and fact columns;
+    known: key, eligibility and what the enumeration says is present."""
+    from civicloom.operators import records as RC
+
+    parted = RC.sectioned(lines, [key])
+    says = {n: F.col("k_other") for n in ("output", "eligibility", "requirements")}
+    says |= {"fees": F.col("k_fees"), "processingTime": F.col("k_time")}
+    content = (
+        RC.measures(parted, [key])
+        .join(known, key, "left")
+        .withColumn("notStated", RC.not_stated(says))
+        .drop("k_other", "k_fees", "k_time")
+    )
+    filed = lookup_join(parted, entries.select(key), [key], "left_semi")
+    body = RC.render(entries, filed, [key], facts, locales)
+    source = filed.select(key, "pos", F.concat_ws(" ", *[F.col(f) for f in RC.STEP_FIELDS]).alias("text"))
+    ledger = RC.unrendered(source, body.where(F.col("locale") == locales[0]), [key], "pos", "text")
+    return content, body, ledger
