@@ -127,38 +127,36 @@ def parted(t: Tables):
     return RC.sectioned(lines(t), ["l_orderkey"])
 
 
-TOTALS = f"""{STEPS}, tot AS (SELECT l_orderkey, max(i) FILTER (WHERE is_total) AS tpos FROM steps GROUP BY 1)"""
+PARTS = f"""{STEPS}, marks AS (SELECT l_orderkey, max(i) FILTER (WHERE is_total) AS tpos, min(i) FILTER (WHERE timed) AS fpos FROM steps GROUP BY 1),
+pt AS (SELECT s.*, CASE WHEN i < fpos THEN 'requirement' WHEN i = tpos THEN 'total' ELSE 'step' END AS part
+  FROM steps s JOIN marks m ON m.l_orderkey = s.l_orderkey)"""
 
 
-@query("win_total_row", f"""WITH {TOTALS}
-SELECT s.l_orderkey, count(*) FILTER (WHERE i IS DISTINCT FROM tpos) AS steps, max(fee) FILTER (WHERE i = tpos) AS total_fee,
-  max(processingTime) FILTER (WHERE i = tpos) AS total_time FROM steps s JOIN tot ON tot.l_orderkey = s.l_orderkey GROUP BY 1""")
+@query("win_total_row", f"""WITH {PARTS}
+SELECT l_orderkey, count(*) FILTER (WHERE part = 'step') AS steps, max(fee) FILTER (WHERE part = 'total') AS total_fee,
+  max(processingTime) FILTER (WHERE part = 'total') AS total_time FROM pt GROUP BY 1""")
 def _(t):
     return RC.measures(parted(t), ["l_orderkey"]).select(
         "l_orderkey", F.col("rows").alias("steps"), F.col("totalFee").alias("total_fee"), F.col("totalProcessingTime").alias("total_time")
     )
 
 
-@query("win_first_real", f"""WITH {TOTALS}, f AS (SELECT l_orderkey, min(i) FILTER (WHERE timed) AS fpos FROM steps GROUP BY 1)
-SELECT s.l_orderkey, s.i AS pos, CASE WHEN i = tpos THEN 'total' WHEN i < fpos THEN 'requirement' ELSE 'step' END AS part
-FROM steps s JOIN f ON f.l_orderkey = s.l_orderkey JOIN tot ON tot.l_orderkey = s.l_orderkey""")
+@query("win_first_real", f"""WITH {PARTS} SELECT l_orderkey, i AS pos, part FROM pt""")
 def _(t):
     return parted(t).select("l_orderkey", "pos", "part")
 
 
-@query("agg_distinct_values", f"""WITH {TOTALS},
-v AS (SELECT s.l_orderkey, i, fee, i IS NOT DISTINCT FROM tpos AS late FROM steps s JOIN tot ON tot.l_orderkey = s.l_orderkey)
-SELECT l_orderkey, fee AS value, bool_and(late) AS from_total, coalesce(min(i) FILTER (WHERE NOT late), min(i)) AS first_pos
-FROM v WHERE fee IS NOT NULL GROUP BY 1, 2""")
+@query("agg_distinct_values", f"""WITH {PARTS}
+SELECT l_orderkey, fee AS value, bool_and(part = 'total') AS from_total, coalesce(min(i) FILTER (WHERE part <> 'total'), min(i)) AS first_pos
+FROM pt WHERE fee IS NOT NULL GROUP BY 1, 2""")
 def _(t):
     out = RC.distinct_values(parted(t), ["l_orderkey"], "fee")
     return out.select("l_orderkey", "value", F.col("at.is_total").alias("from_total"), F.col("at.pos").alias("first_pos"))
 
 
 @query("fn_fees_fallback", f"""WITH {STEPS},
-k AS (SELECT *, CASE WHEN l_orderkey IN (SELECT l_orderkey FROM steps WHERE l_tax_zero) THEN fee END AS kept FROM
-  (SELECT *, l_suppkey < 50 AS l_tax_zero FROM steps))
-SELECT l_orderkey, kept AS value FROM k WHERE kept IS NOT NULL GROUP BY 1, 2
+k AS (SELECT l_orderkey, CASE WHEN l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey < 50) THEN fee END AS kept, fee FROM steps)
+SELECT DISTINCT l_orderkey, kept AS value FROM k WHERE kept IS NOT NULL
 UNION SELECT l_orderkey, fee FROM k WHERE fee IS NOT NULL AND l_orderkey NOT IN (SELECT l_orderkey FROM k WHERE kept IS NOT NULL)""")
 def _(t):
     # Records without a low-numbered supplier lose their fee column; the figure
@@ -187,11 +185,11 @@ def enumerated(t: Tables):
     )
 
 
-NOT_STATED = f"""{TOTALS},
-x AS (SELECT s.l_orderkey, count(fee) FILTER (WHERE i IS DISTINCT FROM tpos) AS nf, count(processingTime) FILTER (WHERE i IS DISTINCT FROM tpos) AS np,
-  max(fee) FILTER (WHERE i = tpos) AS tf, max(processingTime) FILTER (WHERE i = tpos) AS tp, count(clientStep) FILTER (WHERE i IS DISTINCT FROM tpos) AS nr,
-  count(*) AS n_lines, count(*) FILTER (WHERE i IS DISTINCT FROM tpos) AS n_steps
-  FROM steps s JOIN tot ON tot.l_orderkey = s.l_orderkey GROUP BY 1),
+NOT_STATED = f"""{PARTS},
+x AS (SELECT l_orderkey, count(fee) FILTER (WHERE part = 'step') AS nf, count(processingTime) FILTER (WHERE part = 'step') AS np,
+  max(fee) FILTER (WHERE part = 'total') AS tf, max(processingTime) FILTER (WHERE part = 'total') AS tp,
+  count(clientStep) FILTER (WHERE part = 'requirement') AS nr, count(*) AS n_lines, count(*) FILTER (WHERE part = 'step') AS n_steps
+  FROM pt GROUP BY 1),
 ns AS (SELECT o_orderkey AS l_orderkey, concat_ws(',', 'whereToGo', 'officeHours', CASE WHEN o_orderpriority <> '5-LOW' THEN 'output' END,
   CASE WHEN o_totalprice <= 450000 AND o_orderpriority <> '5-LOW' THEN 'eligibility' END,
   CASE WHEN coalesce(nr, 0) = 0 AND o_orderpriority <> '5-LOW' THEN 'requirements' END,
@@ -208,10 +206,10 @@ def _(t):
     return j.select("l_orderkey", F.array_join(RC.not_stated(known), ",").alias("not_stated"))
 
 
-@query("win_confidence", f"""WITH {TOTALS},
-x AS (SELECT s.l_orderkey, count(*) AS n, count(*) FILTER (WHERE timed) AS timed,
+@query("win_confidence", f"""WITH {PARTS},
+x AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE timed) AS timed,
    count(agencyAction) + count(clientStep) AS prose, count(*) FILTER (WHERE agencyAction LIKE '% for') AS dangling
-   FROM steps s JOIN tot ON tot.l_orderkey = s.l_orderkey WHERE i IS DISTINCT FROM tpos GROUP BY 1),
+   FROM pt WHERE part = 'step' GROUP BY 1),
 rq AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_quantity > 25) AS paired, count(*) FILTER (WHERE l_partkey < 5) AS bad FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS l_orderkey, CASE WHEN o_orderpriority = '5-LOW' OR x.n IS NULL THEN 'needs-human'
   WHEN x.n <= 20 AND timed = 0 THEN 'needs-human'
@@ -283,15 +281,15 @@ def published(t: Tables):
     return job_publish(lines(t), entries, enumerated(t), "l_orderkey", facts(), ["en", "fil"])
 
 
-@query("snk_render_records", f"""WITH {TOTALS},
-b AS (SELECT s.*, tpos FROM steps s JOIN tot ON tot.l_orderkey = s.l_orderkey WHERE s.l_orderkey IN (SELECT o_orderkey FROM orders)),
-q AS (SELECT * FROM b WHERE i IS DISTINCT FROM tpos),
+RENDERED = f"""{PARTS},
+b AS (SELECT * FROM pt WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
 st AS (SELECT l_orderkey, 3 AS block, i AS line_no, '| ' || coalesce(clientStep, '') || ' | ' || coalesce(agencyAction, '') || ' | ' || coalesce(fee, '')
-    || ' | ' || coalesce(processingTime, '') || ' | ' || coalesce(personResponsible, '') || ' |' AS line FROM q
-    WHERE coalesce(clientStep, agencyAction, fee, processingTime, personResponsible) IS NOT NULL),
-rq AS (SELECT l_orderkey, 2 AS block, i AS line_no, '| ' || clientStep || ' | ' || coalesce(personResponsible, '—') || ' |' AS line FROM q WHERE clientStep IS NOT NULL),
+    || ' | ' || coalesce(processingTime, '') || ' | ' || coalesce(personResponsible, '') || ' |' AS line FROM b WHERE part = 'step'
+    AND coalesce(clientStep, agencyAction, fee, processingTime, personResponsible) IS NOT NULL),
+rq AS (SELECT l_orderkey, 2 AS block, i AS line_no, '| ' || clientStep || ' | ' || coalesce(personResponsible, '—') || ' |' AS line
+  FROM b WHERE part = 'requirement' AND clientStep IS NOT NULL),
 tl AS (SELECT l_orderkey, 4 AS block, 0 AS line_no, '| **TOTAL** | | **' || coalesce(fee, '') || '** | **' || coalesce(processingTime, '') || '** | |' AS line
-  FROM b WHERE i = tpos AND l_orderkey IN (SELECT l_orderkey FROM st)),
+  FROM b WHERE part = 'total' AND l_orderkey IN (SELECT l_orderkey FROM st)),
 f AS (SELECT o_orderkey AS l_orderkey, 1 AS block, n - 1 AS line_no, line FROM (
    SELECT o_orderkey, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT o_orderkey, list_concat(['| | |', '| --- | --- |',
      '| Office or Division | ' || o_orderpriority || ' |'], CASE WHEN o_orderstatus <> 'P' THEN ['| Classification | ' || o_orderstatus || ' |'] ELSE [] END) AS ls FROM orders))),
@@ -302,24 +300,29 @@ hd AS (
     FROM (SELECT DISTINCT l_orderkey FROM rq) k, l
   UNION ALL SELECT k.l_orderkey, locale, 3, unnest([-3, -2, -1]), unnest([h,
     '| Client steps | Agency action | Fees to be paid | Processing time | Person responsible |', '| --- | --- | --- | --- | --- |'])
-    FROM (SELECT DISTINCT l_orderkey FROM st) k, l)
-SELECT p.l_orderkey, locale, block, line_no, line FROM plain p, l UNION ALL SELECT l_orderkey, locale, block, line_no, line FROM hd""")
+    FROM (SELECT DISTINCT l_orderkey FROM st) k, l),
+body AS (SELECT p.l_orderkey, locale, block, line_no, line FROM plain p, l UNION ALL SELECT l_orderkey, locale, block, line_no, line FROM hd)"""
+
+
+@query("snk_render_records", f"WITH {RENDERED} SELECT * FROM body")
 def _(t):
     return published(t)[1]
 
 
-HELD = f"""{TOTALS},
-s AS (SELECT steps.*, count(*) FILTER (WHERE i IS DISTINCT FROM tpos) OVER (PARTITION BY steps.l_orderkey) AS others
-  FROM steps JOIN tot ON tot.l_orderkey = steps.l_orderkey WHERE steps.l_orderkey IN (SELECT o_orderkey FROM orders))"""
+HELD = f"""{RENDERED},
+have AS (SELECT DISTINCT l_orderkey, unnest(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+')) AS tok FROM body WHERE locale = 'en'),
+want AS (SELECT l_orderkey, i AS pos, unnest(regexp_extract_all(lower(concat_ws(' ', clientStep, agencyAction, fee, processingTime, personResponsible)),
+  '[\\p{{L}}\\p{{N}}]+')) AS tok FROM b),
+lost AS (SELECT DISTINCT l_orderkey, pos FROM want w WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.l_orderkey = w.l_orderkey AND h.tok = w.tok))"""
 
 
-@query("txt_completeness", f"WITH {HELD} SELECT l_orderkey, i AS pos FROM s WHERE others = 0")
+@query("txt_completeness", f"""WITH {HELD} SELECT l_orderkey, pos FROM lost""")
 def _(t):
     return published(t)[2]
 
 
-@query("agg_ledger_totals", f"""WITH {HELD}
-SELECT count(DISTINCT l_orderkey) AS services, count(*) FILTER (WHERE others > 0) AS carried, count(*) FILTER (WHERE others = 0) AS held FROM s""")
+@query("agg_ledger_totals", f"""WITH {HELD} SELECT count(DISTINCT l_orderkey) AS services, count(*) - (SELECT count(*) FROM lost) AS carried,
+  (SELECT count(*) FROM lost) AS held FROM b""")
 def _(t):
     content, _, held = published(t)
     kept = content.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")

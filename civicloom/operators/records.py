@@ -36,15 +36,15 @@ def is_total() -> Column:
 
 
 def sectioned(lines: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
-    """Lines with `part`: the last total row is the `total`; rows before the
-    first timed row are `requirement` rows that ran past the header; the rest
-    are `step` rows. Without any timed row nothing is a requirement."""
+    """Lines with `part`: rows before the first timed row are `requirement` rows
+    that ran past the header (none, if no row is timed); of the others the last
+    total row is the `total` and the rest are `step` rows."""
     marks = lines.groupBy(*keys).agg(
         F.max(F.when(is_total(), F.col(pos))).alias("_total"), F.min(F.when(is_timed(), F.col(pos))).alias("_first")
     )
     out = lookup_join(lines, marks, keys, "inner")
     part = (
-        F.when(F.col(pos) == F.col("_total"), "total").when(F.col(pos) < F.col("_first"), "requirement").otherwise("step")
+        F.when(F.col(pos) < F.col("_first"), "requirement").when(F.col(pos) == F.col("_total"), "total").otherwise("step")
     )
     return out.withColumn("part", part).drop("_total", "_first")
 
@@ -82,7 +82,7 @@ def fees_or_prose(parted: DataFrame, keys: Sequence[str], prose: str, pos: str =
 
 def measures(parted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per record: everything the record-level rules ask about it."""
-    step = F.col("part") != "total"
+    step, total = F.col("part") == "step", F.col("part") == "total"
     cells = [F.trim(F.regexp_replace(c, LOOSE_STEP, "")) for c in ("clientStep", "agencyAction")]
 
     def cell_count(test):
@@ -95,11 +95,11 @@ def measures(parted: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("lines"),
         F.count_if(step).alias("rows"),
         F.count_if(step & is_timed()).alias("timed"),
-        F.count_if(step & F.col("clientStep").isNotNull()).alias("requirements"),
+        F.count_if((F.col("part") == "requirement") & F.col("clientStep").isNotNull()).alias("requirements"),
         F.count_if(step & F.col("fee").isNotNull()).alias("fees"),
         F.count_if(step & F.col("processingTime").isNotNull()).alias("times"),
-        F.max(F.when(~step, F.col("fee"))).alias("totalFee"),
-        F.max(F.when(~step, F.col("processingTime"))).alias("totalProcessingTime"),
+        F.max(F.when(total, F.col("fee"))).alias("totalFee"),
+        F.max(F.when(total, F.col("processingTime"))).alias("totalProcessingTime"),
         cell_count(lambda c: c.isNotNull()).alias("prose"),
         cell_count(lambda c: (F.length(c) < 3) | ~c.rlike(r"\p{L}")).alias("fragments"),
         cell_count(lambda c: c.rlike(DANGLING)).alias("dangling"),
@@ -215,18 +215,18 @@ def render(
     fact_lines = entries.withColumn("locale", loc).select(
         *keys, "locale", F.lit(1).alias("block"), F.posexplode(table).alias("line_no", "line")
     ).withColumn("line_no", F.col("line_no").cast("long"))
-    req = rows.where((F.col("part") != "total") & F.col("clientStep").isNotNull())
+    req = rows.where((F.col("part") == "requirement") & F.col("clientStep").isNotNull())
     req_lines = emit(
         req, 2, F.col(pos),
         F.concat(F.lit("| "), cell(F.col("clientStep")), F.lit(" | "), cell(F.coalesce("personResponsible", F.lit("—"))), F.lit(" |")),
     )
-    step = content_steps(rows.where(F.col("part") != "total"))
+    step = content_steps(rows.where(F.col("part") == "step"))
     step_lines = emit(
         step, 3, F.col(pos), F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(F.col(f)) for f in STEP_FIELDS]), F.lit(" |"))
     )
     per_record = rows.groupBy(*keys, "locale").agg(
-        F.count_if((F.col("part") != "total") & F.col("clientStep").isNotNull()).alias("_req"),
-        F.count_if((F.col("part") != "total") & F.coalesce(*[F.col(f) for f in STEP_FIELDS]).isNotNull()).alias("_step"),
+        F.count_if((F.col("part") == "requirement") & F.col("clientStep").isNotNull()).alias("_req"),
+        F.count_if((F.col("part") == "step") & F.coalesce(*[F.col(f) for f in STEP_FIELDS]).isNotNull()).alias("_step"),
         F.max(F.when(F.col("part") == "total", F.struct("fee", "processingTime"))).alias("_total"),
     )
     req_heads = heads(per_record.where(F.col("_req") > 0), 2, [titled("requirements"), REQ_HEAD, "| --- | --- |"])
