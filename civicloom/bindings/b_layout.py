@@ -115,16 +115,6 @@ def _(t):
     return L.gutters(lines).drop("doc")
 
 
-def named(t: Tables, lines):
-    body = lines.where(~L.is_header(F.col("text")))
-    cols = L.columns(L.gutters(body))
-    placed = L.place(body, cols)
-    return L.name_columns(cols, placed, L.header_fragments(lines)), placed
-
-
-HEADED = """hl AS (SELECT page FROM (SELECT o_orderkey AS page FROM orders WHERE o_orderstatus <> 'P'))"""
-
-
 def headed_layout(t: Tables):
     """The steps tables with their column headers, where they have them."""
     heads = page_lines(t).where(F.col("y0") == 160)
@@ -135,10 +125,17 @@ NAMED = f"""{ITEMS}, nm(col, key, guess) AS (VALUES (0, 'clientStep', 'position'
   (3, 'processingTime', 'content'), (4, 'personResponsible', 'position'))"""
 
 
+@query("win_columns", f"""WITH {ITEMS},
+g(col, x0, x1) AS (VALUES (0, NULL, 160.0), (1, 160.0, 300.0), (2, 300.0, 370.0), (3, 370.0, 450.0), (4, 450.0, NULL))
+SELECT DISTINCT doc, page, col, x0, x1 FROM items, g""")
+def _(t):
+    return L.columns(L.gutters(table_layout(t)))
+
+
 @query("win_name_columns", f"""WITH {NAMED}
 SELECT DISTINCT doc, page, col, key, CASE WHEN o_orderstatus <> 'P' THEN 'header' ELSE guess END AS via FROM items, nm""")
 def _(t):
-    return named(t, headed_layout(t))[0].select("doc", "page", "col", "key", "via")
+    return L.table(headed_layout(t))[0]
 
 
 CELLS = f"""{ITEMS}, cells AS (SELECT doc, page, i, o_orderstatus, unnest(['clientStep', 'agencyAction', 'fee', 'processingTime', 'personResponsible']) AS key,
@@ -147,9 +144,7 @@ CELLS = f"""{ITEMS}, cells AS (SELECT doc, page, i, o_orderstatus, unnest(['clie
 
 
 def cell_rows(t: Tables):
-    names, placed = named(t, headed_layout(t))
-    keyed = placed.join(names.select("doc", "page", "col", "key"), ["doc", "page", "col"])
-    return names, L.cells(keyed)
+    return L.table(headed_layout(t))
 
 
 @query("win_cells", f"WITH {CELLS} SELECT doc, page, key, text, 200.0 + 40 * i AS y0 FROM cells")
@@ -285,7 +280,7 @@ def _(t):
 
 
 @query("win_adjacent_groups", """
-WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) / 1000000.0 / 60 AS y0, epoch_us(ts) / 1000000.0 / 60 + value AS y1 FROM events),
+WITH e AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) / 1000000.0 / 60 AS y0, epoch_us(ts) / 1000000.0 / 60 + value AS y1 FROM events),
 c AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS turn FROM e WINDOW w AS (PARTITION BY user_id ORDER BY y0)),
 r AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY y0) AS run FROM c),
 x AS (SELECT *, max(y1) OVER (PARTITION BY user_id, run ORDER BY y0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),

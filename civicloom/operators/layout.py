@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from civicloom.functions import text as T
-from civicloom.operators.intervals import range_join
-from civicloom.operators.skew import Measure, following, lookup_join, ordinal, prefix_scan, previous
+from civicloom.operators.intervals import bin_by_cuts
+from civicloom.operators.skew import Measure, lookup_join, neighbours, prefix_scan, previous, settle
 
 # Column keys in document order, header fragments and markers.
 STEP_KEYS = ["clientStep", "agencyAction", "fee", "processingTime", "personResponsible"]
@@ -82,24 +82,31 @@ def gutters(lines: DataFrame, min_width: int = 5, wide: float = 0.55) -> DataFra
 def columns(gaps: DataFrame) -> DataFrame:
     """doc, page, col, x0, x1: ranges between gutter mid-points, open (null) at
     the ends. A page without a gutter has no columns."""
-    cuts = gaps.select(*PAGE, ((F.col("lo") + F.col("hi")) / 2).alias("cut"))
     by_cut = W.partitionBy(*PAGE).orderBy("cut")
-    inner = cuts.select(
-        *PAGE, F.row_number().over(by_cut).alias("col"), F.col("cut").alias("x0"), F.lead("cut").over(by_cut).alias("x1")
-    )
-    first = cuts.groupBy(*PAGE).agg(F.min("cut").alias("x1")).select(
-        *PAGE, F.lit(0).alias("col"), F.lit(None).cast("double").alias("x0"), "x1"
-    )
-    return first.unionByName(inner)
+    cuts = gaps.select(*PAGE, ((F.col("lo") + F.col("hi")) / 2).alias("cut"))
+    numbered = cuts.withColumn("n", F.row_number().over(by_cut)).withColumn("after", F.lead("cut").over(by_cut))
 
+    def column(col, x0, x1):
+        return F.struct(col.cast("int").alias("col"), x0.alias("x0"), x1.alias("x1"))
+
+    left = F.when(F.col("n") == 1, column(F.lit(0), F.lit(None).cast("double"), F.col("cut")))
+    both = F.filter(F.array(left, column(F.col("n"), F.col("cut"), F.col("after"))), lambda c: c.isNotNull())
+    return numbered.select(*PAGE, F.inline(both))
+
+
+def page_cuts(gaps: DataFrame) -> DataFrame:
+    """doc, page, cuts: the column borders of a page, of which there are at most
+    its width divided by the smallest gutter."""
+    return gaps.groupBy(*PAGE).agg(F.array_sort(F.collect_list((F.col("lo") + F.col("hi")) / 2)).alias("cuts"))
 
-def place(lines: DataFrame, cols: DataFrame) -> DataFrame:
-    """Lines with the column whose half-open range holds their centre."""
-    ranges = cols.select(*PAGE, "col", F.col("x0").alias("_lo"), F.col("x1").alias("_hi"))
-    out = range_join(
-        lines.withColumn("_c", centre()), ranges, PAGE, "_c", "_lo", "_hi", width=64.0, span=(0.0, 1024.0)
-    )
-    return out.drop("_c", "_lo", "_hi")
+
+def column_of(x: Column) -> Column:
+    return F.size(F.filter("cuts", lambda c: c <= x))
+
+
+def place(lines: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Lines of pages that have columns, with the one that holds their centre."""
+    return lookup_join(lines, cuts, PAGE, "inner").withColumn("col", column_of(centre())).drop("cuts")
 
 
 def header_fragments(lines: DataFrame) -> DataFrame:
@@ -118,8 +125,8 @@ def header_fragments(lines: DataFrame) -> DataFrame:
     return merged.withColumn("_all", F.sum("n").over(W.partitionBy(*PAGE))).where(F.col("_all") >= 2).drop("n", "_all")
 
 
-def name_columns(cols: DataFrame, placed: DataFrame, headers: DataFrame) -> DataFrame:
-    """cols with key and via (header / content / position).
+def name_columns(placed: DataFrame, headers: DataFrame, cuts: DataFrame) -> DataFrame:
+    """doc, page, col, key, via (header / content / position).
 
     A header names the column its centre falls in. Failing that, the column with
     the largest share of fee-shaped (then duration-shaped) lines takes that
@@ -127,18 +134,19 @@ def name_columns(cols: DataFrame, placed: DataFrame, headers: DataFrame) -> Data
     The windows run over the columns of a page, of which there are at most its
     width divided by the smallest gutter."""
     page = W.partitionBy(*PAGE)
-    head = range_join(
-        headers,
-        cols.select(*PAGE, "col", F.col("x0").alias("_lo"), F.col("x1").alias("_hi")),
-        PAGE, "centre", "_lo", "_hi", width=64.0, span=(0.0, 1024.0),
-    ).groupBy(*PAGE, "col").agg(F.min_by("key", "first").alias("by_header"))
     text = F.col("text")
     shares = placed.groupBy(*PAGE, "col").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(T.has_fee(text) | text.rlike(NO_FEE)).alias("fee_n"),
         F.count_if(T.has_duration(text)).alias("time_n"),
     )
-    out = cols.join(head, [*PAGE, "col"], "left").join(shares, [*PAGE, "col"], "left").withColumn("key", F.col("by_header"))
+    heads = (
+        headers.join(cuts, PAGE)
+        .withColumn("col", column_of(F.col("centre")))
+        .groupBy(*PAGE, "col")
+        .agg(F.min_by("key", "first").alias("by_header"))
+    )
+    out = shares.join(heads, [*PAGE, "col"], "left").withColumn("key", F.col("by_header"))
 
     def claim(df, key, hits):
         free = F.when(F.col("key").isNull() & (F.col("n") > 0) & (F.col(hits) > 0), F.col(hits) / F.col("n"))
@@ -164,7 +172,7 @@ def name_columns(cols: DataFrame, placed: DataFrame, headers: DataFrame) -> Data
         out.withColumn("_used", used)
         .withColumn("_rank", rank)
         .withColumn("key", F.coalesce("key", guess))
-        .select(*cols.columns, "key", "via")
+        .select(*PAGE, "col", "key", "via")
     )
 
 
@@ -214,11 +222,9 @@ def row_bands(cell_rows: DataFrame, page: Sequence[str] = ("doc", "page")) -> tu
         (F.col("n") < F.col("_most")) & (F.col("key") != "clientStep")
     ).select(*page, "key")
     spined = lookup_join(cell_rows, spine, page, "inner").where(F.col("key") == F.col("_spine")).select(*page, "y0", "y1")
-    piece = F.floor(F.col("y0") / TALL)
-    numbered = ordinal(spined, page, ["y0", "y1"], piece, "band")
-    order = ["y0", "y1"]
-    with_prev = previous(numbered, page, order, piece, {"_py1": "y1"})
-    both = following(with_prev, page, order, piece, {"_ny0": "y0"})
+    both = neighbours(
+        spined, page, ["y0", "y1"], F.floor(F.col("y0") / TALL), {"_py1": "y1"}, {"_ny0": "y0"}, number="band"
+    )
     bands = both.select(
         *page,
         "band",
@@ -232,14 +238,21 @@ def rows(cell_rows: DataFrame, bands: DataFrame, page: Sequence[str] = ("doc", "
     """page, band, key, text, y0: cells placed in the band their vertical centre
     falls in; several texts of one (band, key) join in y order."""
     page = list(page)
-    placed = range_join(
-        cell_rows.withColumn("_c", (F.col("y0") + F.col("y1")) / 2),
-        bands.select(*page, "band", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")),
-        page, "_c", "_lo", "_hi", width=64.0, span=(0.0, 4096.0),
-    )
-    return placed.groupBy(*page, "band", "key").agg(
-        joined_text(["y0"]).alias("text"), F.min("y0").alias("y0")
-    )
+    middle = cell_rows.withColumn("_c", (F.col("y0") + F.col("y1")) / 2)
+    placed = bin_by_cuts(middle, bands, page, "_c", "lo", "band", TALL)
+    return placed.groupBy(*page, "band", "key").agg(joined_text(["y0"]).alias("text"), F.min("y0").alias("y0"))
+
+
+def table(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(names, cells) of the tables on every page that has columns. Headers name
+    columns but are not content. The placed lines and the cells are written once
+    because the band, row and naming passes all start from them."""
+    content = lines.where(~is_header(F.col("text")))
+    cuts = page_cuts(gutters(content))
+    placed = settle(place(content, cuts))
+    names = settle(name_columns(placed, header_fragments(lines), cuts))
+    keyed = lookup_join(placed, names.select(*PAGE, "col", "key"), [*PAGE, "col"], "inner")
+    return names, settle(cells(keyed))
 
 
 def demoted(row_cells: DataFrame, named: DataFrame, page: Sequence[str] = ("doc", "page")) -> DataFrame:

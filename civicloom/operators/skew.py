@@ -7,10 +7,11 @@ handled on its own, and only the much smaller per-piece summaries meet.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,6 +37,28 @@ def lookup_join(
     return many.join(one, on + ["_salt"], how).drop("_salt")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir. Only a local
+    session without one gets a temporary folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    folder = tempfile.mkdtemp(prefix="civicloom-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write `df` once to the shared checkpoint folder and go on from there, so
+    that several later passes do not each repeat what led to it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 @dataclass(frozen=True)
 class Measure:
     """One running value: kind is count, sum, max, min or last (non-null)."""
@@ -114,33 +137,56 @@ def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Colum
     return prefix_scan(df, by, order, chunk, [Measure(name, "count", F.lit(1))])
 
 
-def previous(df: DataFrame, by, order, chunk: Column, values: dict[str, str]) -> DataFrame:
-    """The named columns of the row before, across piece borders; null at the start."""
-    packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
-    out = prefix_scan(df, by, order, chunk, [Measure("_prev", "last", packed, inclusive=False)])
-    return out.select(*df.columns, *[F.col("_prev")[n].alias(n) for n in values])
-
-
-def following(df: DataFrame, by, order, chunk: Column, values: dict[str, str]) -> DataFrame:
-    """The named columns of the row after, across piece borders; null at the end.
+def neighbours(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    before: dict[str, str] | None = None,
+    after: dict[str, str] | None = None,
+    number: str | None = None,
+) -> DataFrame:
+    """Columns of the row before and after (new name -> column), across piece
+    borders, null at the ends; and the row's number within the group.
 
-    Inside a piece this is `lead`; at its last row it is the first row of the
-    next piece that has any.
-    """
+    Inside a piece these are lag, lead and row_number; at a border the last and
+    first rows of the neighbouring pieces stand in."""
     by = list(by)
+    before, after = before or {}, after or {}
     keyed = df.withColumn("_chunk", chunk)
     local = W.partitionBy(*by, "_chunk").orderBy(*order)
-    packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
-    rows = keyed.withColumn("_next", F.lead(packed).over(local))
+    at = F.struct(*[F.col(c) for c in order])
+
+    def packed(names):
+        return F.struct(*[F.col(c).alias(n) for n, c in names.items()])
+
+    rows, ends = keyed, [F.count(F.lit(1)).alias("_n")]
+    if before:
+        rows = rows.withColumn("_prev", F.lag(packed(before)).over(local))
+        ends.append(F.max_by(packed(before), at).alias("_tail"))
+    if after:
+        rows = rows.withColumn("_next", F.lead(packed(after)).over(local))
+        ends.append(F.min_by(packed(after), at).alias("_head"))
+    if number:
+        rows = rows.withColumn("_i", F.row_number().over(local))
     pieces = W.partitionBy(*by).orderBy("_chunk")
-    heads = (
-        keyed.groupBy(*by, "_chunk")
-        .agg(F.min_by(packed, F.struct(*[F.col(c) for c in order])).alias("_head"))
-        .select(*by, "_chunk", F.lead("_head").over(pieces).alias("_after"))
-    )
-    out = rows.join(heads, by + ["_chunk"], "left")
-    nxt = F.coalesce("_next", "_after")
-    return out.select(*df.columns, *[nxt[n].alias(n) for n in values])
+    carry = [F.sum("_n").over(pieces.rowsBetween(W.unboundedPreceding, -1)).alias("_skip")]
+    carry += [F.lag("_tail").over(pieces).alias("_from")] if before else []
+    carry += [F.lead("_head").over(pieces).alias("_to")] if after else []
+    out = rows.join(keyed.groupBy(*by, "_chunk").agg(*ends).select(*by, "_chunk", *carry), [*by, "_chunk"], "left")
+    cols = [F.col(c) for c in df.columns]
+    cols += [F.coalesce("_prev", "_from")[n].alias(n) for n in before]
+    cols += [F.coalesce("_next", "_to")[n].alias(n) for n in after]
+    cols += [(F.coalesce("_skip", F.lit(0)) + F.col("_i")).alias(number)] if number else []
+    return out.select(*cols)
+
+
+def previous(df: DataFrame, by, order, chunk: Column, values: dict[str, str]) -> DataFrame:
+    return neighbours(df, by, order, chunk, before=values)
+
+
+def following(df: DataFrame, by, order, chunk: Column, values: dict[str, str]) -> DataFrame:
+    return neighbours(df, by, order, chunk, after=values)
 
 
 def first_n(df: DataFrame, by: Sequence[str], order: Sequence, n: int, name: str = "rank") -> DataFrame:
