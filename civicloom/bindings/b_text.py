@@ -299,11 +299,11 @@ def _(t):
 
 
 @query("txt_rendered_all", """
-SELECT doc_id, k, length(item) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS item, generate_subscripts(string_split(text, chr(10)), 1) AS k, upper(text) AS page, source FROM documents)
+SELECT doc_id, k, length(item) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS item, generate_subscripts(string_split(text, chr(10)), 1) AS k, text AS page, source FROM documents)
 WHERE source = 'src7' AND k > 1 AND regexp_matches(item, '[\\p{L}\\p{N}]') AND NOT contains(regexp_replace(lower(split_part(page, chr(10), 1)), '[^\\p{L}\\p{N}]+', '', 'g'), regexp_replace(lower(item), '[^\\p{L}\\p{N}]+', '', 'g'))""")
 def _(t):
     # One source publishes only the first line of its records.
-    page = F.when(F.col("source") == "src7", F.upper(F.split_part("text", F.lit("\n"), F.lit(1)))).otherwise(F.upper("text"))
+    page = F.when(F.col("source") == "src7", F.split_part("text", F.lit("\n"), F.lit(1))).otherwise(F.concat(F.lit("> "), "text"))
     flat = t.documents.select("doc_id", T.squash(page).alias("flat"), F.split("text", "\n").alias("items"))
     lost = F.filter(
         F.transform("items", lambda x, i: F.struct((i + 1).alias("k"), x.alias("item"))),
@@ -508,9 +508,6 @@ def _(t):
     )
 
 
-CONDITION_SQL = None
-
-
 @query("win_next_hours", """
 WITH e AS (SELECT event_id, event_type, user_id, CAST(value AS DECIMAL(10,2)) AS v, CAST(floor(value) AS INTEGER) % 100 AS code, date_trunc('hour', ts) AS h, ts FROM events WHERE event_type IN ('view', 'click')),
 r AS (SELECT *, unnest(range(5)) AS k FROM e),
