@@ -68,3 +68,178 @@ def job_publish(
     source = filed.select(key, "pos", F.concat_ws(" ", *[F.col(f) for f in RC.STEP_FIELDS]).alias("text"))
     ledger = RC.unrendered(source, body.where(F.col("locale") == locales[0]), [key], "pos", "text")
     return content, body, ledger
+
+
+def job_enumerate(lines: DataFrame, doc: str, pos: str = "pos", text: str = "text", chunk: int = 4096) -> DataFrame:
+    """Text lines of documents -> one row per service: id, section, number,
+    title, office, classification and which of six fields its block carries.
+
+    A service's block runs from its anchor line to the next one. Everything
+    about a block is a partial aggregate over its lines."""
+    from civicloom.functions import text as T
+    from civicloom.operators import records as RC
+    from civicloom.operators import segments as SG
+    from civicloom.operators.skew import settle
+
+    line = F.col(text)
+    kept = lines.where(~line.rlike(r"(?i)^\s*\d+\s*\|\s*Page\s*$") & (F.trim(line) != ""))
+    barrier = line.rlike(r"(?i)CHECKLIST\s+OF\s+REQUIREMENTS") | line.rlike(SG.TOTAL)
+    found = settle(SG.services(kept, doc, pos, text, bound=15, barrier=barrier, chunk=chunk))
+    numbered = SG.with_ids(found, doc, T.stem(F.col(doc)), chunk)
+    # The n-th anchor of a document opens its n-th block.
+    block = settle(SG.segment(kept, [doc], [pos], line.rlike(SG.ANCHOR), F.floor(F.col(pos) / chunk)))
+
+    def first(label):
+        value = T.inline_field(line, label)
+        return F.min_by(value, F.when(value.isNotNull(), F.col(pos)))
+
+    facts = block.groupBy(doc, "seg").agg(
+        F.min(pos).alias("anchor"),
+        T.tidy(first("Office or Division")).alias("office"),
+        T.tidy(first("Classification")).alias("classification"),
+        first("Who may avail").alias("_who"),
+        F.max(line.rlike(r"(?i)CHECKLIST\s+OF\s+REQUIREMENTS")).alias("_req"),
+        F.max(line.rlike(r"(?i)^\s*Output\s*(?::|\s{2,})")).alias("_out"),
+    )
+    header = SG.header_region(block, [doc, "seg"], pos, text, line.rlike(r"(?i)CLIENT\s+STEPS"))
+    out = numbered.join(facts, [doc, "anchor"]).join(header, [doc, "seg"], "left")
+    flag = lambda c: F.when(F.coalesce(c, F.lit(False)), "present").otherwise("absent")
+    return out.select(
+        doc, "id", "section", "number", "title",
+        F.when(F.col("title").isNotNull(), "extracted").otherwise("not-in-layout").alias("title_status"),
+        "office", "classification",
+        RC.presence(F.col("_who")).alias("eligibility"),
+        flag(F.col("_req")).alias("requirements"),
+        flag(F.col("header").rlike("(?i)FEESTOBE")).alias("fees"),
+        flag(F.col("header").rlike("(?i)PROCESSIN")).alias("processing_time"),
+        RC.presence(F.col("office")).alias("owning_office"),
+        flag(F.col("_out")).alias("output"),
+    )
+
+
+def job_extract(layout: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Layout lines -> (services, steps).
+
+    services: doc, service, section, number, title, the labelled fields, the
+    record measures and the confidence of the extraction. steps: one row per
+    rebuilt table row with the five columns and its part. Lines and cells are
+    written once each; every later pass starts from there."""
+    from civicloom.functions import text as T
+    from civicloom.operators import intervals as I
+    from civicloom.operators import layout as L
+    from civicloom.operators import records as RC
+    from civicloom.operators import segments as SG
+    from civicloom.operators.skew import ordinal, settle
+
+    line = F.col("text")
+    # Reading order; a page is a piece of its document.
+    order = ["page", "y0", "x0", "text"]
+    kept = layout.where(~L.is_furniture(line))
+    lines = settle(ordinal(kept, ["doc"], order, F.floor(F.col("page") / 16), "pos"))
+    barrier = line.rlike(SG.REQUIREMENTS) | line.rlike(RC.TOTAL_LABEL) | L.is_header(line)
+    found = settle(SG.services(lines, "doc", "pos", "text", bound=18, barrier=barrier))
+    body = SG.assign(lines, found, "doc", "pos")
+    body = settle(body.withColumn("owner", F.col("doc")).withColumn("doc", F.concat_ws("#", "doc", "service")))
+    number_of = ordinal(found, ["doc"], ["start"], F.floor(F.col("start") / 4096), "service")
+
+    # The four labelled fields: on the label's own line, else nearest to its right.
+    labels = {"office": "office or division", "classification": "classification",
+              "transaction": "type of transaction", "who": "who may avail"}
+    alone = {k: r"(?i)^" + v.replace(" ", r"\s+") + r"\s*[:?]?\s*$" for k, v in labels.items()}
+    name = F.lit(None).cast("string")
+    for k, p in alone.items():
+        name = F.when(line.rlike(p), k).otherwise(name)
+    marked = body.withColumn("label", name)
+    beside = I.nearest_right(
+        marked.where(F.col("label").isNotNull()).select("doc", "page", "label", "pos", "x1", "y0", "y1"),
+        marked.where(F.col("label").isNull() & T.has_word_char(line)).select("doc", "page", "x0", "y0", "y1", "text"),
+        ["doc", "page"], "pos",
+    ).select("doc", "label", "pos", F.col("value.text").alias("value"))
+    inline = body.select("doc", "pos", F.inline(F.filter(F.array(*[
+        F.struct(F.lit(k).alias("label"), T.inline_field(line, v).alias("value")) for k, v in labels.items()
+    ]), lambda x: x["value"].isNotNull())))
+    fields = (
+        beside.where(F.col("value").isNotNull()).unionByName(inline)
+        .groupBy("doc")
+        .agg(*[F.min_by("value", F.when(F.col("label") == k, F.col("pos"))).alias(k) for k in labels])
+    )
+
+    # Steps start below the steps header, else below the checklist heading.
+    squashed = T.squash_header(line)
+    starts = body.groupBy("doc").agg(
+        F.min(F.when(line.rlike(SG.REQUIREMENTS), F.col("pos"))).alias("_req"),
+        F.min(F.when(~line.rlike("[a-z]") & squashed.rlike(r"^(CLIENT|AGENCY)(STEPS?|ACTIONS?)?$"), F.col("pos"))).alias("_steps"),
+    )
+    below = lookup_join(body, starts, ["doc"], "inner").where(
+        F.col("pos") >= F.coalesce("_steps", F.col("_req") + 1, F.lit(0))
+    ).drop("_req", "_steps")
+    table_lines = settle(below)
+    names, cell_rows = L.table(table_lines)
+    bands, merged = L.row_bands(cell_rows)
+    placed = L.demoted(L.rows(cell_rows, bands), names)
+    keys = [*L.STEP_KEYS, "unlabelled"]
+    wide = placed.groupBy("doc", "page", "band").agg(
+        *[F.max(F.when(F.col("key") == k, F.col("text"))).alias(k) for k in keys]
+    ).select("doc", (F.col("page") * 1_000_000 + F.col("band")).alias("pos"), *keys, F.lit(None).cast("string").alias("unresolved"))
+    # A page without columns keeps its lines, one unresolved row each.
+    flat = table_lines.where(~L.is_header(line)).join(names.select("doc", "page").distinct(), ["doc", "page"], "left_anti")
+    loose = flat.select(
+        "doc", (F.col("page") * 1_000_000 + F.floor(F.col("y0")) * 100).alias("pos"),
+        *[F.lit(None).cast("string").alias(k) for k in keys], line.alias("unresolved"),
+    )
+    parted = settle(RC.sectioned(wide.unionByName(loose), ["doc"]))
+    extra = parted.where(F.col("part") == "step").groupBy("doc").agg(F.count("unresolved").alias("unresolved"))
+    is_merged = merged.where(F.col("key").isin("fee", "processingTime")).select("doc").distinct().withColumn("_merged", F.lit(True))
+    services = (
+        number_of.select(F.concat_ws("#", "doc", "service").alias("doc"), "section", "number", "title")
+        .join(fields, "doc", "left")
+        .join(RC.measures(parted, ["doc"]), "doc", "left")
+        .join(extra, "doc", "left")
+        .join(is_merged, "doc", "left")
+    )
+    loose_rows = F.coalesce("unresolved", F.lit(0))
+    level = RC.confidence(
+        office=F.col("office"), merged=F.coalesce("_merged", F.lit(False)), no_columns=loose_rows > 0,
+        unresolved=loose_rows, reqs_ok=F.lit(True),
+    )
+    return services.withColumn("confidence", level).drop("_merged"), parted
+
+
+def job_harvest(
+    pages: DataFrame, previous: DataFrame, robots: DataFrame, kind: Column, key: str, link_pattern: str,
+    crawled: DataFrame | None = None,
+) -> DataFrame:
+    """One inventory row per allowed page: class, title, text checksum and size,
+    change since the previous crawl and number of document links. `crawled` is
+    the part of the pages fetched this time, if not all were. A forbidden page a row with its rule and nothing read from it."""
+    from civicloom.operators import pages as P
+
+    judged = P.robots_verdict(pages, "url", P.robots_rules(robots)).withColumn("kind", kind)
+    allowed = judged.where(F.col("rule").isNull())
+    # One generated row per page, so the text is extracted once for all measures.
+    text = allowed.select(key, F.explode(F.array(P.article_text(F.col("html")))).alias("a"), P.published_title(F.col("html"), r"(?i)\s*[|.]\s*$").alias("title"))
+    measured = text.select(key, "title", F.length("a").alias("body_chars"), F.sha2("a", 256).alias("content_sha256"))
+    state = P.changes(previous, (pages if crawled is None else crawled).select(key, "html"), key, "html")
+    linked = P.links(allowed, key, "html", link_pattern).groupBy(key).agg(F.count(F.lit(1)).alias("links"))
+    return (
+        judged.select(key, "url", "kind", "rule")
+        .join(measured, key, "left")
+        .join(state, key, "left")
+        .join(linked, key, "left")
+        .withColumn("links", F.when(F.col("rule").isNull(), F.coalesce("links", F.lit(0))))
+    )
+
+
+def job_audit(checks: dict[str, DataFrame]) -> DataFrame:
+    """check, subject, detail: every check's findings in one violations table.
+    A check contributes its first column as the subject and the others, joined,
+    as the detail."""
+    parts = []
+    for name, found in checks.items():
+        subject, *rest = found.columns
+        detail = F.concat_ws(" ", *[F.col(c).cast("string") for c in rest]) if rest else F.lit("")
+        parts.append(found.select(F.lit(name).alias("check"), F.col(subject).cast("string").alias("subject"), detail.alias("detail")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
