@@ -377,12 +377,12 @@ def _(t):
 
 @query("jn_code_catalogue", """
 WITH used AS (SELECT DISTINCT event_type AS code FROM events),
-cat AS (SELECT DISTINCT CASE WHEN user_id < 75 THEN 'en' ELSE 'fil' END AS locale, event_type AS code FROM events WHERE value > 99.5)
+cat AS (SELECT DISTINCT CASE WHEN user_id < 75 THEN 'en' ELSE 'fil' END AS locale, event_type AS code FROM events WHERE value > 470)
 SELECT code, locale FROM used, (VALUES ('en'), ('fil')) l(locale)
 WHERE (code, locale) NOT IN (SELECT code, locale FROM cat)""")
 def _(t):
     used = t.events.select(F.col("event_type").alias("code"))
-    catalogue = t.events.where(F.col("value") > 99.5).select(
+    catalogue = t.events.where(F.col("value") > 470).select(
         F.when(F.col("user_id") < 75, "en").otherwise("fil").alias("locale"), F.col("event_type").alias("code")
     )
     return C.missing_in_locales(used, catalogue, "code", ["en", "fil"])

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from civicloom.bindings.registry import Tables, query
 from civicloom.operators import layout as L
-from civicloom.operators.skew import ordinal
+from civicloom.operators.skew import lookup_join, ordinal
 
 WIDTH = 612.0
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -264,10 +264,12 @@ k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM
 o AS (SELECT *, coalesce(plone, false) OR text LIKE '%. Item%' OR n = 1 AS opens,
   CASE WHEN plone AND text NOT LIKE '%. Item%' THEN '- ' || text ELSE text END AS piece FROM k),
 g AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS item FROM o)
-SELECT conv_id, item, string_agg(piece, ' ' ORDER BY turn) AS text, bool_or(opens AND (coalesce(plone, false) OR text LIKE '%. Item%')) AS marked FROM g GROUP BY 1, 2""")
+SELECT conv_id, turn, item, piece, bool_or(opens AND (coalesce(plone, false) OR text LIKE '%. Item%')) OVER (PARTITION BY conv_id, item) AS marked,
+  min(turn * 12.0) OVER (PARTITION BY conv_id, item) AS y0 FROM g""")
 def _(t):
     lines = L.list_items(marked_lines(t), ["conv_id"], ["turn"], F.floor(F.col("turn") / 4096))
-    return L.items_of(lines, ["conv_id"], ["turn"]).select("conv_id", "item", "text", "marked")
+    found = L.items_of(lines, ["conv_id"]).select("conv_id", "item", "marked", "y0")
+    return lookup_join(lines.select("conv_id", "item", "turn", "piece"), found, ["conv_id", "item"], "inner")
 
 
 @query("win_consecutive", """

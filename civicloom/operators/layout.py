@@ -284,11 +284,11 @@ def list_items(lines: DataFrame, by: Sequence[str], order: Sequence[str], chunk:
     )
 
 
-def items_of(item_lines: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per item: text, marked, y0, y1."""
-    packed = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col("piece"))))
+def items_of(item_lines: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per item: lines, marked, y0, y1. The item's text stays in its
+    lines' pieces, however many they are."""
     return item_lines.groupBy(*by, "item").agg(
-        F.array_join(F.transform(packed, lambda p: p["piece"]), " ").alias("text"),
+        F.count(F.lit(1)).alias("lines"),
         F.max("marked").alias("marked"),
         F.min("y0").alias("y0"),
         F.max("y1").alias("y1"),
