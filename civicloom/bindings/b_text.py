@@ -180,7 +180,7 @@ def noted(t: Tables):
         F.when(s == "src1", " The office refused to answer and conceals the fee, it concealed hours.")
         .when(s == "src2", " Bring your withholding tax form, refuse collection.")
         .when(s == "src3", " The figure was withheld; lack of transparency.")
-        .when(s == "src4", " Call 086-555-1234 or 086-214-2116 and ask Atty. Cruz at 8:30 am.")
+        .when(s == "src4", " Call 086-555-1234 or 086-555-0000 and ask Atty. Cruz at 8:30 am.")
         .when(s == "src5", " See [page](../a/b.md#x) and [site](/en/x). It costs ₱50, every 15 minutes.")
         .otherwise("")
     )
@@ -202,11 +202,11 @@ PHONE_SQL = "'\\b(?:\\+63|0)\\d{2}[-\\s]?\\d{3}[-\\s]?\\d{4}\\b|\\b\\d{3}-\\d{3}
 
 
 @query("txt_phone_scan", f"""
-WITH b AS (SELECT doc_id, text || CASE source WHEN 'src4' THEN ' Call 086-555-1234 or 086-214-2116 and ask' ELSE '' END AS body FROM documents)
-SELECT doc_id, m AS match FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(body, {PHONE_SQL})) AS m FROM b) WHERE m NOT IN ('911', '086-214-2116')""")
+WITH b AS (SELECT doc_id, text || CASE source WHEN 'src4' THEN ' Call 086-555-1234 or 086-555-0000 and ask' ELSE '' END AS body FROM documents)
+SELECT doc_id, m AS match FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(body, {PHONE_SQL})) AS m FROM b) WHERE m NOT IN ('911', '086-555-0000')""")
 def _(t):
     found = P.pattern_scan(noted(t), "doc_id", F.col("body"), [("phone", P.PHONE)])
-    return found.where(~F.col("match").isin("911", "086-214-2116")).select("doc_id", "match")
+    return found.where(~F.col("match").isin("911", "086-555-0000")).select("doc_id", "match")
 
 
 @query("txt_pattern_scan", """

@@ -24,7 +24,11 @@ def job_search(
     small, so the optimizer broadcasts them when their measured size allows."""
     hits = S.search(df, query, text_cols, title_col, category_col)
     counts = S.facets(hits, category_col).withColumnRenamed("hits", "category_hits")
-    narrowed = S.narrow(hits, category_col, category).withColumnRenamed(category_col, "category")
+    narrowed = hits.withColumnRenamed(category_col, "category")
+    if category:
+        # An unknown category leaves the result whole; the facets say which are known.
+        known = F.coalesce(counts.agg(F.max(F.col("category") == category)).scalar(), F.lit(False))
+        narrowed = narrowed.where(~known | (F.col("category") == category))
     out = S.ranked(narrowed.join(counts, "category"), "category", pos_col)
     return out.withColumn("title_segments", S.segments(F.col(title_col), query))
 
@@ -53,8 +57,9 @@ def job_publish(
     lines: key, pos and the five step fields; entries: key and fact columns;
     known: key, eligibility and what the enumeration says is present."""
     from civicloom.operators import records as RC
+    from civicloom.operators.skew import settle
 
-    parted = RC.sectioned(lines, [key])
+    parted = settle(RC.sectioned(lines, [key]))
     says = {n: F.col("k_other") for n in ("output", "eligibility", "requirements")}
     says |= {"fees": F.col("k_fees"), "processingTime": F.col("k_time")}
     content = (
@@ -82,19 +87,17 @@ def job_enumerate(lines: DataFrame, doc: str, pos: str = "pos", text: str = "tex
     from civicloom.operators.skew import settle
 
     line = F.col(text)
-    kept = lines.where(~line.rlike(r"(?i)^\s*\d+\s*\|\s*Page\s*$") & (F.trim(line) != ""))
+    kept = settle(lines.where(~line.rlike(r"(?i)^\s*\d+\s*\|\s*Page\s*$") & (F.trim(line) != "")))
     barrier = line.rlike(r"(?i)CHECKLIST\s+OF\s+REQUIREMENTS") | line.rlike(SG.TOTAL)
-    found = settle(SG.services(kept, doc, pos, text, bound=15, barrier=barrier, chunk=chunk))
-    numbered = SG.with_ids(found, doc, T.stem(F.col(doc)), chunk)
-    # The n-th anchor of a document opens its n-th block.
-    block = settle(SG.segment(kept, [doc], [pos], line.rlike(SG.ANCHOR), F.floor(F.col(pos) / chunk)))
+    noted = settle(SG.annotate(kept, doc, pos, text, bound=15, barrier=barrier, chunk=chunk))
+    numbered = SG.with_ids(SG.services(noted, doc, pos), doc, T.stem(F.col(doc)), chunk)
+    block = noted.where(F.col("seg") > 0).select(doc, "seg", pos, text)
 
     def first(label):
         value = T.inline_field(line, label)
         return F.min_by(value, F.when(value.isNotNull(), F.col(pos)))
 
     facts = block.groupBy(doc, "seg").agg(
-        F.min(pos).alias("anchor"),
         T.tidy(first("Office or Division")).alias("office"),
         T.tidy(first("Classification")).alias("classification"),
         first("Who may avail").alias("_who"),
@@ -102,7 +105,7 @@ def job_enumerate(lines: DataFrame, doc: str, pos: str = "pos", text: str = "tex
         F.max(line.rlike(r"(?i)^\s*Output\s*(?::|\s{2,})")).alias("_out"),
     )
     header = SG.header_region(block, [doc, "seg"], pos, text, line.rlike(r"(?i)CLIENT\s+STEPS"))
-    out = numbered.join(facts, [doc, "anchor"]).join(header, [doc, "seg"], "left")
+    out = numbered.join(facts, [doc, "seg"]).join(header, [doc, "seg"], "left")
     flag = lambda c: F.when(F.coalesce(c, F.lit(False)), "present").otherwise("absent")
     return out.select(
         doc, "id", "section", "number", "title",
@@ -137,7 +140,7 @@ def job_extract(layout: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = layout.where(~L.is_furniture(line))
     lines = settle(ordinal(kept, ["doc"], order, F.floor(F.col("page") / 16), "pos"))
     barrier = line.rlike(SG.REQUIREMENTS) | line.rlike(RC.TOTAL_LABEL) | L.is_header(line)
-    found = settle(SG.services(lines, "doc", "pos", "text", bound=18, barrier=barrier))
+    found = settle(SG.services(SG.annotate(lines, "doc", "pos", "text", bound=18, barrier=barrier), "doc", "pos"))
     body = SG.assign(lines, found, "doc", "pos")
     body = settle(body.withColumn("owner", F.col("doc")).withColumn("doc", F.concat_ws("#", "doc", "service")))
     number_of = ordinal(found, ["doc"], ["start"], F.floor(F.col("start") / 4096), "service")

@@ -41,47 +41,102 @@ def accepted(visits: DataFrame, site: str = "site", agent: str = "agent") -> Dat
 # followed block by block; and each block then marks its own counted visits.
 
 
-def _after(ts: np.ndarray) -> np.ndarray:
-    return np.searchsorted(ts, ts + DAY, side="left")
-
-
-def _block_steps(key, pdf: pd.DataFrame, days: int) -> pd.DataFrame:
-    ts = np.unique(pdf["us"].to_numpy())
-    n, start = len(ts), int(key[1]) * days * DAY
-    first_day = int(np.searchsorted(ts, start + DAY, side="left"))
-    entries = np.arange(min(first_day + 1, n))
-    follow, last = _after(ts), entries.copy()
-    for _ in range(days + 1):
-        step = follow[last]
-        last = np.where(step < n, step, last)
-    # Entries that leave the block at the same visit are one step: keep its last.
-    ends = np.append(last[1:] != last[:-1], True)
-    return pd.DataFrame({"user": key[0], "block": key[1], "entry": ts[entries[ends]], "leave": ts[last[ends]]})
-
-
-def _follow(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    blocks, anchors, last = [], [], None
-    for block, steps in pdf.sort_values(["block", "entry"]).groupby("block", sort=True):
-        blocks.append(block)
-        anchors.append(last)
-        entry = steps["entry"].to_numpy()
-        i = 0 if last is None else int(np.searchsorted(entry, last + DAY, side="left"))
-        if i < len(entry):
-            last = int(steps["leave"].to_numpy()[i])
-    out = pd.DataFrame({"user": key[0], "block": blocks})
-    out["anchor"] = pd.array(anchors, dtype="Int64")
-    return out
-
-
-def _mark(key, visits: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-    ts = np.unique(visits["us"].to_numpy())
-    anchor = entry["anchor"].iloc[0] if len(entry) else None
-    i = 0 if anchor is None or pd.isna(anchor) else int(np.searchsorted(ts, int(anchor) + DAY, side="left"))
-    counted = []
-    while i < len(ts):
-        counted.append(ts[i])
-        i = int(np.searchsorted(ts, ts[i] + DAY, side="left"))
-    return pd.DataFrame({"user": key[0], "us": np.array(counted, dtype="int64")})
+#
+# Rows reach Python sorted, many groups per batch, and are read as a stream: a
+# step needs one block of one browser at a time, the other two only the last
+# counted visit.
+
+
+def _runs(frame: pd.DataFrame, keys: list[str]) -> Iterator[tuple[int, int]]:
+    """(start, end) of each run of equal keys in a sorted frame."""
+    turn = np.zeros(len(frame), dtype=bool)
+    for k in keys:
+        col = frame[k].to_numpy()
+        turn[1:] |= col[1:] != col[:-1]
+    edges = [0, *np.flatnonzero(turn).tolist(), len(frame)]
+    return zip(edges[:-1], edges[1:])
+
+
+def _whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The same rows in frames that end with a group: the last group of a frame
+    waits for the next one."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        *_, (start, _end) = _runs(frame, keys)
+        if start == 0 and held and all(held[-1][k].iloc[-1] == frame[k].iloc[0] for k in keys):
+            held.append(frame)
+            continue
+        yield pd.concat([*held, frame.iloc[:start]], ignore_index=True)
+        held = [frame.iloc[start:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _steps(days: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _whole_groups(frames, ["user", "block"]):
+            users, blocks, us = (frame[c].to_numpy() for c in ("user", "block", "us"))
+            out = {"user": [], "block": [], "entry": [], "leave": []}
+            for a, z in _runs(frame, ["user", "block"]):
+                if a == z:
+                    continue
+                ts = us[a:z]
+                n = len(ts)
+                # Entering can only happen in the first day or at the first visit after it.
+                entries = np.arange(min(np.searchsorted(ts, (int(blocks[a]) * days + 1) * DAY) + 1, n))
+                follow, last = np.searchsorted(ts, ts + DAY), entries.copy()
+                for _ in range(days + 1):
+                    step = follow[last]
+                    last = np.where(step < n, step, last)
+                # Entries that leave at the same visit are one step: keep its last.
+                keep = np.append(ts[last[1:]] != ts[last[:-1]], True)
+                out["user"].append(users[a:z][: keep.sum()])
+                out["block"].append(blocks[a:z][: keep.sum()])
+                out["entry"].append(ts[entries[keep]])
+                out["leave"].append(ts[last[keep]])
+            if out["user"]:
+                yield pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
+
+    return run
+
+
+def _follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    user = block = last = anchor = None
+    taken = False
+    for frame in frames:
+        out = []
+        for u, b, entry, leave in zip(*(frame[c].tolist() for c in ("user", "block", "entry", "leave"))):
+            if u != user:
+                user, block, last = u, None, None
+            if b != block:
+                block, anchor, taken = b, last, False
+                out.append((u, b, anchor))
+            if not taken and (anchor is None or entry >= anchor + DAY):
+                last, taken = leave, True
+        yield pd.DataFrame(out, columns=["user", "block", "anchor"]).astype({"anchor": "Int64"})
+
+
+def _mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    user = block = last = None
+    for frame in frames:
+        users, blocks, us, anchors = (frame[c].to_numpy() for c in ("user", "block", "us", "anchor"))
+        out_user, out_us = [], []
+        for a, z in _runs(frame, ["user", "block"]):
+            if a == z:
+                continue
+            if users[a] != user or blocks[a] != block:
+                user, block = users[a], blocks[a]
+                last = None if pd.isna(anchors[a]) else int(anchors[a])
+            ts = us[a:z]
+            i = 0 if last is None else int(np.searchsorted(ts, last + DAY))
+            while i < len(ts):
+                last = int(ts[i])
+                out_user.append(user)
+                out_us.append(last)
+                i = int(np.searchsorted(ts, last + DAY))
+        yield pd.DataFrame({"user": out_user, "us": np.array(out_us, dtype="int64")})
 
 
 def counted_visits(visits: DataFrame, user: str, ts: str, days: int = 7) -> DataFrame:
@@ -90,15 +145,13 @@ def counted_visits(visits: DataFrame, user: str, ts: str, days: int = 7) -> Data
     rows = visits.select(F.col(user).alias("user"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).withColumn(
         "block", F.floor(F.col("us") / F.lit(days * DAY))
     )
-    steps = rows.groupBy("user", "block").applyInPandas(
-        lambda key, pdf: _block_steps(key, pdf, days), f"user {kind}, block long, entry long, leave long"
-    )
-    entry = steps.groupBy("user").applyInPandas(_follow, f"user {kind}, block long, anchor long")
-    marked = (
-        rows.groupBy("user", "block")
-        .cogroup(entry.groupBy("user", "block"))
-        .applyInPandas(_mark, f"user {kind}, us long")
+    sorted_rows = rows.repartition("user", "block").sortWithinPartitions("user", "block", "us")
+    steps = sorted_rows.mapInPandas(_steps(days), f"user {kind}, block long, entry long, leave long")
+    entry = steps.repartition("user").sortWithinPartitions("user", "block", "entry").mapInPandas(
+        _follow, f"user {kind}, block long, anchor long"
     )
+    entered = rows.join(entry, ["user", "block"]).repartition("user", "block").sortWithinPartitions("user", "block", "us")
+    marked = entered.mapInPandas(_mark, f"user {kind}, us long")
     return marked.select(F.col("user").alias(user), F.timestamp_micros("us").alias(ts))
 
 
