@@ -48,8 +48,8 @@ def entries_of(manifests: DataFrame) -> DataFrame:
 
 def scan_bodies(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
     raw = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-        .text(root).withColumn("path", F.col("_metadata.file_path")).withColumnRenamed("value", "body")
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+        .withColumn("path", F.col("_metadata.file_path")).withColumnRenamed("value", "body")
     )
     return body_rows(raw)
 

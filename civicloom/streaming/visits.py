@@ -179,7 +179,7 @@ class CountOncePerDay(StatefulProcessor):
     def _last(self) -> int | None:
         return self.last.get()[0] if self.last.exists() else None
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self._last()
         fresh: list[int] = []
         for pdf in rows:
@@ -192,12 +192,12 @@ class CountOncePerDay(StatefulProcessor):
             self.handle.registerTimer(max(fresh) // 1000 + 1)
         yield pd.DataFrame({"user": pd.Series(dtype="int64"), "us": pd.Series(dtype="int64")})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        limit = timer_values.getCurrentWatermarkInMs() * 1000
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
         held = sorted({row[0] for row in self.waiting.get()})
         last, counted = self._last(), []
         for us in (u for u in held if u <= limit):
-            if last is None or us - last >= DAY or us < last:
+            if last is None or us - last >= DAY:
                 counted.append(us)
                 last = us
         later = [(u,) for u in held if u > limit]
