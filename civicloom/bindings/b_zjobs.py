@@ -17,7 +17,7 @@ def charter_lines(t: Tables):
         F.when(F.col("o_totalprice") > 50000, F.concat(F.lit("  7. Renew   licence "), k)).otherwise("TOTAL: none"),
         F.concat(F.lit("Office  or Division:  Office  "), "o_orderpriority"),
         F.concat(F.lit("CLASSIFICATION    "), s),
-        F.when(s == "O", "Who may avail?  All").otherwise("Who may avail:"),
+        F.when(s == "O", "Who may avail?  All").when(s == "F", "Who may avail:").otherwise("Everyone welcome"),
         F.when(s != "P", "CHECKLIST OF  REQUIREMENTS   WHERE TO SECURE").otherwise("Bring an ID"),
         F.lit("1. Valid ID"),
         F.lit("CLIENT STEPS   AGENCY ACTION   FEES TO BE"),
@@ -41,7 +41,7 @@ WITH s AS (SELECT *, {SECTION_SQL} AS section FROM orders)
 SELECT 'Customer ' || o_custkey || '.pdf' AS document, 'customer-' || o_custkey || '#' || section || '-' || row_number() OVER (PARTITION BY o_custkey, section ORDER BY o_orderkey) AS id,
   section, CASE WHEN o_totalprice > 50000 THEN 7 END AS number, CASE WHEN o_totalprice > 50000 THEN 'Renew licence ' || o_orderkey END AS title,
   CASE WHEN o_totalprice > 50000 THEN 'extracted' ELSE 'not-in-layout' END AS title_status, 'Office ' || o_orderpriority AS office, o_orderstatus AS classification,
-  CASE WHEN o_orderstatus = 'O' THEN 'present' ELSE 'absent' END AS eligibility, CASE WHEN o_orderstatus <> 'P' THEN 'present' ELSE 'absent' END AS requirements,
+  CASE WHEN o_orderstatus <> 'P' THEN 'present' ELSE 'absent' END AS eligibility, CASE WHEN o_orderstatus <> 'P' THEN 'present' ELSE 'absent' END AS requirements,
   'present' AS fees, CASE WHEN o_orderstatus <> 'F' THEN 'present' ELSE 'absent' END AS processing_time, 'present' AS owning_office,
   CASE WHEN o_orderstatus = 'P' THEN 'present' ELSE 'absent' END AS output FROM s""")
 def _(t):

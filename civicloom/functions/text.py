@@ -136,11 +136,16 @@ def has_duration(col: Column) -> Column:
     return col.rlike(DURATION_PATTERN)
 
 
-def inline_field(col: Column, label: str) -> Column:
-    """Value of a `Label: value` line (colon, question mark or a wide gap after
-    the label); null where the label is absent or carries only punctuation."""
+def inline_field(col: Column, label: str, loose: bool = False) -> Column:
+    """Value after a label at the start of a line; null where there is none.
+
+    The label is closed by a colon, a question mark or a wide gap - or, `loose`,
+    by nothing, for text whose gaps are already single spaces. The value may
+    stand on the next line of the text given, and never opens with the label's
+    own punctuation."""
     words = r"\s+".join(re.escape(w) for w in label.split())
-    found = F.regexp_extract(col, rf"(?im)^\s*{words}\s*(?:[:?]\s*|\s{{2,}})([^:?\s].*?)\s*$", 1)
+    closed = r"[:?]?\s*" if loose else r"(?:[:?]\s*|\s{2,})"
+    found = F.regexp_extract(col, rf"(?im)^\s*{words}\s*{closed}([^:?\s].*?)\s*$", 1)
     return F.when(found != "", found)
 
 

@@ -18,7 +18,11 @@ def last_segment(url: Column) -> Column:
 
 def _decode_once(col: Column) -> Column:
     # A plus sign is literal in a path; the decoder would turn it into a space.
-    return F.try_url_decode(F.replace(col, F.lit("+"), F.lit("%2B")))
+    # It also turns broken UTF-8 into the replacement character, which is an
+    # error here unless the input spells that character itself.
+    out = F.try_url_decode(F.replace(col, F.lit("+"), F.lit("%2B")))
+    broken = out.contains("\ufffd") & ~col.contains("\ufffd") & ~F.upper(col).contains("%EF%BF%BD")
+    return F.when(~broken, out)
 
 
 def decode_param(col: Column) -> Column:

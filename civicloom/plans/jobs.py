@@ -91,10 +91,12 @@ def job_enumerate(lines: DataFrame, doc: str, pos: str = "pos", text: str = "tex
     barrier = line.rlike(r"(?i)CHECKLIST\s+OF\s+REQUIREMENTS") | line.rlike(SG.TOTAL)
     noted = settle(SG.annotate(kept, doc, pos, text, bound=15, barrier=barrier, chunk=chunk))
     numbered = SG.with_ids(SG.services(noted, doc, pos), doc, T.stem(F.col(doc)), chunk)
-    block = noted.where(F.col("seg") > 0).select(doc, "seg", pos, text)
+    block = noted.where(F.col("seg") > 0).select(doc, "seg", pos, text, "below")
+    # A value may stand on the line below its label, but not in the next block.
+    pair = F.concat_ws("\n", line, F.when(~F.col("below").rlike(SG.ANCHOR), F.col("below")))
 
     def first(label):
-        value = T.inline_field(line, label)
+        value = T.inline_field(pair, label)
         return F.min_by(value, F.when(value.isNotNull(), F.col(pos)))
 
     facts = block.groupBy(doc, "seg").agg(
@@ -159,7 +161,7 @@ def job_extract(layout: DataFrame) -> tuple[DataFrame, DataFrame]:
         ["doc", "page"], "pos",
     ).select("doc", "label", "pos", F.col("value.text").alias("value"))
     inline = body.select("doc", "pos", F.inline(F.filter(F.array(*[
-        F.struct(F.lit(k).alias("label"), T.inline_field(line, v).alias("value")) for k, v in labels.items()
+        F.struct(F.lit(k).alias("label"), T.inline_field(line, v, loose=True).alias("value")) for k, v in labels.items()
     ]), lambda x: x["value"].isNotNull())))
     fields = (
         beside.where(F.col("value").isNotNull()).unionByName(inline)
