@@ -246,13 +246,13 @@ def _(t):
     return out.select("conv_id", F.md5("header").alias("header"))
 
 
-MARKS = """m AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN '-' WHEN 'user' THEN (turn + 1) || '. Item ' || turn ELSE 'more ' || turn END AS text FROM conversations)"""
+MARKS = """m AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN '-' WHEN 'user' THEN (turn % 9 + 1) || '. Item ' || turn ELSE 'more ' || turn END AS text FROM conversations)"""
 
 
 def marked_lines(t: Tables):
     text = (
         F.when(F.col("role") == "system", "-")
-        .when(F.col("role") == "user", F.format_string("%s. Item %s", (F.col("turn") + 1).cast("string"), F.col("turn").cast("string")))
+        .when(F.col("role") == "user", F.format_string("%s. Item %s", (F.col("turn") % 9 + 1).cast("string"), F.col("turn").cast("string")))
         .otherwise(F.format_string("more %s", F.col("turn").cast("string")))
     )
     return t.conversations.select("conv_id", "turn", text.alias("text"), (F.col("turn") * 12.0).alias("y0"), (F.col("turn") * 12.0 + 9).alias("y1"))

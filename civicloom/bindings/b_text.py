@@ -350,7 +350,7 @@ def _(t):
 WITH i AS (SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_linenumber AS n, CASE l_returnflag WHEN 'A' THEN 'a' WHEN 'N' THEN 'b' ELSE 'c' END AS k FROM lineitem)
 SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice, unnest(CASE k WHEN 'a' THEN ['doubled-marker'] WHEN 'b' THEN ['no-information', 'fragment'] ELSE ['continues-above'] END) AS problem FROM i WHERE n <> 4""")
 def _(t):
-    n = F.col("l_linenumber").cast("string")
+    n = (F.col("l_linenumber") % 9).cast("string")
     item = (
         F.when(F.col("l_linenumber") == 4, "4. Birth certificate")
         .when(F.col("l_returnflag") == "A", F.concat(n, F.lit(". "), n, F.lit(". Stub")))
