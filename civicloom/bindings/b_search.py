@@ -90,23 +90,22 @@ FROM merged GROUP BY doc_id""")
 def _(t):
     marked = S.highlight(t.documents.select("doc_id", "text"), "text", HIGHLIGHT_TERMS)
     # Start of every segment = running length of the ones before it.
-    # Generating the one-element array keeps the totals from being recomputed
-    # for the filter and for every column.
-    lengths = marked.select(
-        "doc_id",
-        F.explode(F.array(F.aggregate(
-            F.transform("segments", lambda s: F.struct(F.length(s["text"]).cast("long").alias("w"), s["matched"].alias("m"))),
-            F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("runs"),
-                     F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("starts")),
-            lambda a, s: F.struct(
-                (a["at"] + s["w"]).alias("at"),
-                (a["runs"] + s["m"].cast("long")).alias("runs"),
-                (a["chars"] + F.when(s["m"], s["w"]).otherwise(0)).alias("chars"),
-                (a["starts"] + F.when(s["m"], a["at"]).otherwise(0)).alias("starts"),
-            ),
-        ))).alias("a"),
-    )
-    return lengths.where(F.col("a.runs") > 0).select(
+    # Start of every segment = running length of the ones before it.
+    seg = marked.select("doc_id", F.explode(F.array(F.transform(
+        "segments", lambda s: F.struct(F.length(s["text"]).cast("long").alias("w"), s["matched"].alias("m"))
+    ))).alias("s"))
+    zero = F.lit(0).cast("long")
+    totals = seg.select("doc_id", F.explode(F.array(F.aggregate(
+        "s",
+        F.struct(zero.alias("at"), zero.alias("runs"), zero.alias("chars"), zero.alias("starts")),
+        lambda a, s: F.struct(
+            (a["at"] + s["w"]).alias("at"),
+            (a["runs"] + s["m"].cast("long")).alias("runs"),
+            (a["chars"] + F.when(s["m"], s["w"]).otherwise(zero)).alias("chars"),
+            (a["starts"] + F.when(s["m"], a["at"]).otherwise(zero)).alias("starts"),
+        ),
+    ))).alias("a"))
+    return totals.where(F.col("a.runs") > 0).select(
         "doc_id",
         F.col("a.runs").alias("runs"),
         F.col("a.chars").alias("matched_chars"),

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from civicloom.functions import text as T
 
@@ -86,51 +87,56 @@ def batch(df: DataFrame, queries: Sequence[str], text_cols, title_col: str, cate
     return df.withColumn("query", F.explode(_bind(hay, matching)))
 
 
-def covered_pattern(terms: Sequence[str]) -> str:
-    """Zero-width pattern true in front of a character that lies inside some
-    occurrence of some term - so overlapping and touching occurrences run
-    together by themselves."""
-    parts = []
-    for term in dict.fromkeys(terms):
-        for k in range(len(term)):
-            behind = f"(?<={re.escape(term[:k])})" if k else ""
-            parts.append(f"{behind}(?={re.escape(term[k:])})")
-    return "(?:" + "|".join(parts) + ")"
+def runs(folded: str, terms: Sequence[str]) -> list[tuple[int, int]]:
+    """Ranges covered by the terms; overlapping and touching ones are one."""
+    found = []
+    for term in terms:
+        at = folded.find(term)
+        while at != -1:
+            found.append((at, at + len(term)))
+            at = folded.find(term, at + 1)
+    merged: list[tuple[int, int]] = []
+    for start, end in sorted(found):
+        if merged and start <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], end))
+        else:
+            merged.append((start, end))
+    return merged
 
 
 def segments(text: Column, query: str | None) -> Column:
     """ARRAY<STRUCT<text, matched>> whose texts concatenate to the input.
 
-    The folded text has one character per character of the input, so the borders
-    found in it cut the input itself."""
-    terms = terms_of(query)
-    whole = F.array(F.struct(text.alias("text"), F.lit(False).alias("matched")))
+    The folded text has one character per character of the input, so the ranges
+    found in it cut the input itself. Cutting is linear in the text, which the
+    array functions would not be; the texts travel in Arrow batches."""
+    terms = list(dict.fromkeys(terms_of(query)))
     if not terms:
-        return whole
-    c = covered_pattern(terms)
-    border = f"(?s)(?<={c}.)(?!{c})(?=.)|(?<=(?!{c}).)(?={c})"
-
-    def cut(folded):
-        # The first piece's flag is tested once; the pieces then alternate.
-        start = F.struct(
-            F.lit(1).alias("at"),
-            folded.rlike(f"(?s)^{c}").alias("m"),
-            F.array().cast("array<struct<text:string,matched:boolean>>").alias("out"),
-        )
-        return F.aggregate(
-            F.transform(F.split(folded, border, -1), lambda p: F.length(p)),
-            start,
-            lambda a, w: F.struct(
-                (a["at"] + w).alias("at"),
-                (~a["m"]).alias("m"),
-                F.concat(
-                    a["out"],
-                    F.array(F.struct(F.substring(text, a["at"], w).alias("text"), a["m"].alias("matched"))),
-                ).alias("out"),
-            ),
-        )["out"]
-
-    return _bind(T.fold_chars(text), cut)
+        return F.array(F.struct(text.alias("text"), F.lit(False).alias("matched")))
+    kind = ST.ArrayType(ST.StructType([ST.StructField("text", ST.StringType()), ST.StructField("matched", ST.BooleanType())]))
+
+    @F.arrow_udf(kind)
+    def cut(texts: pa.Array) -> pa.Array:
+        table = str.maketrans(*T.accent_table())
+        offsets, pieces, flags = [0], [], []
+        for value in texts.to_pylist():
+            value = value or ""
+            at = 0
+            for start, end in runs(value.translate(table).lower(), terms):
+                if start > at:
+                    pieces.append(value[at:start])
+                    flags.append(False)
+                pieces.append(value[start:end])
+                flags.append(True)
+                at = end
+            if at < len(value) or not value:
+                pieces.append(value[at:])
+                flags.append(False)
+            offsets.append(len(pieces))
+        rows = pa.StructArray.from_arrays([pa.array(pieces, pa.string()), pa.array(flags, pa.bool_())], ["text", "matched"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+
+    return cut(text)
 
 
 def highlight(hits: DataFrame, col: str, query: str | None) -> DataFrame:
