@@ -177,17 +177,17 @@ def name_columns(placed: DataFrame, headers: DataFrame, cuts: DataFrame) -> Data
 
 
 def stitched(lines: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Lines with `cell`: the number of the cell they belong to within `by`. A
-    line opens a cell unless it starts less than 1.35 line heights (of at least
-    8) below everything before it."""
+    """Lines with `cell`, the number of the cell they belong to within `by`, and
+    `opens`, true for its first line. A line opens a cell unless it starts less
+    than 1.35 line heights (of at least 8) below everything before it."""
     order = ["y0", "x0", "text"]
     piece = F.floor(F.col("y0") / TALL)
     reach = prefix_scan(lines, by, order, piece, [Measure("_reach", "max", F.col("y1"), inclusive=False)])
     gate = F.greatest(F.col("y1") - F.col("y0"), F.lit(8.0)) * 1.35
-    opens = F.when(F.col("_reach").isNull() | (F.col("y0") - F.col("_reach") >= gate), 1).otherwise(0)
+    opens = F.col("_reach").isNull() | (F.col("y0") - F.col("_reach") >= gate)
     return prefix_scan(
-        reach.withColumn("_opens", opens), by, order, piece, [Measure("cell", "sum", F.col("_opens"))]
-    ).drop("_reach", "_opens")
+        reach.withColumn("opens", opens), by, order, piece, [Measure("cell", "sum", F.col("opens").cast("int"))]
+    ).drop("_reach")
 
 
 def joined_text(order: Sequence[str]) -> Column:
@@ -197,11 +197,17 @@ def joined_text(order: Sequence[str]) -> Column:
 
 
 def cells(placed: DataFrame, group: Sequence[str] = ("doc", "page", "key", "block")) -> DataFrame:
-    """One row per cell: group, cell, y0, y1, text."""
+    """One row per cell: group, cell, y0, y1, text. Only the lines that continue
+    a cell are gathered; most cells are their first line alone."""
+    keys = [*group, "cell"]
+    lines = settle(stitched(placed.select(*group, "x0", "y0", "y1", "text"), list(group)))
+    more = lines.where(~F.col("opens")).groupBy(*keys).agg(
+        joined_text(["y0", "x0"]).alias("_more"), F.max("y1").alias("_down")
+    )
     return (
-        stitched(placed, list(group))
-        .groupBy(*group, "cell")
-        .agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), joined_text(["y0", "x0"]).alias("text"))
+        lines.where("opens")
+        .join(more, keys, "left")
+        .select(*keys, "y0", F.greatest("y1", "_down").alias("y1"), F.concat_ws(" ", "text", "_more").alias("text"))
     )
 
 
@@ -304,7 +310,7 @@ def adjacent_groups(lines: DataFrame, by: Sequence[str], chunk: Column) -> DataF
     turn = F.when(F.col("_pblock").isNull() | (F.col("_pblock") != F.col("block")), 1).otherwise(0)
     runs = prefix_scan(prev.withColumn("_turn", turn), by, order, chunk, [Measure("_run", "sum", F.col("_turn"))])
     out = stitched(runs.drop("_pblock", "_turn"), [*by, "_run"])
-    return out.withColumn("grp", F.struct("_run", "cell")).drop("_run", "cell")
+    return out.withColumn("grp", F.struct("_run", "cell")).drop("_run", "cell", "opens")
 
 
 def consecutive(numbers: DataFrame, by: Sequence[str], order: Sequence[str], value: str, chunk: Column) -> DataFrame:

@@ -8,6 +8,7 @@ handled on its own, and only the much smaller per-piece summaries meet.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -55,12 +56,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared checkpoint folder and go on from there, so
-    that several later passes do not each repeat what led to it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write `df` once as a table in the shared checkpoint folder and go on from
+    there, so that several later passes do not each repeat what led to it. Being
+    columnar, each pass reads only the columns it needs, and the measured size
+    is known when a join has to choose its strategy."""
+    path = f"{checkpoint_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @dataclass(frozen=True)
