@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from civicloom.bindings.registry import ORACLE, QUERIES
 from tests.oracle import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -14,14 +15,14 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    ok, note = compare(spark, con, FOLDER, name, entry.queries()[name], SQL.get(name))
+    ok, note = compare(spark, con, FOLDER, name, QUERIES[name], SQL.get(name))
     assert ok, note
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(entry.queries())
+    assert set(SQL) == set(QUERIES)
 
 
 def test_entry(spark):
@@ -33,7 +34,7 @@ def test_partition_count_does_not_matter(spark, con, name):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "1")
-        ok, note = compare(spark, con, FOLDER, name, entry.queries()[name], SQL[name])
+        ok, note = compare(spark, con, FOLDER, name, QUERIES[name], SQL[name])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert ok, note
