@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicloom.llm import decontaminate, pii, secrets
+from civicloom.llm import bpe, decontaminate, pii, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,4 +24,14 @@ def _query(name: str, *tables: str):
 
 _query("op1_pii", "documents")(pii.report)
 _query("op4_decontaminate", "documents", "benchmark")(decontaminate.report)
+
+
+@_query("op7_bpe", "documents")
+def _bpe(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.report(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 _query("op9_secrets", "documents")(secrets.report)
+_query("op10_quality", "documents", "labels")(quality.report)
