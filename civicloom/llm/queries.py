@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicloom.llm import bpe, decontaminate, pii, quality, secrets
+from civicloom.llm import automata, bpe, decontaminate, embedding_dedup, pii, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,7 @@ def _query(name: str, *tables: str):
 
 
 _query("op1_pii", "documents")(pii.report)
+_query("op3_embedding_dedup", "embeddings")(embedding_dedup.dedup)
 _query("op4_decontaminate", "documents", "benchmark")(decontaminate.report)
 
 
@@ -33,5 +34,6 @@ def _bpe(docs: DataFrame) -> DataFrame:
     return bpe.report(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+_query("op8_automata", "documents")(automata.report)
 _query("op9_secrets", "documents")(secrets.report)
 _query("op10_quality", "documents", "labels")(quality.report)

@@ -138,3 +138,16 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def slices(b: pa.RecordBatch, text: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut so that a part has at most `rows` rows and `size` bytes of text (or is one row)."""
+    sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, s in enumerate(sizes.tolist()):
+        if i > start and (i - start >= rows or total + s > size):
+            yield b.slice(start, i - start)
+            start, total = i, 0
+        total += s
+    if start < b.num_rows:
+        yield b.slice(start)
