@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicloom.llm.words import batch, lists, ragged, text_bytes
+from civicloom.llm.words import batch, lists, ragged, slices, text_bytes
 from civicloom.operators.skew import settle
 
 #: Bytes of unsplit text that one task encodes in one go.
@@ -39,7 +39,12 @@ SEAM, AGREE = 64, 8
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_loaded: dict[str, object] = {}
+#: Bytes after which white space may go on with white space before it.
+_UNSURE = np.zeros(256, dtype=bool)
+_UNSURE[:0x20], _UNSURE[0x80:] = True, True
+#: Texts encoded at a time, and distinct pieces whose ids a worker remembers.
+SLICE_ROWS, SLICE_BYTES, REMEMBERED = 4096, 2 << 20, 300_000
+_loaded: dict = {}
 
 
 def tokenizer(path: str):
@@ -59,14 +64,17 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Starts of pieces: of every non-empty text, and of every run of ASCII white
     space after a character that is surely not white space."""
     space = _SPACE[data]
-    run = space.copy()
-    run[1:] &= ~space[:-1]
-    at = np.flatnonzero(run)
-    at = at[at > 0]
+    start = space.copy()
+    start[1:] &= ~space[:-1]
+    start[:1] = False
+    at = np.flatnonzero(start)
+    at = at[_UNSURE[data[at - 1]]]
     one, two, three = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
     # control characters and anything that may end a white-space character beyond ASCII stay with what follows
-    odd = (one < 0x20) | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | ((one >= 0x80) & np.isin(three, [0xE1, 0xE2, 0xE3]))
-    return np.union1d(at[~odd], offsets[:-1][np.diff(offsets) > 0])
+    odd = (one < 0x20) | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | ((three >= 0xE1) & (three <= 0xE3))
+    start[at[odd]] = False
+    start[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(start)
 
 
 def pieces_of(column: pa.Array):
@@ -87,7 +95,7 @@ def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     distinct, number, per_text = pieces_of(column)
     if not len(number):
         return np.zeros(0, np.int64), np.zeros(len(column), np.int64)
-    count, flat = _encode_pieces(distinct, path)
+    count, flat = _remembered(distinct, path)
     begin = np.cumsum(count) - count
     n = count[number]
     out = flat[ragged(begin[number], n)]
@@ -97,6 +105,25 @@ def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return out, total[last] - total[last - per_text]
 
 
+def _remembered(distinct: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """As `_encode_pieces`, for the pieces not seen before; a full memory starts anew."""
+    known, count, flat = _loaded.get((path, "seen"), (distinct[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    at = pc.index_in(distinct, value_set=known)
+    fresh = distinct.filter(at.is_null())
+    if len(fresh):
+        if len(known) + len(fresh) > REMEMBERED:
+            known, count, flat, fresh, at = known[:0], count[:0], flat[:0], distinct, pa.nulls(len(distinct), pa.int32())
+        more, ids = _encode_pieces(fresh, path)
+        place = pc.fill_null(at, -1).to_numpy().copy()
+        place[place < 0] = np.arange(len(known), len(known) + len(fresh))
+        known, count, flat = pa.concat_arrays([known, fresh]), np.concatenate([count, more]), np.concatenate([flat, ids])
+        _loaded[path, "seen"] = known, count, flat
+    else:
+        place = at.to_numpy()
+    begin, n = (np.cumsum(count) - count)[place], count[place]
+    return n, flat[ragged(begin, n)]
+
+
 def _encode_pieces(distinct: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Number of ids of each piece, and all ids.
 
@@ -246,9 +273,10 @@ def _is_long(column: pa.Array, size: int) -> np.ndarray:
 def _plain(path: str, leaf: int):
     def encoded(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            b = b.filter(pa.array(~_is_long(b.column(1), leaf)))
-            ids, counts = encode_column(b.column(1), path)
-            yield batch(_IDS, b.column(0).cast(pa.int64()), lists(ids.astype(np.int32), counts, pa.int32()))
+            for p in slices(b, 1, SLICE_ROWS, SLICE_BYTES):
+                p = p.filter(pa.array(~_is_long(p.column(1), leaf)))
+                ids, counts = encode_column(p.column(1), path)
+                yield batch(_IDS, p.column(0).cast(pa.int64()), lists(ids.astype(np.int32), counts, pa.int32()))
 
     return encoded
 
@@ -284,7 +312,7 @@ def _groups(text: str, specials: list[str], leaf: int) -> Iterator[tuple[int, in
 
 def _encode_long(rows: DataFrame, path: str, leaf: int) -> DataFrame:
     def split_up(batches):
-        for b in batches:
+        for b in (p for b in batches for p in slices(b, 1, SLICE_ROWS, SLICE_BYTES)):
             b = b.filter(pa.array(_is_long(b.column(1), leaf)))
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 parts = list(_groups(text, _specials(path), leaf))
