@@ -55,8 +55,8 @@ def hashed(column: pa.Array) -> tuple[Words, np.ndarray]:
 
 
 def find_runs(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    def grams(b: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([window_hashes(hashed(p.column(0))[1], gram) for p in slices(b, 0, SLICE_ROWS, SLICE_BYTES)] or [np.zeros(0, np.uint64)])
+    def grams(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        return (window_hashes(hashed(p.column(0))[1], gram) for p in slices(b, 0, SLICE_ROWS, SLICE_BYTES))
 
     rank = rows.sparkSession.sparkContext.broadcast(anchors.ranks(anchors.frequencies(rows.select("text"), grams)))
 
