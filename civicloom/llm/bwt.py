@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicloom.llm import anchors
-from civicloom.llm.automata import RUNS, _RUNS, _flags_to_runs, covered, repeated_runs, wanted
+from civicloom.llm.automata import RUNS, _RUNS, _flags_to_runs, covered
 from civicloom.llm.words import batch, mix, ragged, slices, text_bytes, window_hashes
 from civicloom.operators.skew import settle
 
@@ -125,8 +125,10 @@ def suffix_order(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(last column, text and place of each row) of a shard; 0 stands for a sentinel, bytes are one more."""
+def transform(texts: list[bytes]) -> np.ndarray:
+    """A shard's transform: the byte before each suffix, one more than its value; 0 before a text's first.
+
+    The sentinels' rows come first, in the order of the texts."""
     size = np.array([len(t) + 1 for t in texts])
     data = np.zeros(int(size.sum()), np.uint16)
     ends = np.cumsum(size) - 1
@@ -134,11 +136,25 @@ def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside[ends] = False
     data[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 1
     order = suffix_order(np.where(inside, data - 1, 0).astype(np.uint8), ends)
-    text = np.searchsorted(ends, order)
-    begin = ends + 1 - size
-    place = order - begin[text]
-    last = np.where(place > 0, data[order - 1], 0).astype(np.uint16)
-    return last, text.astype(np.int32), place.astype(np.int32)
+    # the byte before a text's first is the sentinel of the text before: 0 as well
+    return np.where(order > 0, data[order - 1], 0).astype(np.uint16)
+
+
+def places(last: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Text and place in it of each row, by walking back from all sentinels at once."""
+    text, place = np.empty(len(last), np.int64), np.empty(len(last), np.int64)
+    back = np.empty(len(last), np.int64)
+    back[np.argsort(last, kind="stable")] = np.arange(len(last))
+    size = np.array(sizes, np.int64)
+    on = np.arange(len(size))
+    row = on.copy()
+    step = 0
+    while len(on):
+        text[row], place[row] = on, size[on] - step
+        step += 1
+        left = size[on] >= step
+        on, row = on[left], back[row[left]]
+    return text, place
 
 
 def merge(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,40 +222,38 @@ def repeated_starts(texts: list[bytes], length: int, shards: int = SHARDS) -> li
     return _starts(made, parts, [len(t) for t in texts], length)
 
 
-def _starts(made, parts, sizes: list[int], length: int) -> list[np.ndarray]:
-    block, _ = merge([m[0] for m in made], length)
-    text = np.concatenate([np.array(p, np.int64)[m[1]] for p, m in zip(parts, made)])
-    place = np.concatenate([m[2] for m in made])
+def _starts(made: list[np.ndarray], parts: list[list[int]], sizes: list[int], length: int) -> list[np.ndarray]:
+    block, _ = merge(made, length)
+    where = [places(last, [sizes[i] for i in p]) for last, p in zip(made, parts)]
+    text = np.concatenate([np.array(p, np.int64)[w[0]] for p, w in zip(parts, where)])
+    place = np.concatenate([w[1] for w in where])
+    size = np.array(sizes, np.int64)
     many = np.bincount(block, minlength=len(block))[block] > 1
-    hit = many & (place + length <= np.array(sizes)[text])
-    out = [np.zeros(0, np.int64) for _ in sizes]
+    hit = many & (place + length <= size[text])
     order = np.lexsort((place[hit], text[hit]))
     text, place = text[hit][order], place[hit][order]
-    for s, e in zip(*(lambda f: (f, np.append(f[1:], len(text))))(np.flatnonzero(np.diff(text, prepend=-1)))):
-        out[int(text[s])] = place[s:e]
-    return out
+    return np.split(place, np.searchsorted(text, np.arange(1, len(sizes))))
 
 
 _TEXTS = pa.schema([("key", pa.int64()), ("body", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())])
 _MADE = pa.schema(
     [("bucket", pa.int64()), ("shard", pa.int32()), ("keys", pa.list_(pa.int64())), ("bodies", pa.list_(pa.int64())), ("windows", pa.list_(pa.int32()))]
-    + [("last", pa.binary()), ("text", pa.binary()), ("place", pa.binary())]
+    + [("last", pa.binary())]
 )
-_MADE_DDL = "bucket bigint, shard int, keys array<bigint>, bodies array<bigint>, windows array<int>, last binary, text binary, place binary"
+_MADE_DDL = "bucket bigint, shard int, keys array<bigint>, bodies array<bigint>, windows array<int>, last binary"
 _FOUND = pa.schema([("key", pa.int64()), ("body", pa.int64()), ("at", pa.int32()), ("windows", pa.int32())])
 
 
 def shard_transforms(texts: DataFrame, buckets: int, shards: int = SHARDS) -> DataFrame:
-    """One row per shard: its transform with the texts it is made of."""
+    """One row per shard: its transform, and which texts it is made of."""
 
     def build(table: pa.Table) -> pa.Table:
         t = table.sort_by([("key", "ascending"), ("body", "ascending")])
-        last, text, place = transform(t["bytes"].to_pylist())
-        one = [np.array([t.num_rows])]
+        last = transform(t["bytes"].to_pylist())
         row = batch(
             _MADE, t["bucket"][:1].combine_chunks(), t["shard"][:1].combine_chunks(),
             *[pa.array([t[c].to_pylist()], f) for c, f in (("key", pa.list_(pa.int64())), ("body", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())))],
-            [last.tobytes()], [text.tobytes()], [place.tobytes()],
+            [last.tobytes()],
         )
         return pa.Table.from_batches([row])
 
@@ -259,7 +273,7 @@ def repeated_windows(made: DataFrame, window: int) -> DataFrame:
             bodies += r["bodies"]
             windows += r["windows"]
             sizes += [n + window - 1 for n in r["windows"]]
-            shards.append((np.frombuffer(r["last"], np.uint16), np.frombuffer(r["text"], np.int32), np.frombuffer(r["place"], np.int32)))
+            shards.append(np.frombuffer(r["last"], np.uint16))
         out = []
         for i, at in enumerate(_starts(shards, parts, sizes, window)):
             flags = np.zeros(windows[i], bool)
@@ -273,8 +287,9 @@ def repeated_windows(made: DataFrame, window: int) -> DataFrame:
 def removable(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """(row, start, n): starts of repeated windows, as runs."""
     runs = settle(find_runs(rows, window, gram))
-    one, mixed = repeated_runs(runs)
-    copies = runs.join(one.where(F.col("times") > 1).select("key", "body"), ["key", "body"]).select("row", "start", "n")
+    again, one = anchors.repeated_runs(runs)
+    copies = again.join(one.where(F.col("times") > 1).select("key", "body"), ["key", "body"]).select("row", "start", "n")
+    mixed = one.where("mixed")
 
     def bodies(batches):
         for b in batches:
@@ -286,14 +301,13 @@ def removable(rows: DataFrame, window: int, gram: int) -> DataFrame:
                     texts = [body[x["start"] : x["start"] + x["n"] + window - 1].tobytes() for x in got]
                     yield batch(_TEXTS, [x["key"] for x in got], [x["body"] for x in got], [x["n"] for x in got], texts)
 
-    mixed = settle(mixed)
     total = mixed.agg(F.sum(F.col("n") + window)).first()[0] or 0
-    need = rows.dropDuplicates(["row"]).join(wanted(mixed), "row").select("text", "places")
+    need = anchors.only_with(rows, anchors.wanted(mixed)).select("text", "places")
     texts = need.mapInArrow(bodies, "key bigint, body bigint, n int, bytes binary")
-    made = settle(shard_transforms(texts, int(total // BUCKET_BYTES) + 1))
+    made = shard_transforms(texts, int(total // BUCKET_BYTES) + 1)
     # a run that occurs twice is removed as a whole already
     found = repeated_windows(made, window).join(one.where(F.col("times") == 1).select("key", "body"), ["key", "body"])
-    single = runs.join(found, ["key", "body"]).select("row", (F.col("start") + F.col("at")).alias("start"), F.col("windows").alias("n"))
+    single = again.join(found, ["key", "body"]).select("row", (F.col("start") + F.col("at")).alias("start"), F.col("windows").alias("n"))
     return copies.unionByName(single)
 
 
@@ -303,7 +317,7 @@ _REPORT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remove
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): the kept bytes of every document."""
     rows = docs.select(F.xxhash64(key, text).alias("row"), F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    cover = removable(rows, window, gram).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("cover"))
+    cover = settle(removable(rows, window, gram).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("cover")))
 
     def cut(batches):
         for b in batches:
@@ -325,7 +339,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 raw = kept.tobytes()
                 yield batch(_REPORT, p.column(0), size, removed, spans[offsets[1:]] - spans[offsets[:-1]], [raw[e - n : e] for e, n in zip(ends.tolist(), (size - removed).tolist())])
 
-    joined = rows.join(cover, "row", "left").select("doc", "text", "cover")
+    joined = anchors.all_with(rows, cover).select("doc", "text", "cover")
     return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
