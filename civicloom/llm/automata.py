@@ -36,7 +36,7 @@ from civicloom.llm import anchors
 from civicloom.llm.words import SPACED, Words, batch, lists, ragged, slices, split, text_bytes, window_hashes
 from civicloom.operators.skew import settle
 
-WINDOW, GRAM = 50, 24
+WINDOW, GRAM = 50, 12
 SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
 LAST = (1 << 63) - 1
 
@@ -154,27 +154,13 @@ def by_key(batches: Iterator[pa.RecordBatch], column: str = "key") -> Iterator[l
         yield rows
 
 
-def repeated_runs(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(distinct runs of anchors that occur more than once, with their first place, times and
-    number of differing runs `kinds`; the mixed ones among them: kinds > 1)."""
-    one = runs.groupBy("key", "body").agg(F.min(F.struct("doc", "row", "start", "n")).alias("first"), F.count(F.lit(1)).alias("times"))
-    one = settle(one.select("key", "body", "first.*", "times"))
-    mixed = one.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1).select("key")
-    return one, one.join(mixed, "key")
-
-
-def wanted(mixed: DataFrame) -> DataFrame:
-    """Per row the places of runs whose text is needed."""
-    return mixed.groupBy("row").agg(F.collect_list(F.struct("key", "body", "start", "n")).alias("places"))
-
-
 def removable(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """(row, start, n): windows to remove the words of, as runs of their starts."""
     runs = settle(find_runs(rows, window, gram))
-    one, mixed = repeated_runs(runs)
+    again, one = anchors.repeated_runs(runs)
     # later copies of a run
     many = one.where(F.col("times") > 1).select("key", "body", F.col("doc").alias("first_doc"))
-    copies = runs.join(many, ["key", "body"]).where(F.col("doc") > F.col("first_doc")).select("row", "start", "n")
+    copies = again.join(many, ["key", "body"]).where(F.col("doc") > F.col("first_doc")).select("row", "start", "n")
 
     def bodies(batches):
         for b in batches:
@@ -188,7 +174,7 @@ def removable(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 flat = h[ragged(words.first[of] + start, size)].view(np.int64)
                 yield batch(_BODIES, key, body, p.column(1).to_numpy()[of], lists(flat, size, pa.int64()))
 
-    texts = rows.dropDuplicates(["row"]).join(wanted(mixed), "row").select("row", "doc", "text", "places")
+    texts = anchors.only_with(rows, anchors.wanted(one.where("mixed"))).select("row", "doc", "text", "places")
     shards = texts.mapInArrow(bodies, "key bigint, body bigint, doc bigint, words array<bigint>")
 
     def earlier(batches):
@@ -203,7 +189,8 @@ def removable(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
     parted = shards.repartition("key").sortWithinPartitions("key", "doc", "body")
     known = parted.mapInArrow(earlier, "key bigint, body bigint, at int, n int")
-    firsts = runs.join(known.withColumnRenamed("n", "windows"), ["key", "body"]).join(one.select("key", "body", F.col("doc").alias("first_doc")), ["key", "body"])
+    earliest = one.where("mixed").select("key", "body", F.col("doc").alias("first_doc"))
+    firsts = again.join(known.withColumnRenamed("n", "windows").join(earliest, ["key", "body"]), ["key", "body"])
     firsts = firsts.where(F.col("doc") == F.col("first_doc")).select("row", (F.col("start") + F.col("at")).alias("start"), F.col("windows").alias("n"))
     return copies.unionByName(firsts)
 
@@ -214,7 +201,7 @@ _REPORT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remove
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the kept words of every document, joined by single spaces."""
     rows = keyed(docs, key, text)
-    cover = removable(rows, window, gram).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("cover"))
+    cover = settle(removable(rows, window, gram).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("cover")))
 
     def cut(batches):
         for b in batches:
@@ -229,7 +216,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 left = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(total - count)]).astype(np.int32), array)
                 yield batch(_REPORT, p.column(0), total.astype(np.int64), count, pc.binary_join(left, " "))
 
-    joined = rows.join(cover, "row", "left").select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc"), "text", "cover")
+    joined = anchors.all_with(rows, cover).select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc"), "text", "cover")
     return joined.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
