@@ -356,16 +356,19 @@ def decode_column(ids: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return body[ragged(borders[flat], sizes)], texts
 
 
+def _texts(ids: pa.Array, path: str) -> list[str]:
+    data, borders = decode_column(ids, path)
+    raw = data.tobytes()
+    return [raw[s:e].decode("utf-8", "replace") for s, e in zip(borders[:-1].tolist(), borders[1:].tolist())]
+
+
 def decode(frame: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(doc_id, text) out of (doc_id, ids); bytes that are no UTF-8 become U+FFFD."""
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def texts(batches):
         for b in batches:
-            data, borders = decode_column(b.column(1), path)
-            raw = data.tobytes()
-            found = [raw[s:e].decode("utf-8", "replace") for s, e in zip(borders[:-1].tolist(), borders[1:].tolist())]
-            yield batch(schema, b.column(0).cast(pa.int64()), found)
+            yield batch(schema, b.column(0).cast(pa.int64()), _texts(b.column(1), path))
 
     return frame.select(F.col(key), F.col(ids)).mapInArrow(texts, "doc_id bigint, text string")
 
@@ -381,18 +384,34 @@ def _digest(path: str):
             flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
             ends = (np.cumsum(count) * 4).tolist()
             of_ids = [hashlib.sha256(flat[e - 4 * n : e]).hexdigest() for n, e in zip(count.tolist(), ends)]
-            data, borders = decode_column(ids, path)
-            raw = data.tobytes()
-            of_text = [hashlib.sha256(raw[s:e].decode("utf-8", "replace").encode("utf-8")).hexdigest() for s, e in zip(borders[:-1].tolist(), borders[1:].tolist())]
+            of_text = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in _texts(ids, path)]
             yield batch(_REPORT, b.column(0), count.astype(np.int64), of_ids, of_text)
 
     return digests
 
 
+def _in_one_pass(docs: DataFrame, path: str, key: str, text: str, leaf: int, then, out: str) -> DataFrame:
+    rows, plain = docs.select(F.col(key), F.col(text)), _plain(path, leaf)
+    short = rows.mapInArrow(lambda batches: then(plain(batches)), out)
+    return short.unionByName(_encode_long(rows, path, leaf).mapInArrow(then, out))
+
+
 def report(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: number of ids, digests of the ids and of the decoded text.
     Encoding, decoding and digests of a batch happen in one Python pass."""
-    rows, out = docs.select("doc_id", "text"), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    plain, digest = _plain(path, LEAF), _digest(path)
-    short = rows.mapInArrow(lambda batches: digest(plain(batches)), out)
-    return short.unionByName(_encode_long(rows, path, LEAF).mapInArrow(digest, out))
+    out = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return _in_one_pass(docs, path, "doc_id", "text", LEAF, _digest(path), out)
+
+
+_BOTH = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])
+
+
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
+    """(doc_id, n_tokens, ids, text): ids, and the text that they decode to."""
+
+    def both(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            count = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            yield batch(_BOTH, b.column(0), count.astype(np.int64), b.column(1), _texts(b.column(1), path))
+
+    return _in_one_pass(docs, path, key, text, leaf, both, "doc_id bigint, n_tokens bigint, ids array<int>, text string")

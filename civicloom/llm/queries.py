@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicloom.llm import automata, bpe, bwt, decontaminate, embedding_dedup, ngram_join, pii, quality, secrets
+from civicloom.llm import automata, bpe, bwt, decontaminate, embedding_dedup, line_dedup, ngram_join, pii, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,7 @@ def _query(name: str, *tables: str):
 
 
 _query("op1_pii", "documents")(pii.report)
+_query("op2_line_dedup", "documents")(line_dedup.report)
 _query("op3_embedding_dedup", "embeddings")(embedding_dedup.dedup)
 _query("op4_decontaminate", "documents", "benchmark")(decontaminate.report)
 _query("op5_ngram_join", "documents")(ngram_join.report)
