@@ -45,7 +45,7 @@ BLOCK, BUCKET = 1024, 64
 def _itq(x: np.ndarray, rounds: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection): principal axes, turned so that signs lose least."""
     mean = x.mean(axis=0)
-    axes = np.linalg.svd(x - mean, full_matrices=True)[2].T
+    axes = np.linalg.eigh((x - mean).T @ (x - mean))[1][:, ::-1]
     v = (x - mean) @ axes
     turn = np.linalg.qr(rng.standard_normal((v.shape[1], v.shape[1])))[0]
     for _ in range(rounds):
