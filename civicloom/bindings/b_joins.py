@@ -425,7 +425,7 @@ def _(t):
 @query("jn_figures_traceable", """
 WITH b AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9][0-9,. ]*')) AS figure FROM documents),
 s AS (SELECT doc_id + 1 AS doc_id, regexp_replace(text, '\\s+', '', 'g') AS flat FROM documents)
-SELECT b.doc_id, figure FROM b JOIN s ON s.doc_id = b.doc_id WHERE NOT contains(flat, regexp_replace(figure, '\\s+', '', 'g'))""")
+SELECT b.doc_id, figure FROM b LEFT JOIN s ON s.doc_id = b.doc_id WHERE flat IS NULL OR NOT contains(flat, regexp_replace(figure, '\\s+', '', 'g'))""")
 def _(t):
     pages = t.documents.select("doc_id", F.col("text").alias("body"))
     source = t.documents.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("source_text"))

@@ -177,11 +177,11 @@ def noted(t: Tables):
     """documents with a sentence per source that the scans are about."""
     s = F.col("source")
     note = (
-        F.when(s == "src1", " The office refused to answer and conceals the fee, it concealed hours.")
-        .when(s == "src2", " Bring your withholding tax form, refuse collection.")
-        .when(s == "src3", " The figure was withheld; lack of transparency.")
-        .when(s == "src4", " Call 086-555-1234 or 086-555-0000 and ask Atty. Cruz at 8:30 am.")
-        .when(s == "src5", " See [page](../a/b.md#x) and [site](/en/x). It costs ₱50, every 15 minutes.")
+        F.when(s == "src1", " Twice the clerk refused to stamp it; this page conceals nothing now but concealed much in spring.")
+        .when(s == "src2", " The ground floor has the withholding tax desk and the refuse bins.")
+        .when(s == "src3", " One total stays withheld, and the lack of transparency was noted.")
+        .when(s == "src4", " Phones: 086-555-1234, 086-555-0000; Atty. Cruz sees visitors from 8:30 am.")
+        .when(s == "src5", " Compare [page](../a/b.md#x) with [site](/en/x). Copies are ₱50, one every 15 minutes.")
         .otherwise("")
     )
     return t.documents.withColumn("body", F.concat("text", note))
@@ -414,7 +414,9 @@ def _(t):
 
 @query("src_manifest", """
 SELECT 'services' AS section, lower(o_orderpriority) AS category, n - 1 AS pos, 'order-' || o_orderkey || '-' || n AS slug, o_orderstatus AS verification,
-  strftime(o_orderdate, '%Y-%m-%d') AS checked FROM orders, (VALUES (1), (2)) v(n) WHERE o_orderstatus <> 'P'""")
+  strftime(o_orderdate, '%Y-%m-%d') AS checked, NULL AS error FROM orders, (VALUES (1), (2)) v(n) WHERE o_orderstatus <> 'P'
+UNION ALL SELECT 'services', lower(o_orderpriority), NULL, NULL, NULL, NULL, 'not a manifest: content/services/' || lower(o_orderpriority) || '/index.json'
+FROM orders WHERE o_orderstatus = 'P'""")
 def _(t):
     k = F.col("o_orderkey").cast("string")
     entry = lambda n: F.struct(
@@ -426,7 +428,7 @@ def _(t):
         F.concat(F.lit("content/services/"), F.lower("o_orderpriority"), F.lit("/index.json")).alias("path"),
         F.when(F.col("o_orderstatus") == "P", F.lit("{not json")).otherwise(text).alias("text"),
     )
-    return SRC.manifest_rows(raw, "text", "path").select("section", "category", "pos", "slug", "verification", F.col("lastCheckedAt").alias("checked"))
+    return SRC.manifest_rows(raw, "text", "path").select("section", "category", "pos", "slug", "verification", F.col("lastCheckedAt").alias("checked"), "error")
 
 
 def tree(t: Tables):

@@ -84,7 +84,7 @@ WITH r AS (SELECT page_id, url, CASE WHEN starts_with(p, '/es/5') THEN '/es/5' W
 k AS (SELECT page_id, kind FROM ({ORACLE['flt_reference_pages']})),
 a AS ({ORACLE['txt_article']}), ti AS ({ORACLE['txt_title']}), c AS ({ORACLE['txt_change']}),
 l AS (SELECT page_id, count(*) AS links FROM ({ORACLE['txt_links']}) GROUP BY 1)
-SELECT r.page_id, k.kind, r.rule, CASE WHEN r.rule IS NULL THEN ti.title END AS title, CASE WHEN r.rule IS NULL THEN a.chars END AS body_chars, c.state,
+SELECT r.page_id, k.kind, r.rule, CASE WHEN r.rule IS NULL THEN ti.title END AS title, CASE WHEN r.rule IS NULL THEN a.chars END AS body_chars, CASE WHEN r.rule IS NULL THEN c.state END AS state,
   CASE WHEN r.rule IS NULL THEN coalesce(l.links, 0) END AS links
 FROM r JOIN k ON k.page_id = r.page_id JOIN a ON a.page_id = r.page_id JOIN ti ON ti.page_id = r.page_id LEFT JOIN c ON c.page_id = r.page_id LEFT JOIN l ON l.page_id = r.page_id""")
 def _(t):

@@ -41,39 +41,88 @@ ENTITIES = {
 }
 
 
+def _plain(char: str) -> str:
+    """The canonical decomposition without its combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn")
+
+
+def _is_syllable(point: int) -> bool:
+    return 0xAC00 <= point <= 0xD7A3
+
+
 @functools.lru_cache(maxsize=1)
-def accent_table() -> tuple[str, str]:
-    """(accented, plain): every BMP character whose canonical decomposition,
-    with its combining marks dropped, is exactly one other character."""
-    src, dst = [], []
-    for point in range(0xC0, 0x10000):
-        if 0xAC00 <= point <= 0xD7A3 or 0xD800 <= point <= 0xDFFF:
+def _decompositions() -> dict[str, str]:
+    """Every character that is not its own plain form, but for marks and Hangul
+    syllables, which follow an arithmetic rule."""
+    found = {}
+    for point in range(0xC0, 0x110000):
+        if _is_syllable(point) or 0xD800 <= point <= 0xDFFF:
             continue
         char = chr(point)
-        if unicodedata.category(char) == "Mn":
-            continue
-        plain = "".join(
-            c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn"
-        )
-        if len(plain) == 1 and plain != char:
-            src.append(char)
-            dst.append(plain)
-    return "".join(src), "".join(dst)
+        if unicodedata.decomposition(char) and unicodedata.category(char) != "Mn" and _plain(char) not in ("", char):
+            found[char] = _plain(char)
+    return found
+
+
+@functools.lru_cache(maxsize=1)
+def accent_table() -> tuple[str, str]:
+    """(accented, plain): every character whose plain form is exactly one other character."""
+    single = {c: p for c, p in _decompositions().items() if len(p) == 1}
+    return "".join(single), "".join(single.values())
 
 
 def fold_literal(value: str) -> str:
     """The same fold for a query literal known when the plan is built."""
-    decomposed = unicodedata.normalize("NFD", value)
-    return "".join(c for c in decomposed if unicodedata.category(c) != "Mn").lower()
+    return _plain(value).lower()
+
+
+def _split_syllables(col: Column) -> Column:
+    """Hangul syllables as their two or three letters, by the arithmetic of their code points."""
+
+    def letter(first: int, count: int, index: Column) -> Column:
+        return F.substring(F.lit("".join(chr(first + i) for i in range(count))), index + 1, F.lit(1))
+
+    def parts(char: Column) -> Column:
+        at = F.ascii(char) - 0xAC00
+        lead = letter(0x1100, 19, F.floor(at / 588).cast("int"))
+        vowel = letter(0x1161, 21, F.floor(at % 588 / 28).cast("int"))
+        tail = F.when(at % 28 > 0, letter(0x11A8, 27, (at % 28 - 1).cast("int"))).otherwise(F.lit(""))
+        return F.when(char.between("\uac00", "\ud7a3"), F.concat(lead, vowel, tail)).otherwise(char)
+
+    return F.array_join(F.transform(F.split(col, ""), parts), "")
 
 
 def fold(col: Column) -> Column:
-    """Accent- and case-insensitive form. ASCII text skips the table."""
+    """Accent- and case-insensitive form. ASCII text skips the tables; characters of
+    several plain ones are looked for first."""
     src, dst = accent_table()
-    plain = F.regexp_replace(F.translate(col, src, dst), r"\p{Mn}+", "")
+    several = {c: p for c, p in _decompositions().items() if len(p) > 1}
+    spread = functools.reduce(lambda c, one: F.replace(c, F.lit(one[0]), F.lit(one[1])), several.items(), col)
+    wide = F.when(col.rlike("[" + "".join(several) + "]"), spread).otherwise(col)
+    wide = F.when(col.rlike("[\uac00-\ud7a3]"), _split_syllables(wide)).otherwise(wide)
+    plain = F.regexp_replace(F.translate(wide, src, dst), r"\p{Mn}+", "")
     return F.lower(F.when(col.rlike(r"[^\x00-\x7F]"), plain).otherwise(col))
 
 
+@functools.lru_cache(maxsize=1)
+def _folding_to() -> dict[str, str]:
+    """For each folded character the characters that fold to it one for one."""
+    found: dict[str, str] = {}
+    single = dict(zip(*accent_table()))
+    for point in range(0x110000):
+        char = chr(point)
+        folded = single.get(char, char).lower()
+        if folded != char and len(folded) == 1:
+            found[folded] = found.get(folded, "") + char
+    return found
+
+
+def folding_to(char: str) -> str:
+    """A pattern for the characters that fold to `char`, which is folded itself."""
+    alike = [char, *_folding_to().get(char, "")]
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in alike) + "]"
+
+
 def fold_chars(col: Column) -> Column:
     """Length-preserving fold: one character in, one character out."""
     src, dst = accent_table()
@@ -198,11 +247,14 @@ def decode_entities(col: Column) -> Column:
     """
     pieces = F.split(col, r"&#\d+;")
     codes = F.regexp_extract_all(col, F.lit(r"&#(\d+);"), F.lit(1))
-    # Characters() of a code point by way of its UTF-32 bytes.
-    chars = F.transform(
-        codes,
-        lambda c: F.decode(F.unhex(F.lpad(F.hex(c.cast("int")), 8, "0")), "UTF-32"),
-    )
+
+    def char(code: Column) -> Column:
+        """The character by way of its UTF-32 bytes; what is no character stays as printed."""
+        point = code.try_cast("long")
+        known = point.isNotNull() & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(F.when(known, point)), 8, "0")), "UTF-32")).otherwise(F.concat(F.lit("&#"), code, F.lit(";")))
+
+    chars = F.transform(codes, char)
     numeric = F.when(
         col.rlike(r"&#\d+;"),
         F.array_join(F.zip_with(pieces, chars, lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), ""),

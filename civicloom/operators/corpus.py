@@ -191,11 +191,12 @@ def untraceable_figures(
     pattern: str = T.FIGURE_PATTERN,
 ) -> DataFrame:
     """keys, figure: figures of a page that its source text does not hold,
-    whitespace ignored. Pages without a figure never reach the join."""
+    whitespace ignored; without a source text none is traceable. Pages without a
+    figure never reach the join."""
     found = pages.select(*keys, distinct_matches(F.col(body), pattern).alias("_f")).where(F.size("_f") > 0)
     flat = source.select(*keys, F.regexp_replace(source_text, r"\s+", "").alias("_flat"))
-    joined = found.join(flat, list(keys))
-    lost = F.filter("_f", lambda x: ~F.col("_flat").contains(F.regexp_replace(x, r"\s+", "")))
+    joined = found.join(flat, list(keys), "left")
+    lost = F.filter("_f", lambda x: ~F.coalesce(F.col("_flat"), F.lit("")).contains(F.regexp_replace(x, r"\s+", "")))
     return joined.select(*keys, F.explode(lost).alias("figure"))
 
 

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
 
 from civicloom.functions import text as T
 
@@ -87,56 +86,41 @@ def batch(df: DataFrame, queries: Sequence[str], text_cols, title_col: str, cate
     return df.withColumn("query", F.explode(_bind(hay, matching)))
 
 
-def runs(folded: str, terms: Sequence[str]) -> list[tuple[int, int]]:
-    """Ranges covered by the terms; overlapping and touching ones are one."""
-    found = []
-    for term in terms:
-        at = folded.find(term)
-        while at != -1:
-            found.append((at, at + len(term)))
-            at = folded.find(term, at + 1)
-    merged: list[tuple[int, int]] = []
-    for start, end in sorted(found):
-        if merged and start <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(merged[-1][1], end))
-        else:
-            merged.append((start, end))
-    return merged
+def mark_terms(query: str | None) -> list[str]:
+    """Terms folded character by character, as they stand in composed text."""
+    composed = unicodedata.normalize("NFC", (query or "").replace("%", ""))
+    single = dict(zip(*T.accent_table()))
+    return "".join(single.get(c, c) for c in composed if unicodedata.category(c) != "Mn").lower().split()
+
+
+def border(terms: Sequence[str]) -> tuple[str, str]:
+    """(a zero-width pattern for the borders between text that some term covers and
+    text that none does, one for a covered character to the right).
+
+    A place is inside an occurrence when a term's first k characters stand before it
+    and the others after it, so overlapping and touching occurrences need no merging."""
+    spelled = [[T.folding_to(c) for c in t] for t in dict.fromkeys(terms)]
+    inside = [f"(?<={''.join(t[:k])})(?={''.join(t[k:])})" for t in spelled for k in range(1, len(t))]
+    right = "(?:" + "|".join([f"(?={''.join(t)})" for t in spelled] + inside) + ")"
+    left = "(?:" + "|".join([f"(?<={''.join(t)})" for t in spelled] + inside) + ")"
+    return f"(?:{right}(?!{left})|{left}(?!{right}))", right
 
 
 def segments(text: Column, query: str | None) -> Column:
-    """ARRAY<STRUCT<text, matched>> whose texts concatenate to the input.
+    """ARRAY<STRUCT<text, matched>> whose texts concatenate to the input; null stays null.
 
-    The folded text has one character per character of the input, so the ranges
-    found in it cut the input itself. Cutting is linear in the text, which the
-    array functions would not be; the texts travel in Arrow batches."""
-    terms = list(dict.fromkeys(terms_of(query)))
+    The text is split at the borders of covered text, where matched and unmatched
+    pieces take turns."""
+    terms = mark_terms(query)
     if not terms:
-        return F.array(F.struct(text.alias("text"), F.lit(False).alias("matched")))
-    kind = ST.ArrayType(ST.StructType([ST.StructField("text", ST.StringType()), ST.StructField("matched", ST.BooleanType())]))
-
-    @F.arrow_udf(kind)
-    def cut(texts: pa.Array) -> pa.Array:
-        table = str.maketrans(*T.accent_table())
-        offsets, pieces, flags = [0], [], []
-        for value in texts.to_pylist():
-            value = value or ""
-            at = 0
-            for start, end in runs(value.translate(table).lower(), terms):
-                if start > at:
-                    pieces.append(value[at:start])
-                    flags.append(False)
-                pieces.append(value[start:end])
-                flags.append(True)
-                at = end
-            if at < len(value) or not value:
-                pieces.append(value[at:])
-                flags.append(False)
-            offsets.append(len(pieces))
-        rows = pa.StructArray.from_arrays([pa.array(pieces, pa.string()), pa.array(flags, pa.bool_())], ["text", "matched"])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
-
-    return cut(text)
+        return F.when(text.isNotNull(), F.array(F.struct(text.alias("text"), F.lit(False).alias("matched"))))
+    cut, covered = border(terms)
+    starts = text.rlike(rf"\A{covered}")
+    pieces = F.transform(
+        F.split(text, cut), lambda piece, i: F.struct(piece.alias("text"), ((i % 2 == 0) == starts).alias("matched"))
+    )
+    # an occurrence that ends the text leaves an empty piece after it
+    return F.filter(pieces, lambda s, i: (s["text"] != "") | (i == 0))
 
 
 def highlight(hits: DataFrame, col: str, query: str | None) -> DataFrame:

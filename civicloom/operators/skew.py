@@ -17,29 +17,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def lookup_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", salts: int = 16
-) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join many rows to a lookup that has one row per key, whatever share of
     the many rows one key holds.
 
-    With adaptive execution on, the join is left as it is: a lookup whose
+    The join is left to adaptive execution, which is on by default: a lookup whose
     measured size is below the session's threshold is broadcast, otherwise a
-    shuffle partition that turns out too large is split into several tasks (also
-    when a later step would like the join's partitioning). With it off, nothing
-    would split a hot key at run time, so the many side is spread over `salts`
-    sub-keys and the lookup is repeated for each. The salt is a hash of the row:
-    the many side should carry its own identifier."""
-    on = list(on)
-    conf = left.sparkSession.conf
-    adaptive = [conf.get(f"spark.sql.adaptive.{k}", "true") for k in ("enabled", "skewJoin.enabled")]
-    if all(str(v).lower() == "true" for v in adaptive):
-        conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-        return left.join(right, on, how)
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
-    many = left.withColumn("_salt", spread)
-    one = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return many.join(one, on + ["_salt"], how).drop("_salt")
+    shuffle partition that turns out too large is split into several tasks. (Where a
+    later step would like the join's partitioning, a session may allow the split with
+    spark.sql.adaptive.forceOptimizeSkewedJoin; no setting is changed here.)"""
+    return left.join(right, list(on), how)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

@@ -65,10 +65,23 @@ def violations(df: DataFrame, keys: Sequence[str], rules: Sequence[Rule]) -> Dat
 
 
 def strict(found: DataFrame) -> None:
-    """Raise if any violation exists; reads at most five rows."""
+    """Raise if any violation exists, with their number and the first five."""
     sample = found.limit(5).collect()
     if sample:
-        raise ValueError("; ".join(str(r.asDict()) for r in sample))
+        raise ValueError(f"{found.count()} violations: " + "; ".join(str(r.asDict()) for r in sample))
+
+
+def uncited_absences(absent: DataFrame, attempts: DataFrame, keys: Sequence[str], cited: Column) -> DataFrame:
+    """keys of rows said to be absent for which no attempt looked in the `cited`
+    place; a row without any attempt is one of them."""
+    looked = attempts.groupBy(*keys).agg(F.max(cited).alias("_cited"))
+    return absent.join(looked, list(keys), "left").where(~F.coalesce("_cited", F.lit(False))).select(*keys)
+
+
+def overclaimed_levels(claims: DataFrame, sources: DataFrame, keys: Sequence[str], retrievable: Column) -> DataFrame:
+    """keys of rows that claim a level their sources, none of them retrievable, do not bear out."""
+    borne = sources.groupBy(*keys).agg(F.max(retrievable).alias("_any"))
+    return claims.join(borne, list(keys)).where(~F.col("_any")).select(*keys)
 
 
 def blank(c) -> Column:

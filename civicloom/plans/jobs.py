@@ -183,16 +183,22 @@ def job_extract(layout: DataFrame) -> tuple[DataFrame, DataFrame]:
     bands, merged = L.row_bands(cell_rows)
     placed = L.demoted(L.rows(cell_rows, bands), names)
     keys = [*L.STEP_KEYS, "unlabelled"]
-    wide = placed.groupBy("doc", "page", "band").agg(
-        *[F.max(F.when(F.col("key") == k, F.col("text"))).alias(k) for k in keys]
-    ).select("doc", (F.col("page") * 1_000_000 + F.col("band")).alias("pos"), *keys, F.lit(None).cast("string").alias("unresolved"))
+    # Columns beyond the five have no label; all cells of a band that have none are kept, in their order.
+    placed = placed.withColumn("key", F.when(F.col("key").isin(*L.STEP_KEYS), F.col("key")).otherwise("unlabelled"))
+    held = placed.groupBy("doc", "page", "band", "key").agg(F.sort_array(F.collect_list(F.struct("y0", "text"))).alias("held"))
+    text_of = F.array_join(F.transform("held", lambda c: c["text"]), "\n")
+    wide = held.groupBy("doc", "page", "band").agg(
+        *[F.max(F.when(F.col("key") == k, text_of)).alias(k) for k in keys]
+    ).select("doc", "page", F.col("band").cast("double").alias("y"), F.lit(0.0).alias("x"), *keys, F.lit(None).cast("string").alias("unresolved"))
     # A page without columns keeps its lines, one unresolved row each.
     flat = table_lines.where(~L.is_header(line)).join(names.select("doc", "page").distinct(), ["doc", "page"], "left_anti")
     loose = flat.select(
-        "doc", (F.col("page") * 1_000_000 + F.floor(F.col("y0")) * 100).alias("pos"),
+        "doc", "page", F.col("y0").cast("double").alias("y"), F.col("x0").cast("double").alias("x"),
         *[F.lit(None).cast("string").alias(k) for k in keys], line.alias("unresolved"),
     )
-    parted = settle(RC.sectioned(wide.unionByName(loose), ["doc"]))
+    # Bands or loose lines: a page has one of them. A row's place is its number in reading order.
+    placed_rows = ordinal(wide.unionByName(loose), ["doc"], ["page", "y", "x", "unresolved"], F.floor(F.col("page") / 16), "pos")
+    parted = settle(RC.sectioned(placed_rows.drop("page", "y", "x"), ["doc"]))
     extra = parted.where(F.col("part") == "step").groupBy("doc").agg(F.count("unresolved").alias("unresolved"))
     is_merged = merged.where(F.col("key").isin("fee", "processingTime")).select("doc").distinct().withColumn("_merged", F.lit(True))
     services = (
@@ -216,7 +222,7 @@ def job_harvest(
 ) -> DataFrame:
     """One inventory row per allowed page: class, title, text checksum and size,
     change since the previous crawl and number of document links. `crawled` is
-    the part of the pages fetched this time, if not all were. A forbidden page a row with its rule and nothing read from it."""
+    the part of the pages fetched this time, if not all were. A forbidden page is a row with its rule; nothing is read from it."""
     from civicloom.operators import pages as P
 
     judged = P.robots_verdict(pages, "url", P.robots_rules(robots)).withColumn("kind", kind)
@@ -224,7 +230,10 @@ def job_harvest(
     # One generated row per page, so the text is extracted once for all measures.
     text = allowed.select(key, F.explode(F.array(P.article_text(F.col("html")))).alias("a"), P.published_title(F.col("html"), r"(?i)\s*[|.]\s*$").alias("title"))
     measured = text.select(key, "title", F.length("a").alias("body_chars"), F.sha2("a", 256).alias("content_sha256"))
-    state = P.changes(previous, (pages if crawled is None else crawled).select(key, "html"), key, "html")
+    # Change detection, like all else, reads allowed pages only.
+    may = allowed.select(key)
+    now, then = [lookup_join(p.select(key, "html"), may, [key], "left_semi") for p in (pages if crawled is None else crawled, previous)]
+    state = P.changes(then, now, key, "html")
     linked = P.links(allowed, key, "html", link_pattern).groupBy(key).agg(F.count(F.lit(1)).alias("links"))
     return (
         judged.select(key, "url", "kind", "rule")

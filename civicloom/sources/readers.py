@@ -40,10 +40,20 @@ def manifest_rows(raw: DataFrame, text: str, path: str) -> DataFrame:
 
 
 def entries_of(manifests: DataFrame) -> DataFrame:
+    """One row per entry. A manifest that does not parse is a row with an `error`
+    that names its file; `validate.strict` stops a job on such rows."""
     folder = F.split("path", "/")
-    return manifests.select(
-        F.element_at(folder, -3).alias("section"), F.element_at(folder, -2).alias("category"), F.posexplode("pages").alias("pos", "e")
-    ).select("section", "category", "pos", "e.*")
+    rows = manifests.select(
+        F.element_at(folder, -3).alias("section"),
+        F.element_at(folder, -2).alias("category"),
+        F.when(F.col("pages").isNull(), F.concat(F.lit("not a manifest: "), "path")).alias("error"),
+        F.posexplode_outer("pages").alias("pos", "e"),
+    )
+    return rows.where(F.col("pos").isNotNull() | F.col("error").isNotNull()).select("section", "category", "pos", "e.*", "error")
+
+
+def unreadable(entries: DataFrame) -> DataFrame:
+    return entries.where(F.col("error").isNotNull()).select("section", "category", "error")
 
 
 def scan_bodies(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:

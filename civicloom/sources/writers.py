@@ -4,6 +4,7 @@ storage."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,23 +33,27 @@ def write_inventory(
 
 
 def write_per_document(df: DataFrame, path: str, document: str, mode: str = "errorifexists", fmt="parquet") -> DataFrame:
-    """One folder per document. Rows keep the partitions they have; the size of
-    a file is bounded so that a huge document becomes several files."""
-    df.write.mode(mode).option("maxRecordsPerFile", 1_000_000).partitionBy(document).format(fmt).save(path)
+    """One folder per document. A document's rows are dealt to a few tasks by a hash of
+    the row, so that its folder has few files and a huge document more than one task;
+    the size of a file is bounded as well."""
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(4))
+    df.repartition(document, spread).write.mode(mode).option("maxRecordsPerFile", 1_000_000).partitionBy(document).format(fmt).save(path)
     return summary_of(df.sparkSession.read.format(fmt).load(path), {"documents": F.countDistinct(document)})
 
 
 def append_versions(documents: DataFrame, path: str) -> DataFrame:
     """Append (file, sha256) versions that the history does not hold. History
-    is read once, never rewritten; returns the number of rows appended."""
+    is read once, never rewritten; returns the number of versions per file. Only a
+    path that is not there yet counts as an empty history."""
     spark = documents.sparkSession
+    versions = documents.select("file", "sha256")
     try:
-        history = spark.read.parquet(path)
-    except Exception:
-        history = documents.select("file", "sha256").limit(0)
+        history = spark.read.schema(versions.schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        history = versions.limit(0)
     new = R.unseen_versions(documents, history)
-    # Versions recorded by one run share a batch number, so a repeated run
-    # finds them in the history and appends nothing.
     new.write.mode("append").parquet(path)
     return spark.read.parquet(path).groupBy("file").agg(F.count(F.lit(1)).alias("versions"))
 

@@ -142,6 +142,31 @@ def test_highlight_segments(spark, text, query, want):
     assert "".join(t for t, _ in got) == text
 
 
+def test_highlight_keeps_null_and_stays_in_the_jvm(spark):
+    df = spark.createDataFrame([(None,), ("aXbaab",), ("abab",)], "t string").select(S.segments(F.col("t"), "ab b").alias("s"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    got = [None if r["s"] is None else [tuple(x) for x in r["s"]] for r in df.collect()]
+    assert got == [None, [("aX", False), ("b", True), ("a", False), ("ab", True)], [("abab", True)]]
+
+
+@pytest.mark.parametrize(
+    "text,query",
+    [("한국 서울", "한국"), (unicodedata.normalize("NFD", "한국"), "국"), ("한국", unicodedata.normalize("NFD", "한")), ("कोन", "को"), ("कोन", "कोन"),
+     ("résumé", "resume"), ("re\u0301sume\u0301", "RÉSUMÉ"), ("কো", unicodedata.normalize("NFD", "কো")), ("\U0002f800", "\u4e3d")],
+)
+def test_text_and_query_fold_alike(spark, text, query):
+    df = spark.createDataFrame([(text, "x")], "name string, category string")
+    assert S.search(df, query, ["name"], "name", "category").count() == 1
+    assert value(spark, text, T.fold) == T.fold_literal(text)
+
+
+@pytest.mark.parametrize("text,want", [
+    ("&#99999999999;&#65;", "&#99999999999;A"), ("&#1114112;", "&#1114112;"), ("&#55296;x", "&#55296;x"), ("&#128512; &#1114111;", "\U0001f600 \U0010ffff"), (None, None),
+])
+def test_codes_that_are_no_character_stay(spark, text, want):
+    assert value(spark, text, T.decode_entities) == want
+
+
 def test_search_semantics(spark):
     df = spark.createDataFrame(
         [(1, "Birth certificate", "x", "health"), (2, "Other", "birth certificate copy", "civil"), (3, "Birth", "y", "z")],
@@ -187,7 +212,7 @@ def test_counter(spark, text, want):
 
 def test_framing_rules_fire_and_spare(spark):
     docs = spark.createDataFrame(
-        [(1, "The office refused to answer. A second conceals it; it concealed hours."), (2, "Refuse collection; withholding tax."), (3, "It was withheld.")],
+        [(1, "Twice the clerk refused to stamp it. One note conceals it; it concealed much."), (2, "Refuse bins; withholding tax desk."), (3, "One total stays withheld.")],
         "path int, body string",
     )
     got = {(r["path"], r["match"]) for r in P.pattern_scan(docs, "path", F.col("body"), P.FRAMINGS).collect()}

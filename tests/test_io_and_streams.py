@@ -8,6 +8,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from civicloom.operators import validate as V_
 from civicloom.sources import readers as SRC
 from civicloom.sources import writers as SNK
 from civicloom.streaming import feeds
@@ -106,6 +107,11 @@ def test_versions_are_appended_once(spark, tmp_path):
     count = lambda df: {r["file"]: r["versions"] for r in df.collect()}
     assert count(SNK.append_versions(v([("a", "1"), ("b", "1")]), path)) == {"a": 1, "b": 1}
     assert count(SNK.append_versions(v([("a", "2"), ("b", "1")]), path)) == {"a": 2, "b": 1}
+    with pytest.raises(Exception):  # a history that cannot be read is not an empty one
+        bad = tmp_path / "bad"
+        bad.mkdir()
+        (bad / "part-0.parquet").write_text("no parquet")
+        SNK.append_versions(v([("a", "1")]), str(bad)).collect()
     # Reverting to a recorded checksum adds nothing.
     assert count(SNK.append_versions(v([("a", "1"), ("b", "1")]), path)) == {"a": 2, "b": 1}
 
@@ -119,6 +125,16 @@ def test_readers(spark, tmp_path):
     root = str(tmp_path / "content")
     got = [(r["section"], r["category"], r["pos"], r["slug"]) for r in SRC.scan_manifests(spark, root).orderBy("pos").collect()]
     assert got == [("services", "health", 0, "one"), ("services", "health", 1, "two")]
+    broken = tmp_path / "content" / "services" / "civil"
+    broken.mkdir()
+    (broken / "index.json").write_text("{not json")
+    (tmp_path / "content" / "services" / "empty").mkdir()
+    (tmp_path / "content" / "services" / "empty" / "index.json").write_text('{"pages": []}')
+    entries = SRC.scan_manifests(spark, root)
+    errors = SRC.unreadable(entries).collect()
+    assert entries.count() == 3 and [(r["category"], r["error"].endswith("civil/index.json")) for r in errors] == [("civil", True)]
+    with pytest.raises(ValueError, match="1 violations.*civil"):
+        V_.strict(SRC.unreadable(entries))
     bodies = {(r["slug"], r["locale"]): r["body"] for r in SRC.scan_bodies(spark, root).collect()}
     assert bodies == {("one", "en"): "# One\nbody", ("one", "fil"): "# Isa"}
     blobs = SRC.scan_blobs(spark, root, "*.md").collect()

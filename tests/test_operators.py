@@ -51,16 +51,12 @@ def test_neighbours_equal_lag_and_lead(hot):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
 
 
-@pytest.mark.parametrize("adaptive", ["true", "false"])
-def test_lookup_join_with_a_hot_key(spark, hot, adaptive):
+def test_lookup_join_with_a_hot_key(spark, hot):
     dim = spark.createDataFrame([(k, k * 10) for k in range(0, 30)], "k int, d int")
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    try:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-        for how in ("left", "inner", "left_semi"):
-            assert len(K.lookup_join(hot, dim, ["k"], how).collect()) == hot.join(dim, "k", how).count()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
+    before = spark.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin")
+    for how in ("left", "inner", "left_semi"):
+        assert len(K.lookup_join(hot, dim, ["k"], how).collect()) == hot.join(dim, "k", how).count()
+    assert spark.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == before
 
 
 def test_first_n_limits_before_the_shuffle(hot):
@@ -287,3 +283,19 @@ def test_robots_uses_the_star_group_only(spark):
     assert got == {"http://h/private/x": "/private", "http://h/ok": None, "http://g/private": None}
 
 
+
+
+def test_pages_without_a_source_lose_no_figure(spark):
+    from civicloom.operators import corpus as C
+
+    pages = spark.createDataFrame([(1, "PHP 50 and PHP 70"), (2, "PHP 60"), (3, "none")], "k int, body string")
+    source = spark.createDataFrame([(1, "fee PHP  50"), (3, "x")], "k int, text string")
+    got = C.untraceable_figures(pages, source, ["k"], "body", "text").collect()
+    assert sorted((r["k"], r["figure"]) for r in got) == [(1, "PHP 70"), (2, "PHP 60")]
+
+
+def test_absence_without_any_attempt_is_found(spark):
+    absent = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    attempts = spark.createDataFrame([(1, "cited"), (1, "other"), (2, "other")], "k int, place string")
+    got = V.uncited_absences(absent, attempts, ["k"], F.col("place") == "cited").collect()
+    assert sorted(r["k"] for r in got) == [2, 3]
