@@ -156,16 +156,6 @@ def _(t):
     return FR.report(stated(t), classes(t), "key").orderBy("section", "rank", "key")
 
 
-@query(
-    "stm_v0_expiry",
-    f"""WITH {SQL} SELECT key, age FROM aged WHERE verification = 'V0' AND age >= 90""",
-)
-def _(t):
-    return FR.expired(pages(t), as_of()).select(
-        "key", F.date_diff(as_of(), F.col("last_checked_at")).alias("age")
-    )
-
-
 @query("val_cadence_config", """
 WITH c AS (SELECT p_brand AS name, min(p_size) - 2 AS cadence, max(CASE WHEN p_type = 'PROMO' THEN p_name END) AS why,
     count(*) FILTER (WHERE p_size > 49) AS triggers FROM part GROUP BY 1),

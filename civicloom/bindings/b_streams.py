@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicloom.bindings import b_freshness as BF
 from civicloom.bindings import b_text as BT
 from civicloom.bindings.registry import Tables, query
+from civicloom.operators import freshness as FR
+from civicloom.operators.skew import checkpoint_folder
 from civicloom.streaming import feeds
 from civicloom.streaming import visits as V
 
@@ -37,9 +41,34 @@ def counted(t: Tables) -> DataFrame:
     return V.counted_visits(V.accepted(visits(t.events)), "user_id", "ts")
 
 
+def folder(t: Tables, name: str) -> str:
+    return f"{checkpoint_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def landing(df: DataFrame, path: str):
+    """Lands a frame's rows where a stream picks them up."""
+    return lambda: df.write.mode("append").parquet(path)
+
+
+def from_folder(df: DataFrame, path: str) -> DataFrame:
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+def counted_by_stream(t: Tables) -> DataFrame:
+    """The events as landed files; a later row of another day closes the last one."""
+    path, rows = folder(t, "visits-in"), visits(t.events)
+    landing(rows, path)()
+    close = rows.agg(F.max("ts").alias("t")).select(
+        F.lit(-1).cast(rows.schema["event_id"].dataType).alias("event_id"), F.lit(-1).cast(rows.schema["user_id"].dataType).alias("user_id"),
+        (F.col("t") + F.expr("INTERVAL 3 DAYS")).cast(rows.schema["ts"].dataType).alias("ts"), F.lit("same-origin").alias("site"), F.lit("close").alias("agent"),
+    )
+    stream = V.counted_stream(V.accepted(from_folder(rows, path)), "user_id", "ts")
+    return V.drain(t.spark, stream, "visits", [landing(close, path)]).where(F.col("user_id") >= 0)
+
+
 @query("stm_visit_dedupe", f"WITH {COUNTED} SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at_time FROM v")
 def _(t):
-    return counted(t).select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at_time"))
+    return counted_by_stream(t).select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at_time"))
 
 
 @query("agg_visit_total", f"WITH {COUNTED} SELECT count(*) AS total FROM v")
@@ -47,20 +76,32 @@ def _(t):
     return V.total(counted(t))
 
 
-@query("stm_visit_total", f"WITH {FILTERED} SELECT count(*) AS total FROM f")
+@query("stm_visit_total", f"WITH {COUNTED} SELECT count(*) AS total FROM v")
 def _(t):
-    stream = V.total_stream(V.accepted(visits(V.read_stream(t.spark, t.folder, "events"))))
-    return V.drain_latest(t.spark, stream, "visit-total")
+    # What the dedupe stream has written is the total's own input stream.
+    path, done = folder(t, "counted-in"), counted_by_stream(t)
+    landing(done, path)()
+    return V.drain_latest(t.spark, V.total_stream(from_folder(done, path)), "visit-total")
 
 
 @query("stm_page_changes", """
 SELECT page_id, CASE WHEN url LIKE '%.html' THEN 'new' WHEN url LIKE '%#top' THEN 'changed' ELSE 'same' END AS state FROM pages WHERE url NOT LIKE '%/es/%'""")
 def _(t):
-    prev, curr = BT.crawls(t)
-    none = prev.limit(0).select("page_id", F.lit("").alias("sha256"))
-    first = feeds.page_events(none, prev.withColumn("n", F.lit(1)), "page_id", "html", "n")
-    second = feeds.page_events(first, curr.withColumn("n", F.lit(1)), "page_id", "html", "n")
-    return second.select("page_id", "state")
+    source, out = folder(t, "crawls-in"), folder(t, "crawls")
+    prev, curr = (c.withColumn("n", F.lit(n)) for n, c in enumerate(BT.crawls(t)))
+    for crawl in (prev, curr):
+        landing(crawl, source)()
+        feeds.crawl_feed(from_folder(crawl, source), out, "page_id", "html", "n").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{out}/log/batch=1").select("page_id", "state")
+
+
+def ticked(t: Tables, name: str, table) -> DataFrame:
+    """A table for the day of a landed tick."""
+    source, out = folder(t, f"{name}-in"), folder(t, name)
+    tick = t.spark.range(1).select(BF.as_of().cast("date").alias("day"))
+    landing(tick, source)()
+    feeds.tick_feed(from_folder(tick, source), out, "day", table).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{out}/batch=0")
 
 
 @query("stm_freshness_tick", f"""WITH {BF.SQL},
@@ -72,4 +113,13 @@ def _(t):
     top = t.orders.groupBy(F.col("o_orderpriority").alias("data_class")).agg(F.max("o_totalprice").alias("p"))
     dearest = t.orders.agg(F.max("o_totalprice")).scalar()
     changed = top.withColumn("m", dearest).where(F.col("p") < F.col("m"))
-    return feeds.freshness_tick(BF.pages(t), BF.classes(t), changed, BF.as_of()).select("key", "data_class", "state")
+    stated = lambda day: feeds.freshness_tick(BF.pages(t), BF.classes(t), changed, day).select("key", "data_class", "state")
+    return ticked(t, "freshness", stated)
+
+
+@query("stm_v0_expiry", f"WITH {BF.SQL} SELECT key, age FROM aged WHERE verification = 'V0' AND age >= 90")
+def _(t):
+    def over(day):
+        return FR.expired(BF.pages(t), day).select("key", F.date_diff(day, F.col("last_checked_at")).alias("age"))
+
+    return ticked(t, "expiry", over)

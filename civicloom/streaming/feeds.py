@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,30 +24,41 @@ def page_events(latest: DataFrame, batch: DataFrame, key: str, html: str, order:
     return out.select(key, state.alias("state"), "sha256")
 
 
-def latest_checksums(log: DataFrame, key: str) -> DataFrame:
-    return log.groupBy(key).agg(F.max_by("sha256", "batch").alias("sha256"))
-
-
 def crawl_feed(stream: DataFrame, path: str, key: str, html: str, order: str):
     """writeStream that turns crawl batches into change events under `path`.
 
-    The checksum log is append-only, one folder per batch; a batch that is run
-    again overwrites its own folder and reads only the batches before it."""
+    `path/log` is append-only, one folder per batch. `path/latest` has the latest
+    checksum of every page as of a batch, so a batch reads that table once and not the
+    log; a batch that is run again overwrites its own folders and reads the one before."""
     spark = stream.sparkSession
     kind = stream.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, state string, sha256 string, batch long"
+    known = f"{key} {kind}, sha256 string"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        if batch_id == 0:
-            log = spark.createDataFrame([], schema)
-        else:
-            log = spark.read.schema(schema).parquet(f"{path}/log").where(F.col("batch") < batch_id)
-        events = page_events(latest_checksums(log, key), batch, key, html, order)
-        events.write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+        latest = spark.read.schema(known).parquet(f"{path}/latest/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], known)
+        page_events(latest, batch, key, html, order).write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+        events = spark.read.schema(f"{key} {kind}, state string, sha256 string").parquet(f"{path}/log/batch={batch_id}")
+        seen = events.select(key, "sha256")
+        now = latest.join(seen.select(key), key, "left_anti").unionByName(seen)
+        now.write.mode("overwrite").parquet(f"{path}/latest/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/progress")
 
 
+def tick_feed(ticks: DataFrame, path: str, day: str, table: Callable[[Column], DataFrame]):
+    """writeStream that evaluates `table` (a frame for a day, such as `freshness_tick`
+    or `expired`) anew for the newest day of each batch of ticks, under
+    `path/batch=n`. State depends on the day alone, so ticks that were missed need
+    not be made up for; a batch without a day changes nothing."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        newest = batch.agg(F.max(day)).first()[0]
+        if newest is not None:
+            table(F.lit(newest)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return ticks.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/progress")
+
+
 def freshness_tick(pages: DataFrame, classes: DataFrame, changed: DataFrame, as_of: Column) -> DataFrame:
     """Pages with their state for a day, classes with a changed document forced
     stale. pages(data_class, last_checked_at, ...); changed(data_class)."""

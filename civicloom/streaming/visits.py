@@ -5,14 +5,14 @@ the last counted visit, and the running total - as streams, with batch twins.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from civicloom.operators.skew import checkpoint_folder
 
@@ -140,9 +140,10 @@ def _mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def counted_visits(visits: DataFrame, user: str, ts: str, days: int = 7) -> DataFrame:
-    """user, ts of every counted visit. A gap of exactly 24 hours counts."""
+    """user, ts of every counted visit. A gap of exactly 24 hours counts; a visit
+    without a browser key is not counted, here or in the stream."""
     kind = visits.schema[user].dataType.simpleString()
-    rows = visits.select(F.col(user).alias("user"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).withColumn(
+    rows = visits.where(F.col(user).isNotNull()).select(F.col(user).alias("user"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).withColumn(
         "block", F.floor(F.col("us") / F.lit(days * DAY))
     )
     sorted_rows = rows.repartition("user", "block").sortWithinPartitions("user", "block", "us")
@@ -169,7 +170,9 @@ class CountOncePerDay(StatefulProcessor):
     them in time order.
 
     A visit within 24 hours after the last counted one can never count, so it is
-    dropped on arrival; only visits that may still count are kept."""
+    dropped on arrival; only visits that may still count are kept. Once the watermark
+    has passed the last counted visit by 24 hours, no visit to come is affected by it
+    and nothing is kept for the browser."""
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -190,7 +193,7 @@ class CountOncePerDay(StatefulProcessor):
         if fresh:
             self.waiting.appendList([(int(u),) for u in fresh])
             self.handle.registerTimer(max(fresh) // 1000 + 1)
-        yield pd.DataFrame({"user": pd.Series(dtype="int64"), "us": pd.Series(dtype="int64")})
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = timerValues.getCurrentWatermarkInMs() * 1000
@@ -205,19 +208,23 @@ class CountOncePerDay(StatefulProcessor):
             self.waiting.put(later)
         else:
             self.waiting.clear()
-        if counted:
+        if last is not None and not later and limit >= last + DAY:
+            self.last.clear()
+        elif counted:
             self.last.update((last,))
-        yield pd.DataFrame({"user": [key[0]] * len(counted), "us": counted}).astype({"us": "int64"})
+            self.handle.registerTimer((last + DAY) // 1000 + 1)
+        if counted:
+            yield pd.DataFrame({"user": [key[0]] * len(counted), "us": counted}).astype({"us": "int64"})
 
     def close(self) -> None:
         pass
 
 
 def counted_stream(visits: DataFrame, user: str, ts: str, late: str = "1 hour") -> DataFrame:
-    """Counted visits of a stream. Visits later than `late` behind the newest
-    are dropped by the watermark."""
+    """Counted visits of a stream. Visits later than `late` behind the newest are
+    dropped by the watermark; `late_visits` counts them."""
     kind = visits.schema[user].dataType.simpleString()
-    timed = visits.select(
+    timed = visits.where(F.col(user).isNotNull()).select(
         F.col(user).alias("user"), F.col(ts).cast("timestamp").alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us")
     ).withWatermark("ts", late)
     out = timed.groupBy("user").transformWithStateInPandas(
@@ -236,20 +243,48 @@ def total_stream(counted: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- running a stream to its end
 
 
-def drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _to_its_end(writer, stateful: bool = False) -> StreamingQuery:
+    """Runs a stream over everything available. State with timers needs the RocksDB
+    store; the session's own setting is put back once the query has taken it up."""
+    spark = SparkSession.active()
+    before = spark.conf.get(STORE)
+    if stateful:
+        spark.conf.set(STORE, ROCKS)
+    try:
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
+    return query
+
+
+def late_visits(query: StreamingQuery) -> int:
+    """Rows that a stream's watermark has dropped."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
+def drain(spark: SparkSession, stream: DataFrame, name: str, more: Sequence[Callable[[], None]] = (), late: list[int] | None = None) -> DataFrame:
     """Run an appending stream over everything available and return what it
     wrote. Output and progress go to a folder of this run below the cluster's
-    shared checkpoint folder."""
+    shared checkpoint folder. Each of `more` lands further input, on which the stream
+    goes on from where it was. `late` takes the number of rows each run has dropped."""
     base = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .option("path", f"{base}/out")
         .option("checkpointLocation", f"{base}/progress")
         .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    for land in (None, *more):
+        if land is not None:
+            land()
+        query = _to_its_end(writer, stateful=True)
+        if late is not None:
+            late.append(late_visits(query))
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -263,14 +298,9 @@ def drain_latest(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
         newest["id"] = batch_id
 
-    query = (
-        stream.writeStream.foreachBatch(keep)
-        .option("checkpointLocation", f"{base}/progress")
-        .outputMode("complete")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    _to_its_end(stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/progress").outputMode("complete"))
+    if not newest:  # a stream without any batch
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{base}/out/batch={newest['id']}")
 
 

@@ -64,6 +64,41 @@ def test_stream_count_equals_batch(spark, tmp_path):
     assert sorted((r["u"], r["ts"]) for r in got.collect() if r["u"] != 99) == want
 
 
+def test_stream_state_expires_and_late_visits_are_counted(spark, tmp_path):
+    cols, source, progress = "u string, ts timestamp", str(tmp_path / "in"), str(tmp_path / "progress")
+
+    def land(*rows):
+        spark.createDataFrame(list(rows), cols).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(cols).parquet(source)
+        writer = V.counted_stream(stream, "u", "ts", "1 hour").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        return V.late_visits(V._to_its_end(writer.option("checkpointLocation", progress).outputMode("append"), stateful=True))
+
+    def kept():
+        state = spark.read.format("statestore").option("path", progress).option("stateVarName", "last").load()
+        return {r["key"]["user"] for r in state.collect()}
+
+    land(("a", T0), (None, T0))
+    run()
+    land(("b", T0 + dt.timedelta(hours=5)))
+    run()
+    assert kept() == {"a"}
+    land(("c", T0 + 3 * DAY))
+    run()
+    assert "a" not in kept()
+    land(("a", T0 + dt.timedelta(hours=6)), ("d", T0 + 3 * DAY))
+    assert run() == 1
+    got = spark.read.schema("u string, ts timestamp").parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["u"], r["ts"]) for r in got) == [("a", T0), ("b", T0 + dt.timedelta(hours=5))]
+
+
+def test_a_stream_without_input_has_no_total(spark, tmp_path):
+    spark.createDataFrame([], "u long, ts timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("u long, ts timestamp").parquet(str(tmp_path / "in"))
+    assert [r["total"] for r in V.drain_latest(spark, V.total_stream(stream), "none").collect()] in ([], [0])
+
+
 def test_refusals(spark):
     data = [("same-origin", "Mozilla"), ("same-origin", "GoogleBOT"), ("same-origin", ""), ("cross-site", "Mozilla"), (None, "Mozilla"), ("same-origin", None)]
     assert V.accepted(spark.createDataFrame(data, "site string, agent string")).count() == 1
