@@ -241,6 +241,14 @@ def render(
     return out
 
 
+def printed_whole() -> Column:
+    """Lines all of whose cells `render` prints: steps that say anything, and
+    requirements without cells that the requirements table has no column for."""
+    said = F.coalesce(*[F.col(f) for f in STEP_FIELDS]).isNotNull()
+    plain = F.coalesce("agencyAction", "fee", "processingTime").isNull() & F.col("clientStep").isNotNull()
+    return F.coalesce(((F.col("part") == "step") & said) | ((F.col("part") == "requirement") & plain), F.lit(False))
+
+
 def unrendered(source: DataFrame, rendered: DataFrame, keys: Sequence[str], line_id: str, text: str) -> DataFrame:
     """Source lines with any token that the record's published lines lack.
 

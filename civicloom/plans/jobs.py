@@ -70,8 +70,13 @@ def job_publish(
     )
     filed = lookup_join(parted, entries.select(key), [key], "left_semi")
     body = RC.render(entries, filed, [key], facts, locales)
-    source = filed.select(key, "pos", F.concat_ws(" ", *[F.col(f) for f in RC.STEP_FIELDS]).alias("text"))
-    ledger = RC.unrendered(source, body.where(F.col("locale") == locales[0]), [key], "pos", "text")
+    # Lines that are printed whole lack nothing; the others are compared with their records' pages.
+    source = filed.where(~RC.printed_whole()).select(key, "pos", F.concat_ws(" ", *[F.col(f) for f in RC.STEP_FIELDS]).alias("text"))
+    asked = source.select(key).distinct()
+    pages = RC.render(
+        lookup_join(entries, asked, [key], "left_semi"), lookup_join(filed, asked, [key], "left_semi"), [key], facts, locales[:1]
+    )
+    ledger = RC.unrendered(source, pages, [key], "pos", "text")
     return content, body, ledger
 
 
@@ -95,14 +100,20 @@ def job_enumerate(lines: DataFrame, doc: str, pos: str = "pos", text: str = "tex
     # A value may stand on the line below its label, but not in the next block.
     pair = F.concat_ws("\n", line, F.when(~F.col("below").rlike(SG.ANCHOR), F.col("below")))
 
-    def first(label):
-        value = T.inline_field(pair, label)
-        return F.min_by(value, F.when(value.isNotNull(), F.col(pos)))
+    # Most lines carry no label: one cheap test spares them the label patterns.
+    labelled = line.rlike(r"(?i)^\s*(?:office\s+or\s+division|classification|who\s+may\s+avail)")
+    labels = {"_office": "Office or Division", "_class": "Classification", "_whom": "Who may avail"}
+    block = block.withColumn("_label", labelled).withColumns(
+        {c: F.when(F.col("_label"), T.inline_field(pair, label)) for c, label in labels.items()}
+    )
+
+    def first(value):
+        return F.min_by(value, F.when(F.col(value).isNotNull(), F.col(pos)))
 
     facts = block.groupBy(doc, "seg").agg(
-        T.tidy(first("Office or Division")).alias("office"),
-        T.tidy(first("Classification")).alias("classification"),
-        first("Who may avail").alias("_who"),
+        T.tidy(first("_office")).alias("office"),
+        T.tidy(first("_class")).alias("classification"),
+        first("_whom").alias("_who"),
         F.max(line.rlike(r"(?i)CHECKLIST\s+OF\s+REQUIREMENTS")).alias("_req"),
         F.max(line.rlike(r"(?i)^\s*Output\s*(?::|\s{2,})")).alias("_out"),
     )
