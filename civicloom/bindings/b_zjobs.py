@@ -114,6 +114,52 @@ AUDIT = {
     "txt_phone_scan": ["doc_id", "match"],
     "txt_fee_scope": ["doc_id"],
     "txt_vocab_rules": ["p_partkey", "rule", "token"],
+    "val_attempt_cited": ["k"],
+    "val_bilingual_complete": ["doc_id"],
+    "val_bilingual_pair": ["doc_id"],
+    "val_cadence_config": ["name", "rule"],
+    "val_checksum_and_id": ["page_id", "rule"],
+    "val_content_needs_checksum": ["doc_id"],
+    "val_content_needs_level": ["doc_id"],
+    "val_enum_array": ["l_orderkey", "l_partkey", "l_suppkey", "bad"],
+    "val_fact_has_source": ["field", "kind"],
+    "val_level_needs_url": ["k"],
+    "val_level_not_overclaimed": ["k"],
+    "val_min_or_exact_count": ["l_orderkey", "rule"],
+    "val_no_future_dates": ["key", "field", "value"],
+    "val_no_person_in_office": ["s_suppkey"],
+    "val_partial_record_complete": ["l_orderkey", "l_partkey", "l_suppkey"],
+    "val_two_person": ["l_orderkey", "l_partkey", "l_suppkey", "rule"],
+    "val_undeclared_class": ["key", "data_class"],
+    "jn_catalogue_parity": ["key", "side", "reason"],
+    "jn_changed_documents": ["file", "from_sha", "to_sha"],
+    "jn_code_catalogue": ["code", "locale"],
+    "jn_confidence_present": ["id", "kind"],
+    "jn_figures_traceable": ["doc_id", "figure"],
+    "jn_files_manifest": ["doc_id", "kind"],
+    "jn_groups_whole": ["grp", "member", "kind"],
+    "jn_links_resolve": ["page_id", "href", "problem"],
+    "jn_misfiled": ["s_suppkey", "folder", "assigned"],
+    "jn_nav_live": ["route", "side"],
+    "jn_office_roster": ["verbatim", "kind"],
+    "jn_register_complete": ["slug", "kind"],
+    "jn_superseded": ["l_orderkey", "l_linenumber", "file"],
+    "jn_title_provenance": ["id", "kind"],
+    "jn_transcript_exists": ["stem"],
+    "jn_twin_figures": ["slug", "figure"],
+    "jn_urls_inventoried": ["url"],
+    "txt_completeness": ["l_orderkey", "pos"],
+    "txt_forbidden_sections": ["doc_id", "section"],
+    "txt_honorific": ["doc_id"],
+    "txt_internal_leak": ["item_id", "doc_id"],
+    "txt_language_vocabulary": ["doc_id", "match"],
+    "txt_link_shape": ["doc_id", "match"],
+    "txt_list_numbers": ["l_orderkey", "l_partkey", "l_suppkey", "problem"],
+    "txt_no_schedule": ["doc_id"],
+    "txt_proper_names": ["phrase", "doc_id"],
+    "txt_required_sections": ["doc_id", "section"],
+    "txt_untranslated": ["doc_id", "line_no"],
+    "txt_untranslated_terms": ["doc_id", "term"],
 }
 
 
