@@ -33,15 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicloom.llm import anchors
-from civicloom.llm.words import SPACED, Words, batch, lists, ragged, slices, split, text_bytes, window_hashes
+from civicloom.llm.words import SPACED, Words, batch, freed, lists, ragged, slices, split, text_bytes, window_hashes
 from civicloom.operators.skew import settle
 
 WINDOW, GRAM = 50, 12
-SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 2048, 2 << 20
 LAST = (1 << 63) - 1
 
-_RUNS = pa.schema([("key", pa.int64()), ("body", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-RUNS = "key bigint, body bigint, row bigint, doc bigint, start int, n int"
+_RUNS = pa.schema([("key", pa.int64()), ("body", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("again", pa.int32())])
+RUNS = "key bigint, body bigint, row bigint, doc bigint, start int, n int, again int"
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -67,10 +67,12 @@ def find_runs(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 r = anchors.runs(window_hashes(h, gram), words.first, gram, window, rank.value)
                 if len(r.key):
                     body = anchors.range_hash(anchors.sums(h), r.start, r.start + r.count + window - 1)
-                    row, doc = (p.column(c).to_numpy()[r.text] for c in (0, 1))
-                    yield batch(_RUNS, r.key.view(np.int64), body.view(np.int64), row, doc, (r.start - words.first[r.text]).astype(np.int32), r.count.astype(np.int32))
+                    at, again = anchors.folded(r, body)
+                    row, doc = (p.column(c).to_numpy()[r.text[at]] for c in (0, 1))
+                    start = (r.start - words.first[r.text]).astype(np.int32)
+                    yield batch(_RUNS, r.key[at].view(np.int64), body[at].view(np.int64), row, doc, start[at], r.count[at].astype(np.int32), again)
 
-    return rows.mapInArrow(found, RUNS)
+    return rows.mapInArrow(freed(found), RUNS)
 
 
 class Automaton:
@@ -160,7 +162,7 @@ def removable(rows: DataFrame, window: int, gram: int) -> DataFrame:
     again, one = anchors.repeated_runs(runs)
     # later copies of a run
     many = one.where(F.col("times") > 1).select("key", "body", F.col("doc").alias("first_doc"))
-    copies = again.join(many, ["key", "body"]).where(F.col("doc") > F.col("first_doc")).select("row", "start", "n")
+    copies = again.join(many, ["key", "body"]).where(F.col("doc") > F.col("first_doc")).select("row", "start", (F.col("n") * F.col("again")).alias("n"))
 
     def bodies(batches):
         for b in batches:
@@ -175,7 +177,7 @@ def removable(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 yield batch(_BODIES, key, body, p.column(1).to_numpy()[of], lists(flat, size, pa.int64()))
 
     texts = anchors.only_with(rows, anchors.wanted(one.where("mixed"))).select("row", "doc", "text", "places")
-    shards = texts.mapInArrow(bodies, "key bigint, body bigint, doc bigint, words array<bigint>")
+    shards = texts.mapInArrow(freed(bodies), "key bigint, body bigint, doc bigint, words array<bigint>")
 
     def earlier(batches):
         for group in by_key(batches):
@@ -188,10 +190,11 @@ def removable(rows: DataFrame, window: int, gram: int) -> DataFrame:
                     yield batch(_EARLIER, [r["key"]] * len(at), [r["body"]] * len(at), at.astype(np.int32), n.astype(np.int32))
 
     parted = shards.repartition("key").sortWithinPartitions("key", "doc", "body")
-    known = parted.mapInArrow(earlier, "key bigint, body bigint, at int, n int")
+    known = parted.mapInArrow(freed(earlier), "key bigint, body bigint, at int, n int")
     earliest = one.where("mixed").select("key", "body", F.col("doc").alias("first_doc"))
     firsts = again.join(known.withColumnRenamed("n", "windows").join(earliest, ["key", "body"]), ["key", "body"])
-    firsts = firsts.where(F.col("doc") == F.col("first_doc")).select("row", (F.col("start") + F.col("at")).alias("start"), F.col("windows").alias("n"))
+    firsts = firsts.where(F.col("doc") == F.col("first_doc")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("again") - 1)))
+    firsts = firsts.select("row", (F.col("start") + F.col("at") + F.col("turn") * F.col("n")).alias("start"), F.col("windows").alias("n"))
     return copies.unionByName(firsts)
 
 
@@ -217,7 +220,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 yield batch(_REPORT, p.column(0), total.astype(np.int64), count, pc.binary_join(left, " "))
 
     joined = anchors.all_with(rows, cover).select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc"), "text", "cover")
-    return joined.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return joined.mapInArrow(freed(cut), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def covered(cover: pa.Array, first: np.ndarray, window: int) -> np.ndarray:

@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 
 from civicloom.llm import anchors
 from civicloom.llm.automata import RUNS, _RUNS, _flags_to_runs, covered
-from civicloom.llm.words import batch, mix, ragged, slices, text_bytes, window_hashes
+from civicloom.llm.words import batch, freed, mix, ragged, release, slices, text_bytes, window_hashes
 from civicloom.operators.skew import settle
 
 LENGTH, GRAM = 400, 160
-SLICE_ROWS, SLICE_BYTES = 1024, 2 << 20
+SLICE_ROWS, SLICE_BYTES = 1024, 1 << 19
 #: Bytes of a bucket, about, and shards in it.
-BUCKET_BYTES, SHARDS = 2 << 20, 2
+BUCKET_BYTES, SHARDS = 1 << 19, 2
 
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -74,12 +74,13 @@ def find_runs(rows: DataFrame, window: int, gram: int) -> DataFrame:
                     r = anchors.runs(window_hashes(values, gram), borders, gram, window, rank.value)
                     if len(r.key):
                         body = anchors.range_hash(anchors.sums(values), r.start, r.start + r.count + window - 1)
-                        of = text[r.text]
-                        start = r.start - borders[r.text] + place[r.text]
+                        at, again = anchors.folded(r, body)
+                        of = text[r.text[at]]
+                        start = (r.start - borders[r.text] + place[r.text])[at].astype(np.int32)
                         row, doc = (p.column(c).to_numpy()[of] for c in (0, 1))
-                        yield batch(_RUNS, r.key.view(np.int64), body.view(np.int64), row, doc, start.astype(np.int32), r.count.astype(np.int32))
+                        yield batch(_RUNS, r.key[at].view(np.int64), body[at].view(np.int64), row, doc, start, r.count[at].astype(np.int32), again)
 
-    return rows.mapInArrow(found, RUNS)
+    return rows.mapInArrow(freed(found), RUNS)
 
 
 def suffix_order(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -114,7 +115,7 @@ def suffix_order(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         ahead = s + step
         over = ahead > stop[s]
         key = np.where(over, ahead - stop[s] - n, rank[np.minimum(ahead, n - 1)])
-        again = np.lexsort((s, key, begin[open_]))
+        again = np.argsort(begin[open_] * (2 * n) + (key + n), kind="stable")
         order[open_] = s[again]
         block, key, over = begin[open_], key[again], over[again]
         split_ = np.ones(len(open_), bool)
@@ -165,7 +166,7 @@ def merge(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray
     least `length`)."""
     n = sum(map(len, shards))
     back = np.full(n, -1, np.int64)
-    first = np.zeros(n, np.int64)
+    first = np.zeros(n, np.uint16)
     base = 0
     for last in shards:
         by_symbol = np.argsort(last, kind="stable")
@@ -184,7 +185,7 @@ def merge(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray
     block[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
     prefix = np.where(start, 0, -1)
     size = np.bincount(block, minlength=n)
-    live = np.arange(n)
+    live = order
     for depth in range(1, length):
         # rows one step before those whose block has just been split
         step = back[live]
@@ -194,9 +195,10 @@ def merge(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray
         rows, after = rows[open_], after[open_]
         if not len(rows):
             break
+        # they come in merged order; dealt out by their first byte they are in merged order again
+        at = np.argsort(first[rows], kind="stable")
+        rows, after = rows[at], after[at]
         own = block[rows]
-        at = np.lexsort((after, own))
-        rows, own, after = rows[at], own[at], after[at]
         fresh = np.ones(len(rows), bool)
         fresh[1:] = own[1:] != own[:-1]
         cut = fresh.copy()
@@ -208,10 +210,11 @@ def merge(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray
         inner = cut & ~fresh
         prefix[now[inner]] = depth
         # blocks that were split: their sizes, and their rows for the next round
-        was_split = np.isin(own, own[inner])
-        live = rows[was_split]
-        changed = np.unique(now[was_split], return_counts=True)
-        size[changed[0]] = changed[1]
+        heads = np.flatnonzero(fresh)
+        pieces = np.add.reduceat(cut.astype(np.int64), heads)
+        live = rows[np.repeat(pieces > 1, np.diff(np.append(heads, len(rows))))]
+        begins = np.flatnonzero(cut)
+        size[now[begins]] = np.diff(np.append(begins, len(rows)))
     return block, prefix
 
 
@@ -250,6 +253,7 @@ def shard_transforms(texts: DataFrame, buckets: int, shards: int = SHARDS) -> Da
     def build(table: pa.Table) -> pa.Table:
         t = table.sort_by([("key", "ascending"), ("body", "ascending")])
         last = transform(t["bytes"].to_pylist())
+        release()
         row = batch(
             _MADE, t["bucket"][:1].combine_chunks(), t["shard"][:1].combine_chunks(),
             *[pa.array([t[c].to_pylist()], f) for c, f in (("key", pa.list_(pa.int64())), ("body", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())))],
@@ -279,6 +283,7 @@ def repeated_windows(made: DataFrame, window: int) -> DataFrame:
             flags = np.zeros(windows[i], bool)
             flags[at] = True
             out += [(keys[i], bodies[i], s, n) for s, n in zip(*map(np.ndarray.tolist, _flags_to_runs(flags)))]
+        release()
         return pa.Table.from_batches([batch(_FOUND, *[[o[c] for o in out] for c in range(4)])])
 
     return made.groupBy("bucket").applyInArrow(merged, "key bigint, body bigint, at int, windows int")
@@ -288,7 +293,7 @@ def removable(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """(row, start, n): starts of repeated windows, as runs."""
     runs = settle(find_runs(rows, window, gram))
     again, one = anchors.repeated_runs(runs)
-    copies = again.join(one.where(F.col("times") > 1).select("key", "body"), ["key", "body"]).select("row", "start", "n")
+    copies = again.join(one.where(F.col("times") > 1).select("key", "body"), ["key", "body"]).select("row", "start", (F.col("n") * F.col("again")).alias("n"))
     mixed = one.where("mixed")
 
     def bodies(batches):
@@ -303,7 +308,7 @@ def removable(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
     total = mixed.agg(F.sum(F.col("n") + window)).first()[0] or 0
     need = anchors.only_with(rows, anchors.wanted(mixed)).select("text", "places")
-    texts = need.mapInArrow(bodies, "key bigint, body bigint, n int, bytes binary")
+    texts = need.mapInArrow(freed(bodies), "key bigint, body bigint, n int, bytes binary")
     made = shard_transforms(texts, int(total // BUCKET_BYTES) + 1)
     # a run that occurs twice is removed as a whole already
     found = repeated_windows(made, window).join(one.where(F.col("times") == 1).select("key", "body"), ["key", "body"])
@@ -340,7 +345,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 yield batch(_REPORT, p.column(0), size, removed, spans[offsets[1:]] - spans[offsets[:-1]], [raw[e - n : e] for e, n in zip(ends.tolist(), (size - removed).tolist())])
 
     joined = anchors.all_with(rows, cover).select("doc", "text", "cover")
-    return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return joined.mapInArrow(freed(cut), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
 def report(docs: DataFrame) -> DataFrame:

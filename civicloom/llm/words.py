@@ -6,7 +6,8 @@ worked out over that buffer with numpy, so no Python code runs for a single word
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,10 +115,21 @@ def window_hashes(values: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * powers(n, pow(BASE, -1, 1 << 64)))
 
 
+_powers: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps, at most.
+_KEPT_POWERS = 1 << 23
+
+
 def powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """base ** 0 to base ** (n - 1), modulo 2 ** 64."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base, np.uint64)
+        known[:1] = 1
+        known = np.multiply.accumulate(known)
+        if len(known) <= _KEPT_POWERS:
+            _powers[base] = known
+    return known[:n]
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -151,3 +163,31 @@ def slices(b: pa.RecordBatch, text: int, rows: int, size: int) -> Iterator[pa.Re
         total += s
     if start < b.num_rows:
         yield b.slice(start)
+
+
+def release() -> None:
+    """Gives memory that is not used any more back to the system: workers live on
+    between tasks, beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def freed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same work over batches; the worker keeps no memory between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in work(_releasing(batches)):
+            yield out
+            del out
+        release()
+
+    return run
+
+
+def _releasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b
+        del b
+        release()
