@@ -11,6 +11,41 @@ from civicloom.llm import automata, bpe, bwt, decontaminate, embedding_dedup, li
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+ORACLE["op4_decontaminate"] = f"""
+WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, w[i + 1 : i + 10] AS x FROM iw, unnest(range(greatest(len(w) - 9, 1))) t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT len(x) AS n FROM win),
+hit AS (SELECT doc_id, s, n, item_id FROM (SELECT doc_id, s, n, w[s + 1 : s + n] AS x FROM dw, sizes, unnest(range(len(w) - n + 1)) t(s)) JOIN win USING (x)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hit) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+ORACLE["op5_ngram_join"] = f"""
+WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_SPACED}') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM dw, unnest(range(greatest(len(w) - 4, 1))) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM dw UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM dw LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""
+
+ORACLE["op8_automata"] = f"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+win AS (SELECT doc_id, s, md5(array_to_string(w[s + 1 : s + 50], ' ')) AS x FROM dw, unnest(range(len(w) - 49)) t(s)),
+first AS (SELECT x, min(doc_id) AS d FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(s, s + 50)) AS p FROM win JOIN first USING (x) WHERE d < doc_id)),
+word AS (SELECT doc_id, p, w[p + 1] AS t FROM dw, unnest(range(len(w))) u(p)),
+kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY p) AS k FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM dw LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 
 def _query(name: str, *tables: str):
     """Registers a function of whole tables."""
