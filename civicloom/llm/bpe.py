@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicloom.llm.words import batch, lists, ragged, slices, text_bytes
+from civicloom.llm.words import batch, freed, lists, ragged, slices, text_bytes
 from civicloom.operators.skew import settle
 
 #: Bytes of unsplit text that one task encodes in one go.
@@ -287,7 +287,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     Documents without long unsplit text are encoded where they are read. Those with
     it go as leaves to tasks of their own and come back as ids of whole texts."""
     rows = docs.select(F.col(key), F.col(text))
-    return rows.mapInArrow(_plain(path, leaf), "doc_id bigint, ids array<int>").unionByName(_encode_long(rows, path, leaf))
+    return rows.mapInArrow(freed(_plain(path, leaf)), "doc_id bigint, ids array<int>").unionByName(_encode_long(rows, path, leaf))
 
 
 def _groups(text: str, specials: list[str], leaf: int) -> Iterator[tuple[int, int, str]]:
@@ -337,8 +337,8 @@ def _encode_long(rows: DataFrame, path: str, leaf: int) -> DataFrame:
                 parts = []
         return pa.Table.from_batches([batch(_IDS, [found[0]["key"]], [whole])])
 
-    parts = settle(rows.mapInArrow(split_up, "key bigint, row bigint, piece int, leaf int, part string"))
-    done = parts.repartition("row", "piece", "leaf").mapInArrow(encode_leaves, "key bigint, row bigint, piece int, leaf int, part string, ids array<int>")
+    parts = settle(rows.mapInArrow(freed(split_up), "key bigint, row bigint, piece int, leaf int, part string"))
+    done = parts.repartition("row", "piece", "leaf").mapInArrow(freed(encode_leaves), "key bigint, row bigint, piece int, leaf int, part string, ids array<int>")
     return done.groupBy("key", "row").applyInArrow(assemble, "doc_id bigint, ids array<int>")
 
 
@@ -370,7 +370,7 @@ def decode(frame: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -
         for b in batches:
             yield batch(schema, b.column(0).cast(pa.int64()), _texts(b.column(1), path))
 
-    return frame.select(F.col(key), F.col(ids)).mapInArrow(texts, "doc_id bigint, text string")
+    return frame.select(F.col(key), F.col(ids)).mapInArrow(freed(texts), "doc_id bigint, text string")
 
 
 _REPORT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -392,8 +392,8 @@ def _digest(path: str):
 
 def _in_one_pass(docs: DataFrame, path: str, key: str, text: str, leaf: int, then, out: str) -> DataFrame:
     rows, plain = docs.select(F.col(key), F.col(text)), _plain(path, leaf)
-    short = rows.mapInArrow(lambda batches: then(plain(batches)), out)
-    return short.unionByName(_encode_long(rows, path, leaf).mapInArrow(then, out))
+    short = rows.mapInArrow(freed(lambda batches: then(plain(batches))), out)
+    return short.unionByName(_encode_long(rows, path, leaf).mapInArrow(freed(then), out))
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:

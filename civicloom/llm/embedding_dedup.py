@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicloom.llm.components import components
-from civicloom.llm.words import batch
+from civicloom.llm.words import batch, freed
 from civicloom.operators.skew import settle
 
 THRESHOLD = 0.98
@@ -145,7 +145,7 @@ def near_links(rows: DataFrame, codes: Codes, dim: int, threshold: float) -> Dat
                 yield batch(_ENTRIES, np.full(b.num_rows, t, np.int32), code[:, t], b.column("label"), b.column("id"), b.column("n"), own, b.column("vec"))
 
     bucket = ["table", "code", "label"]
-    keys = rows.mapInArrow(entries, "table int, code bigint, label bigint, id bigint, n bigint, codes array<bigint>, vec array<float>")
+    keys = rows.mapInArrow(freed(entries), "table int, code bigint, label bigint, id bigint, n bigint, codes array<bigint>, vec array<float>")
     keys = settle(keys)
     sizes = keys.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     blocks = F.ceil(F.col("size") / BLOCK)
@@ -195,7 +195,7 @@ def near_links(rows: DataFrame, codes: Codes, dim: int, threshold: float) -> Dat
         if held and (out := done()) is not None:
             yield out
 
-    return parted.mapInArrow(linked, "id bigint, root bigint, links bigint")
+    return parted.mapInArrow(freed(linked), "id bigint, root bigint, links bigint")
 
 
 def dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:

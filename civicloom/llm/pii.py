@@ -143,7 +143,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
 
 @F.arrow_udf(SPANS)
 def spans(text: pa.Array) -> pa.Array:
-    return pa.array([find(t) if t else [] for t in text.to_pylist()], type=_SPANS)
+    parts = [pa.array([find(t) if t else [] for t in text.slice(s, 256).to_pylist()], type=_SPANS) for s in range(0, len(text), 256)]
+    return pa.concat_arrays(parts) if parts else pa.array([], type=_SPANS)
 
 
 def detect(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:

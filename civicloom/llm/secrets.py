@@ -63,7 +63,8 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
 
 @F.arrow_udf(FOUND)
 def candidates(text: pa.Array) -> pa.Array:
-    return pa.array([find(t) if t else [] for t in text.to_pylist()], type=_FOUND)
+    parts = [pa.array([find(t) if t else [] for t in text.slice(s, 256).to_pylist()], type=_FOUND) for s in range(0, len(text), 256)]
+    return pa.concat_arrays(parts) if parts else pa.array([], type=_FOUND)
 
 
 class Automaton:
