@@ -405,6 +405,43 @@ def test_line_dedup(spark):
     assert line_dedup.report(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_line_dedup_other_holders(spark):
+    """A block counts as a whole, whichever documents hold its lines first."""
+    four = "short a\nshort b\nshort c\nshort d"
+    texts = ["short a", "short b", four, four, "short d\nmine\n" + four + "\nshort d\ntail"]
+    texts += [f"filler text number {i}, long enough" for i in range(8)]
+    got = {r.whole.doc_id: r for r in line_dedup.dedup(docs_of(spark, texts)).collect()}
+    assert [got[i].n_removed for i in range(5)] == [0, 0, 0, 4, 4]
+    assert got[3].text == "" and got[4].text == "short d\nmine\nshort d\ntail"
+
+
+def test_line_dedup_brute(spark):
+    """Every block of consecutive lines that an earlier document has goes, if nothing stands in another order there."""
+    rnd = random.Random(3)
+    pool = [f"{'x' * rnd.randint(0, 9)} {i}" for i in range(30)]
+    base = rnd.sample(pool, 12)
+    docs = []
+    for _ in range(60):
+        i, j = sorted(rnd.sample(range(13), 2))
+        docs.append(["own %d" % rnd.randrange(10**9), *base[i:j], "own %d" % rnd.randrange(10**9)])
+
+    def common(a, b):
+        gone = set()
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                if sum(map(len, a[i : i + n])) >= line_dedup.MIN_CHARS:
+                    gone |= set(range(i, i + n))
+        return gone
+
+    got = {r.whole.doc_id: r for r in line_dedup.dedup(docs_of(spark, ["\n".join(d) for d in docs]), rare_share=1.0).collect()}
+    for k, d in enumerate(docs):
+        gone = set().union(*[common(d, e) for e in docs[:k]]) if k else set()
+        assert got[k].text == "\n".join(x for i, x in enumerate(d) if i not in gone), k
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     import public_tokenizers
