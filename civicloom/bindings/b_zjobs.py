@@ -17,7 +17,8 @@ def charter_lines(t: Tables):
         F.when(F.col("o_totalprice") > 50000, F.concat(F.lit("  7. Renew   licence "), k)).otherwise("TOTAL: none"),
         F.concat(F.lit("Office  or Division:  Office  "), "o_orderpriority"),
         F.concat(F.lit("CLASSIFICATION    "), s),
-        F.when(s == "O", "Who may avail?  All").when(s == "F", "Who may avail:").otherwise("Everyone welcome"),
+        F.when(s == "O", "Who may").when(s == "F", "Who may avail:").otherwise("Everyone welcome"),
+        F.when(s == "O", "avail?  All"),
         F.when(s != "P", "CHECKLIST OF  REQUIREMENTS   WHERE TO SECURE").otherwise("Bring an ID"),
         F.lit("1. Valid ID"),
         F.lit("CLIENT STEPS   AGENCY ACTION   FEES TO BE"),

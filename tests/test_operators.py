@@ -299,3 +299,12 @@ def test_absence_without_any_attempt_is_found(spark):
     attempts = spark.createDataFrame([(1, "cited"), (1, "other"), (2, "other")], "k int, place string")
     got = V.uncited_absences(absent, attempts, ["k"], F.col("place") == "cited").collect()
     assert sorted(r["k"] for r in got) == [2, 3]
+
+
+def test_labels_that_wrap_are_read(spark):
+    from civicloom.plans import jobs as J
+
+    lines = ["Office or Division", "Office or", "Division: Registry", "Who may", "avail: All", "Classification", "  Simple"]
+    text = spark.createDataFrame([("a.pdf", i, x) for i, x in enumerate(lines)], "doc string, pos int, text string")
+    got = J.job_enumerate(text, "doc").first()
+    assert (got["office"], got["owning_office"], got["eligibility"], got["classification"]) == ("Registry", "present", "present", "Simple")
