@@ -208,6 +208,16 @@ def test_decontaminate(spark, slice_words):
     assert decontaminate.report(docs.limit(0), bench).count() == 0
 
 
+def test_decontaminate_null_ids(spark):
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliet"
+    big = (1 << 53) + 1
+    docs = spark.createDataFrame([(None, "x " + words), (None, words), (None, "clean"), (None, None), (big, words), (big + 1, "clean")], "doc_id bigint, text string").coalesce(1)
+    bench = spark.createDataFrame([(None, words), (7, words + " kilo")], "item_id bigint, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.report(docs, bench).collect())
+    hit = (10, 2, sha("7"), True)
+    assert got == Counter({(None, 11, *hit): 1, (None, 10, *hit): 1, (big, 10, *hit): 1, (None, 1, 0, 0, sha(""), False): 1, (None, 0, 0, 0, sha(""), False): 1, (big + 1, 1, 0, 0, sha(""), False): 1})
+
+
 def test_proximity(spark):
     item = [(1, "alpha bravo charlie delta echo foxtrot golf hotel india juliet")]
     texts = ["xx alpha bravo charlie delta echo foxtrot golf hotel india juliet", "alpha bravo charlie yy delta echo foxtrot golf hotel india juliet", "juliet alpha", "alpha bravo"]

@@ -47,3 +47,13 @@ def test_stages_keep_columns_and_odd_rows(spark):
         assert rows and all(r.row == "mine" and r.gone == 2 for r in rows), name
         assert stage(spark, docs.limit(0), FOLDER).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_stages_judge_null_ids(spark):
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first().text
+    other = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(None, item), (None, other), (None, other), (None, other + " end"), (None, None), (3, "own text"), (None, "own text")], "doc_id bigint, text string")
+    clean = corpus_pipeline._benchmark(spark, docs, FOLDER)
+    assert item not in {r.text for r in clean.collect()} and clean.count() == 6
+    near = sorted(((r.doc_id, r.text) for r in corpus_pipeline._near(spark, clean, FOLDER).collect()), key=str)
+    assert len(near) == 3 and {(None, None), (3, "own text")} <= set(near)
