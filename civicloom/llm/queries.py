@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicloom.llm import automata, bpe, bwt, decontaminate, embedding_dedup, line_dedup, ngram_join, pii, quality, secrets
+from civicloom.llm import automata, bpe, bwt, decontaminate, embedding_dedup, line_dedup, ngram_join, pii, quality, secrets, vector_codes, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,6 +46,28 @@ lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM dw LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
+def _codes_sql(rounds: int = 4) -> str:
+    """Rounds of assignment and mean, one table expression each."""
+    parts = """
+WITH kept AS (SELECT vec_id, label, embedding AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+x AS (SELECT vec_id, label, list_transform(v, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x FROM kept),
+p AS (SELECT vec_id, p, x[p * len(x) // 4 + 1 : (p + 1) * len(x) // 4] AS x FROM x, unnest(range(4)) t(p)),
+b0 AS (SELECT p, rank() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM p QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 256)"""
+    near = "SELECT vec_id, p.p, arg_min(e, (list_dot_product(c, c) - 2 * list_dot_product(x, c), e)) AS e, any_value(x) AS x, min(list_dot_product(c, c) - 2 * list_dot_product(x, c)) + any_value(list_dot_product(x, x)) AS d FROM p JOIN {b} b ON p.p = b.p GROUP BY 1, 2"
+    for r in range(1, rounds + 1):
+        parts += f""",
+a{r} AS ({near.format(b=f"b{r - 1}")}),
+m{r} AS (SELECT p, e, list(floor(s / n) ORDER BY i) AS c FROM (SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, unnest(range(1, len(x) + 1)) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{r} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{r - 1} b LEFT JOIN m{r} m ON m.p = b.p AND m.e = b.e)"""
+    return parts + f""",
+last AS ({near.format(b=f"b{rounds}")}),
+sha AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda v: CAST(v AS BIGINT)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+code AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM code JOIN x USING (vec_id), sha"""
+
+
+ORACLE["op13_vector_codes"] = _codes_sql()
+
 
 def _query(name: str, *tables: str):
     """Registers a function of whole tables."""
@@ -75,3 +97,5 @@ def _bpe(docs: DataFrame) -> DataFrame:
 _query("op8_automata", "documents")(automata.report)
 _query("op9_secrets", "documents")(secrets.report)
 _query("op10_quality", "documents", "labels")(quality.report)
+_query("op12_whitening", "embeddings")(whitening.report)
+_query("op13_vector_codes", "embeddings")(vector_codes.report)
