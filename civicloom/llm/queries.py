@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicloom.llm import automata, bpe, bwt, decontaminate, embedding_dedup, line_dedup, ngram_join, pii, quality, secrets, vector_codes, whitening
+from civicloom.llm import automata, bpe, bwt, decontaminate, embedding_dedup, line_dedup, ngram_join, pii, quality, secrets, toxicity, vector_codes, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,5 +97,6 @@ def _bpe(docs: DataFrame) -> DataFrame:
 _query("op8_automata", "documents")(automata.report)
 _query("op9_secrets", "documents")(secrets.report)
 _query("op10_quality", "documents", "labels")(quality.report)
+_query("op11_toxicity", "documents", "labels")(toxicity.report)
 _query("op12_whitening", "embeddings")(whitening.report)
 _query("op13_vector_codes", "embeddings")(vector_codes.report)
