@@ -78,6 +78,27 @@ def page_lines(t: Tables):
     )
 
 
+def checklist_lines(t: Tables):
+    """More of the checklist of services with a steps header, by the last digit of
+    the order: a wrapped item, a marker set apart, a fragment, two places beside one
+    item, and an item that runs on below the steps header."""
+    one, v = F.lit(100000), F.col("o_orderkey") % 5
+    fee = F.when(F.col("o_orderkey") % 2 == 0, "PHP 50.00").otherwise("Window 4")
+    more = F.array(
+        F.when(v == 1, _line(one + 7, 60, 131, 180, F.lit("with two copies"))),
+        F.when(v == 2, _line(one + 15, 40, 133, 50, F.lit("2."))),
+        F.when(v == 2, _line(one + 16, 60, 133, 150, F.lit("Barangay clearance"))),
+        F.when(v == 2, _line(one + 17, 470, 133, 540, F.lit("Treasurer"))),
+        F.when(v == 3, _line(one + 15, 60, 133, 90, F.lit("2. x"))),
+        F.when(v == 4, _line(one + 17, 470, 125, 540, fee)),
+        F.when((v == 0) & F.col("timed"), _line(one + 15, 60, 185, 150, F.lit("3. Police clearance"))),
+        F.when((v == 0) & F.col("timed"), _line(one + 17, 470, 185, 540, F.lit("Station"))),
+    )
+    timed = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("timed", F.lit(True))
+    headed = t.orders.where(F.col("o_orderstatus") != "P").join(timed, "o_orderkey", "left").withColumn("timed", F.coalesce("timed", F.lit(False)))
+    return headed.select(F.col("o_orderkey").alias("page"), F.inline(F.filter(more, lambda c: c.isNotNull())))
+
+
 def with_doc(t: Tables, lines):
     """A customer's orders are the pages of one document."""
     owner = t.orders.select(F.col("o_orderkey").alias("page"), F.col("o_custkey").alias("doc"))
@@ -89,7 +110,7 @@ def table_layout(t: Tables):
 
 
 def full_layout(t: Tables):
-    return with_doc(t, table_lines(t).unionByName(page_lines(t)))
+    return with_doc(t, table_lines(t).unionByName(page_lines(t)).unionByName(checklist_lines(t)))
 
 
 ITEMS = f"items AS (SELECT *, o_custkey AS doc, l_orderkey AS page FROM (SELECT *, {NUM} AS i FROM lineitem) JOIN orders ON o_orderkey = l_orderkey)"

@@ -50,28 +50,42 @@ def _(t):
 
 
 EXPECTED = f"""o AS (SELECT *, {SECTION_SQL} AS section, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS service,
-    lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) IS NOT NULL AS has_next FROM orders),
-li AS (SELECT *, {BL.NUM} AS i FROM lineitem),
-n AS (SELECT l_orderkey, count(*) AS n FROM li GROUP BY 1),
-base AS (SELECT o.*, o_custkey || '#' || service AS doc, coalesce(n.n, 0) AS n FROM o LEFT JOIN n ON n.l_orderkey = o_orderkey)"""
+    lead(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next_status FROM orders),
+li AS (SELECT *, {BL.NUM} AS i, CASE WHEN l_tax = 0 THEN 'None' ELSE 'PHP ' || CAST(l_quantity AS INTEGER) || '.00' END AS price FROM lineitem),
+n AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_suppkey) AS officers, string_agg('Submit form ' || l_partkey || ' Check part ' || l_partkey || ' ' || price
+    || ' ' || i || ' Minutes' || CASE WHEN l_discount > 0.05 THEN ' again' ELSE '' END, ' ' ORDER BY i) AS spoken FROM li GROUP BY 1),
+base AS (SELECT o.*, o_custkey || '#' || service AS doc, coalesce(n.n, 0) AS n, officers, spoken, next_status IS NOT NULL AS has_next,
+    CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 5 END AS v FROM o LEFT JOIN n ON n.l_orderkey = o_orderkey),
+req AS (
+  SELECT doc, CASE WHEN v = 1 THEN '1. Valid ID with two copies' ELSE '1. Valid ID' END AS item, CASE WHEN v = 4 THEN NULL ELSE 'Registrar' END AS place FROM base
+  UNION ALL SELECT doc, '2. Barangay clearance', 'Treasurer' FROM base WHERE v = 2
+  UNION ALL SELECT doc, '2. x', NULL FROM base WHERE v = 3
+  UNION ALL SELECT doc, '3. Police clearance', 'Station' FROM base WHERE v = 0 AND n > 0
+  UNION ALL SELECT doc, '1. Valid ID ' || spoken, NULL FROM base WHERE v IS NULL AND n > 0
+  UNION ALL SELECT doc, CASE next_status WHEN 'F' THEN 'External Services' WHEN 'O' THEN 'INTERNAL  SERVICES' ELSE 'General notes' END, NULL FROM base WHERE v IS NULL AND has_next),
+asked AS (SELECT doc, count(*) AS requirements FROM req GROUP BY 1)"""
 
 
 @query("job_extract", f"""WITH {EXPECTED}
 SELECT doc, section, 7 AS number, 'Renew licence ' || o_orderkey AS title, 'Office ' || o_orderpriority AS office, o_orderstatus AS classification,
-  n AS timed, CASE WHEN o_orderstatus = 'P' AND n > 0 THEN 1 ELSE 0 END AS requirements,
+  n AS timed, requirements, coalesce(v <> 3, true) AS requirements_coherent,
+  CASE WHEN v = 4 THEN 1 + o_orderkey % 2 WHEN v IS NULL AND n > 0 THEN 1 + officers ELSE 0 END AS unpaired, coalesce(v = 4 AND o_orderkey % 2 = 0, false) AS steps_text_in_requirements,
   n + CASE WHEN has_next THEN 1 ELSE 0 END + CASE WHEN o_orderstatus = 'P' AND n = 0 THEN 1 ELSE 0 END AS rows,
-  CASE WHEN n = 0 AND NOT has_next THEN 'needs-human' ELSE 'high' END AS confidence FROM base""")
+  CASE WHEN n = 0 AND NOT has_next THEN 'needs-human' WHEN v = 3 THEN 'needs-human' ELSE 'high' END AS confidence FROM base JOIN asked USING (doc)""")
 def _(t):
     services, _ = J.job_extract(BL.full_layout(t))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return services.select("doc", "section", "number", "title", "office", "classification", zero("timed"), zero("requirements"), zero("rows"), "confidence")
+    return services.select(
+        "doc", "section", "number", "title", "office", "classification", zero("timed"), zero("requirements"), "requirements_coherent", zero("unpaired"),
+        F.coalesce("steps_text_in_requirements", F.lit(False)).alias("steps_text_in_requirements"), zero("rows"), "confidence",
+    )
 
 
 @query("job_extract_steps", f"""WITH {EXPECTED}
 SELECT doc, 'step' AS part, 'Submit form ' || l_partkey AS "clientStep", 'Check part ' || l_partkey || CASE WHEN l_discount > 0.05 THEN ' again' ELSE '' END AS "agencyAction",
-  CASE WHEN l_tax = 0 THEN 'None' ELSE 'PHP ' || CAST(l_quantity AS INTEGER) || '.00' END AS fee, i || ' Minutes' AS "processingTime", 'Officer ' || l_suppkey AS "personResponsible"
+  price AS fee, i || ' Minutes' AS "processingTime", 'Officer ' || l_suppkey AS "personResponsible"
 FROM li JOIN base ON o_orderkey = l_orderkey
-UNION ALL SELECT doc, 'requirement', '1. Valid ID', NULL, NULL, NULL, 'Registrar' FROM base WHERE o_orderstatus = 'P' AND n > 0""")
+UNION ALL SELECT doc, 'requirement', item, NULL, NULL, NULL, place FROM req""")
 def _(t):
     _, steps = J.job_extract(BL.full_layout(t))
     return steps.where(F.col("fee").isNotNull() | (F.col("part") == "requirement")).select(

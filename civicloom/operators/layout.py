@@ -109,14 +109,19 @@ def place(lines: DataFrame, cuts: DataFrame) -> DataFrame:
     return lookup_join(lines, cuts, PAGE, "inner").withColumn("col", column_of(centre())).drop("cuts")
 
 
-def header_fragments(lines: DataFrame) -> DataFrame:
-    """doc, page, key, centre, first: header fragments of a page merged by key;
-    pages with fewer than two fragments have none."""
-    squashed = T.squash_header(F.col("text"))
+def fragment_key(text: Column) -> Column:
+    """The column that a header fragment names, else null."""
+    squashed = T.squash_header(text)
     key = F.lit(None).cast("string")
     for name, pattern in reversed(FRAGMENTS.items()):
         key = F.when(squashed.rlike(pattern), name).otherwise(key)
-    hits = lines.where(~F.col("text").rlike("[a-z]")).withColumn("key", key).where(F.col("key").isNotNull())
+    return F.when(~text.rlike("[a-z]"), key)
+
+
+def header_fragments(lines: DataFrame) -> DataFrame:
+    """doc, page, key, centre, first: header fragments of a page merged by key;
+    pages with fewer than two fragments have none."""
+    hits = lines.withColumn("key", fragment_key(F.col("text"))).where(F.col("key").isNotNull())
     merged = hits.groupBy(*PAGE, "key").agg(
         ((F.min("x0") + F.max("x1")) / 2).alias("centre"),
         F.min(F.struct("y0", "x0")).alias("first"),

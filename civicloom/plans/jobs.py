@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from civicloom.operators import search as S
 from civicloom.operators.skew import lookup_join
 
+#: Positions of requirement rows lie this far below those of steps.
+BEFORE_STEPS = 1 << 40
+
 
 def job_search(
     df: DataFrame,
@@ -136,14 +139,17 @@ def job_enumerate(lines: DataFrame, doc: str, pos: str = "pos", text: str = "tex
 def job_extract(layout: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Layout lines -> (services, steps).
 
-    services: doc, service, section, number, title, the labelled fields, the
-    record measures and the confidence of the extraction. steps: one row per
-    rebuilt table row with the five columns and its part. Lines and cells are
-    written once each; every later pass starts from there."""
+    services: doc, section, number, title, the labelled fields, the record measures,
+    whether the requirements read as a list, how many places could not be told to an
+    item, and the confidence of the extraction. steps: one row per rebuilt table row
+    with the five columns and its part; requirement rows (negative pos) have the item as
+    clientStep and the place as personResponsible. Lines and cells are written once
+    each; every later pass starts from there."""
     from civicloom.functions import text as T
     from civicloom.operators import intervals as I
     from civicloom.operators import layout as L
     from civicloom.operators import records as RC
+    from civicloom.operators import requirements as RQ
     from civicloom.operators import segments as SG
     from civicloom.operators.skew import ordinal, settle
 
@@ -180,15 +186,20 @@ def job_extract(layout: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(*[F.min_by("value", F.when(F.col("label") == k, F.col("pos"))).alias(k) for k in labels])
     )
 
-    # Steps start below the steps header, else below the checklist heading.
-    squashed = T.squash_header(line)
+    # Steps start below the steps header, else below the checklist heading. One fragment alone is no header.
+    key = L.fragment_key(line)
+    at = F.struct("page", "y0")
+    opens_steps = key.isin("clientStep", "agencyAction")
     starts = body.groupBy("doc").agg(
         F.min(F.when(line.rlike(SG.REQUIREMENTS), F.col("pos"))).alias("_req"),
-        F.min(F.when(~line.rlike("[a-z]") & squashed.rlike(r"^(CLIENT|AGENCY)(STEPS?|ACTIONS?)?$"), F.col("pos"))).alias("_steps"),
-    )
-    below = lookup_join(body, starts, ["doc"], "inner").where(
-        F.col("pos") >= F.coalesce("_steps", F.col("_req") + 1, F.lit(0))
-    ).drop("_req", "_steps")
+        F.min(F.when(line.rlike(SG.REQUIREMENTS), at)).alias("_req_at"),
+        F.min(F.when(opens_steps, F.col("pos"))).alias("_steps"),
+        F.min(F.when(opens_steps, at)).alias("_steps_at"),
+        F.count(key).alias("_heads"),
+    ).withColumns({c: F.when(F.col("_heads") >= 2, F.col(c)) for c in ("_steps", "_steps_at")})
+    opened = settle(lookup_join(body, starts.drop("_heads"), ["doc"], "inner"))
+    extras = ["_req", "_steps", "_req_at", "_steps_at"]
+    below = opened.where(F.col("pos") >= F.coalesce("_steps", F.col("_req") + 1, F.lit(0))).drop(*extras)
     table_lines = settle(below)
     names, cell_rows = L.table(table_lines)
     bands, merged = L.row_bands(cell_rows)
@@ -199,18 +210,49 @@ def job_extract(layout: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = placed.groupBy("doc", "page", "band", "key").agg(F.sort_array(F.collect_list(F.struct("y0", "text"))).alias("held"))
     text_of = F.array_join(F.transform("held", lambda c: c["text"]), "\n")
     wide = held.groupBy("doc", "page", "band").agg(
-        *[F.max(F.when(F.col("key") == k, text_of)).alias(k) for k in keys]
-    ).select("doc", "page", F.col("band").cast("double").alias("y"), F.lit(0.0).alias("x"), *keys, F.lit(None).cast("string").alias("unresolved"))
+        *[F.max(F.when(F.col("key") == k, text_of)).alias(k) for k in keys], F.min(F.col("held")[0]["y0"]).alias("top")
+    ).select("doc", "page", F.col("band").cast("double").alias("y"), F.lit(0.0).alias("x"), "top", *keys, F.lit(None).cast("string").alias("unresolved"))
     # A page without columns keeps its lines, one unresolved row each.
     flat = table_lines.where(~L.is_header(line)).join(names.select("doc", "page").distinct(), ["doc", "page"], "left_anti")
     loose = flat.select(
-        "doc", "page", F.col("y0").cast("double").alias("y"), F.col("x0").cast("double").alias("x"),
+        "doc", "page", F.col("y0").cast("double").alias("y"), F.col("x0").cast("double").alias("x"), F.col("y0").cast("double").alias("top"),
         *[F.lit(None).cast("string").alias(k) for k in keys], line.alias("unresolved"),
     )
     # Bands or loose lines: a page has one of them. A row's place is its number in reading order.
     placed_rows = ordinal(wide.unionByName(loose), ["doc"], ["page", "y", "x", "unresolved"], F.floor(F.col("page") / 16), "pos")
-    parted = settle(RC.sectioned(placed_rows.drop("page", "y", "x"), ["doc"]))
+    parted = settle(RC.sectioned(placed_rows.drop("y", "x"), ["doc"]))
     extra = parted.where(F.col("part") == "step").groupBy("doc").agg(F.count("unresolved").alias("unresolved"))
+
+    # The checklist: lines above the steps header, and whatever stands above the first row that states a fee or a time.
+    first_timed = parted.groupBy("doc").agg(
+        F.min(F.when(RC.is_timed(), F.struct("pos", "page", "top"))).alias("_first"), F.count_if(F.col("part") == "requirement").alias("_before")
+    ).where("_before > 0").select("doc", F.struct(F.col("_first.page").alias("page"), F.col("_first.top").alias("y0")).alias("_until"))
+    plain = opened.where(~L.is_header(line))
+    listed = plain.where((at > F.col("_req_at")) & F.coalesce(at < F.col("_steps_at"), F.lit(True)))
+    ran_on = lookup_join(plain.where(F.coalesce(at > F.coalesce("_steps_at", "_req_at"), F.lit(True))), first_timed, ["doc"], "inner").where(
+        F.struct(F.col("page"), F.col("y0").cast("double").alias("y0")) < F.col("_until")
+    ).drop("_until")
+    read_in = [listed.withColumn("_pass", F.lit("1")), ran_on.withColumn("_pass", F.lit("2"))]
+    checklist = RQ.read(read_in[0].unionByName(read_in[1]).withColumn("doc", F.concat_ws("\x1f", "doc", "_pass")).drop(*extras, "_pass"))
+
+    def of_record(df):
+        return df.withColumn("_pass", F.substring_index("doc", "\x1f", -1)).withColumn("doc", F.substring_index("doc", "\x1f", 1))
+
+    reqs = settle(of_record(checklist.items))
+    sound = RQ.coherent(reqs, ["doc"])
+    unpaired = of_record(checklist.unpaired).groupBy("doc").agg(F.count_distinct("place").alias("unpaired"))
+    spilt = of_record(checklist.dropped).select("doc").distinct().withColumn("steps_text_in_requirements", F.lit(True))
+    said = of_record(checklist.texts).join(reqs.select("doc", "_pass", "page", "item", F.col("place").alias("_place")), ["doc", "_pass", "page", "item"])
+    said = ordinal(said, ["doc"], ["_pass", "page", "item", "piece"], F.floor(F.col("page") / 16), "_n")
+    none = F.lit(None).cast("string")
+    asked = said.select(
+        "doc", "page", F.lit(None).cast("double").alias("top"), F.col("text").alias("clientStep"),
+        *[none.alias(k) for k in keys if k not in ("clientStep", "personResponsible")],
+        F.when(F.col("piece") == 0, F.col("_place")).alias("personResponsible"), none.alias("unresolved"),
+        (F.col("_n") - F.lit(BEFORE_STEPS)).alias("pos"), F.lit("requirement").alias("part"),
+    )
+    # Rows above the first timed one were read through the geometry of the steps table: the checklist has them instead.
+    parted = settle(parted.where(F.col("part") != "requirement").unionByName(asked).drop("page", "top"))
     is_merged = merged.where(F.col("key").isin("fee", "processingTime")).select("doc").distinct().withColumn("_merged", F.lit(True))
     services = (
         number_of.select(F.concat_ws("#", "doc", "service").alias("doc"), "section", "number", "title")
@@ -218,13 +260,17 @@ def job_extract(layout: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(RC.measures(parted, ["doc"]), "doc", "left")
         .join(extra, "doc", "left")
         .join(is_merged, "doc", "left")
+        .join(sound, "doc", "left")
+        .join(unpaired, "doc", "left")
+        .join(spilt, "doc", "left")
     )
     loose_rows = F.coalesce("unresolved", F.lit(0))
     level = RC.confidence(
         office=F.col("office"), merged=F.coalesce("_merged", F.lit(False)), no_columns=loose_rows > 0,
-        unresolved=loose_rows, reqs_ok=F.lit(True),
+        unresolved=loose_rows, reqs_ok=F.coalesce("coherent", F.lit(True)),
     )
-    return services.withColumn("confidence", level).drop("_merged"), parted
+    services = services.withColumn("confidence", level).withColumnRenamed("coherent", "requirements_coherent")
+    return services.drop("_merged"), parted
 
 
 def job_harvest(
