@@ -6,6 +6,7 @@ from civicloom.bindings.registry import Tables, query
 from civicloom.functions import text as T
 from civicloom.functions import urls
 from civicloom.operators import pages as P
+from civicloom.operators import phrases as PH
 from civicloom.operators import reconcile as R
 from civicloom.operators.skew import first_n
 from civicloom.sources import readers as SRC
@@ -225,12 +226,38 @@ def _(t):
     return P.judge_scan(found, allow, "doc_id")
 
 
-@query("txt_fee_scope", """
-SELECT d.doc_id FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = d.doc_id
-WHERE l.doc_id IS NULL AND regexp_matches(text || CASE source WHEN 'src5' THEN ' ₱50' ELSE '' END, '₱\\s?[\\d,]+|\\bPHP\\s?[\\d,]+|\\bPhp\\s?[\\d,]+|\\b\\d{1,3}(?:,\\d{3})*\\.\\d{2}\\b')""")
+def feed(t: Tables):
+    """documents as pages that state figures above, within and below the section for fees."""
+    s = F.col("source")
+    lines = F.array(
+        F.when(s == "src1", "Intro costs 1,250.00 today"),
+        F.lit("## History"),
+        F.when(s == "src5", "Built for ₱ 900"),
+        F.lit("## **Fees**  "),
+        F.when(s.isin("src5", "src6"), "Copies are ₱50, PHP 70 by mail"),
+        *[F.when(s == "src2", x) for x in ("~~~", "## Fake", "Php 10", "~~~")],
+        F.when(s == "src3", "## Notes PHP 5").otherwise("## Notes"),
+    )
+    return t.documents.withColumn("body", F.concat_ws("\n", lines, F.col("text")))
+
+
+FEE_SQL = "'₱\\s?[\\d,]+|\\bPHP\\s?[\\d,]+|\\bPhp\\s?[\\d,]+|\\b\\d{1,3}(?:,\\d{3})*\\.\\d{2}\\b'"
+
+
+@query("txt_fee_scope", f"""
+WITH p AS (SELECT doc_id, list_concat(list_filter([CASE source WHEN 'src1' THEN 'Intro costs 1,250.00 today' END, '## History', CASE source WHEN 'src5' THEN 'Built for ₱ 900' END, '## **Fees**  ',
+    CASE WHEN source IN ('src5', 'src6') THEN 'Copies are ₱50, PHP 70 by mail' END, CASE source WHEN 'src2' THEN '~~~' END, CASE source WHEN 'src2' THEN '## Fake' END, CASE source WHEN 'src2' THEN 'Php 10' END,
+    CASE source WHEN 'src2' THEN '~~~' END, CASE source WHEN 'src3' THEN '## Notes PHP 5' ELSE '## Notes' END], lambda x: x IS NOT NULL), string_split(text, chr(10))) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM p),
+f AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l),
+h AS (SELECT *, last_value(CASE WHEN n % 2 = 0 AND regexp_matches(line, '^##\\s+\\S') THEN trim(regexp_replace(regexp_extract(line, '^##\\s+(.+?)\\s*$', 1), '[*_`]', '', 'g')) END IGNORE NULLS)
+    OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM f),
+m AS (SELECT doc_id, section, unnest(regexp_extract_all(line, {FEE_SQL})) AS figure FROM h)
+SELECT m.doc_id, section, figure, count(*) AS times, CASE WHEN l.doc_id IS NULL THEN 'untranscribed' ELSE 'outside' END AS problem
+FROM m LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = m.doc_id WHERE l.doc_id IS NULL OR lower(section) IS DISTINCT FROM 'fees' GROUP BY ALL""")
 def _(t):
-    done = t.labels.where(F.col("quality") == 1).select("doc_id").distinct()
-    return noted(t).where(F.col("body").rlike(T.FEE_SCOPE_PATTERN)).select("doc_id").join(done, "doc_id", "left_anti")
+    done = t.labels.where(F.col("quality") == 1).select("doc_id")
+    return P.fee_scope(feed(t), "doc_id", "body", done, t.spark.createDataFrame([("Fees",)], "section string"))
 
 
 EN_SQL = ", ".join(f"'{w}'" for w in P.ENGLISH)
@@ -288,14 +315,38 @@ def _(t):
         "block": "Also printed for this service"}, False)
 
 
-@query("txt_untranslated_terms", """
-SELECT doc_id, 'office' AS term FROM documents WHERE lang <> 'en' AND NOT contains(text, source)""")
-def _(t):
-    rows = t.documents.where(F.col("lang") != "en").withColumn("opening", F.substring(T.tidy(F.col("text")), 1, 24)).withColumn("flat", T.tidy(F.col("text")))
-    cells = F.array(
-        F.when(~F.col("text").contains(F.col("source")), "office"), F.when(~F.col("flat").contains(F.col("opening")), "opening")
+def translated(t: Tables):
+    """(pages, translations): a page sends people to a desk that the part table
+    names; translations keep its name, drop it or name one more, and some lack the office or the opening words."""
+    d, k = F.col("doc_id"), F.col("doc_id") % 64
+    name = t.part.where(F.col("p_partkey") < 65).select(F.col("p_partkey").cast("long").alias("k"), "p_name")
+    both = t.documents.withColumn("k", k).join(name, "k").join(name.select((F.col("k") - 1).alias("k"), F.col("p_name").alias("next")), "k")
+    desk = F.when(d % 3 == 0, F.col("p_name")).when(d % 3 == 1, "ibang mesa").otherwise(F.concat("p_name", F.lit(" o "), "next"))
+    page = F.concat(F.lit("Bring it to the "), "p_name", F.lit(" desk. "), "text")
+    fil = F.concat(
+        F.lit("Dalhin sa "), desk, F.lit(". "), F.when(d % 2 == 0, F.concat("source", F.lit(" "))).otherwise(""),
+        F.when(d % 4 == 3, F.expr("substr(text, 31)")).otherwise(F.col("text")),
     )
-    return rows.select("doc_id", F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("term"))
+    return both.select("doc_id", page.alias("body")), both.select("doc_id", "source", F.col("text").alias("title"), fil.alias("body"))
+
+
+@query("txt_untranslated_terms", """
+WITH n AS (SELECT p_partkey AS k, p_name FROM part WHERE p_partkey < 65), v AS (SELECT DISTINCT p_name FROM part),
+b AS (SELECT doc_id, source, text, a.p_name, CASE doc_id % 3 WHEN 0 THEN a.p_name WHEN 1 THEN 'ibang mesa' ELSE a.p_name || ' o ' || b.p_name END AS desk
+  FROM documents JOIN n a ON a.k = doc_id % 64 JOIN n b ON b.k = doc_id % 64 + 1),
+p AS (SELECT doc_id, source, text, 'Bring it to the ' || p_name || ' desk. ' || text AS en,
+  'Dalhin sa ' || desk || '. ' || CASE WHEN doc_id % 2 = 0 THEN source || ' ' ELSE '' END || CASE WHEN doc_id % 4 = 3 THEN substr(text, 31) ELSE text END AS fil FROM b),
+w AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(en, '[\\p{L}\\p{N}]+'), ' ') || ' ' AS en, ' ' || array_to_string(regexp_extract_all(fil, '[\\p{L}\\p{N}]+'), ' ') || ' ' AS fil FROM p),
+h AS (SELECT doc_id, p_name AS term, contains(en, ' ' || p_name || ' ') AS e, contains(fil, ' ' || p_name || ' ') AS f FROM w, v),
+o AS (SELECT doc_id, fil, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 24) AS opening, trim(regexp_replace(fil, '\\s+', ' ', 'g')) AS flat FROM p)
+SELECT doc_id, 'lost' AS rule, term FROM h WHERE e AND NOT f UNION ALL SELECT doc_id, 'added', term FROM h WHERE f AND NOT e
+UNION ALL SELECT doc_id, 'office', source FROM p WHERE NOT contains(fil, source)
+UNION ALL SELECT doc_id, 'opening', opening FROM o WHERE trim(opening) <> '' AND NOT contains(fil, opening) AND NOT contains(flat, opening)""")
+def _(t):
+    pages, fil = translated(t)
+    drifted = PH.translated_terms(pages, fil, "doc_id", "body", t.part.select(F.col("p_name").alias("term")), "term")
+    asked = PH.required_terms(fil, "doc_id", "body", {"office": F.col("source"), "opening": F.col("title")})
+    return drifted.select("doc_id", "rule", "term").unionByName(asked)
 
 
 @query("txt_rendered_all", """

@@ -127,7 +127,7 @@ AUDIT = {
     "jn_locale_coverage": ["slug", "kind"],
     "txt_framing": ["doc_id", "rule", "match", "verdict"],
     "txt_phone_scan": ["doc_id", "match"],
-    "txt_fee_scope": ["doc_id"],
+    "txt_fee_scope": ["doc_id", "section", "figure", "problem"],
     "txt_vocab_rules": ["p_partkey", "rule", "token"],
     "val_attempt_cited": ["k"],
     "val_bilingual_complete": ["doc_id"],
@@ -174,7 +174,7 @@ AUDIT = {
     "txt_proper_names": ["phrase", "doc_id"],
     "txt_required_sections": ["doc_id", "section"],
     "txt_untranslated": ["doc_id", "line_no"],
-    "txt_untranslated_terms": ["doc_id", "term"],
+    "txt_untranslated_terms": ["doc_id", "rule", "term"],
 }
 
 

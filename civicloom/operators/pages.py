@@ -352,30 +352,60 @@ def leaked(titles: DataFrame, title_id: str, title: str, docs: DataFrame, path:
 # ---------------------------------------------------------------- markdown
 
 
+#: Lines of a document that are scanned in one piece.
+LINES = 4096
+
+
+def heading_text(line: Column) -> Column:
+    """The text of a `##` heading, inline markup stripped; empty for other lines."""
+    raw = F.regexp_extract(line, r"^##\s+(.+?)\s*$", 1)
+    return F.trim(F.regexp_replace(F.regexp_replace(raw, r"\[([^\]]+)\]\([^)]*\)", "$1"), r"[*_`]", ""))
+
+
+def unfenced(lines: DataFrame, path: str) -> DataFrame:
+    """Lines (path, pos, line, ...) that aren't fences or inside of them: the number of
+    fences above is a running count, so a document of any length is worked on in pieces."""
+    fence = F.col("line").rlike(r"^\s*(```|~~~)")
+    counted = prefix_scan(
+        lines.withColumn("_fence", fence), [path], ["pos"], F.floor(F.col("pos") / LINES),
+        [Measure("_above", "sum", F.col("_fence").cast("int"))],
+    )
+    return counted.where(~F.col("_fence") & (F.col("_above") % 2 == 0)).drop("_fence", "_above")
+
+
 def outline(docs: DataFrame, path: str, text: str) -> DataFrame:
     """path, pos, heading: `##` headings outside fenced blocks, inline markup
-    stripped. A document's fences are counted within its own row."""
-    fence = r"^\s*(```|~~~)"
-    lines = F.transform(
-        F.split(text, "\n"),
-        lambda l, i: F.struct(i.alias("pos"), l.alias("line"), l.rlike(fence).cast("int").alias("fence")),
-    )
-    kept = F.filter(lines, lambda x: (x["fence"] == 1) | x["line"].rlike(r"^##\s+\S"))
-    # Only fences and headings are walked, with the parity of the fences so far.
-    walked = F.aggregate(
-        kept,
-        F.struct(F.lit(0).alias("open"), F.array().cast("array<struct<pos:int,line:string>>").alias("out")),
-        lambda a, x: F.struct(
-            F.when(x["fence"] == 1, 1 - a["open"]).otherwise(a["open"]).alias("open"),
-            F.when(
-                (x["fence"] == 0) & (a["open"] == 0),
-                F.concat(a["out"], F.array(F.struct(x["pos"].alias("pos"), x["line"].alias("line")))),
-            ).otherwise(a["out"]).alias("out"),
-        ),
-    )["out"]
-    raw = F.regexp_extract("line", r"^##\s+(.+?)\s*$", 1)
-    clean = F.trim(F.regexp_replace(F.regexp_replace(raw, r"\[([^\]]+)\]\([^)]*\)", "$1"), r"[*_`]", ""))
-    return docs.select(path, F.inline(walked)).select(path, "pos", clean.alias("heading")).where(F.col("heading") != "")
+    stripped. Only fences and headings leave the document's row."""
+    lines = docs.select(path, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    marks = lines.where(F.col("line").rlike(r"^\s*(```|~~~)|^##\s+\S"))
+    return unfenced(marks, path).select(path, "pos", heading_text(F.col("line")).alias("heading")).where(F.col("heading") != "")
+
+
+def figures_by_section(docs: DataFrame, path: str, text: str, pattern: str) -> DataFrame:
+    """path, pos, k, section, figure: every match of `pattern` with the heading above it
+    (null before the first). pos: line; k: number within the line. A heading's own
+    figures belong to it; a heading inside a fenced block is none.
+
+    Headings and figures are laid out by line and the last heading is a running value; no text is carried along."""
+    lines = docs.select(path, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    heads = outline(docs, path, text).select(path, "pos", F.lit(-1).alias("k"), "heading", F.lit(None).cast("string").alias("figure"))
+    found = lines.select(path, "pos", F.posexplode(F.regexp_extract_all("line", F.lit(pattern), F.lit(0))).alias("k", "figure"))
+    both = heads.unionByName(found.select(path, "pos", "k", F.lit(None).cast("string").alias("heading"), "figure"))
+    filled = prefix_scan(both, [path], ["pos", "k"], F.floor(F.col("pos") / LINES), [Measure("section", "last", F.col("heading"))])
+    return filled.where(F.col("k") >= 0).select(path, "pos", "k", "section", "figure")
+
+
+def fee_scope(docs: DataFrame, path: str, text: str, transcribed: DataFrame, sections: DataFrame, pattern: str = T.FEE_SCOPE_PATTERN) -> DataFrame:
+    """path, section, figure, problem: fee-shaped text of documents that carry no transcription
+    (`untranscribed`), and of transcribed ones outside the allowed sections (`outside`).
+    transcribed: path. sections: section, the allowed headings, compared without case."""
+    found = figures_by_section(docs, path, text, pattern).groupBy(path, "section", "figure").agg(F.count(F.lit(1)).alias("times"))
+    done = transcribed.select(path, F.lit(True).alias("_done")).distinct()
+    may = sections.select(F.lower(F.trim("section")).alias("_may"), F.lit(True).alias("_allowed")).distinct()
+    judged = lookup_join(found, done, [path], "left").withColumn("_may", F.lower(F.trim("section")))
+    judged = lookup_join(judged, may, ["_may"], "left")
+    problem = F.when(F.col("_done").isNull(), "untranscribed").when(F.col("_allowed").isNull(), "outside")
+    return judged.withColumn("problem", problem).where(F.col("problem").isNotNull()).select(path, "section", "figure", "times", "problem")
 
 
 def heading_ids(headings: DataFrame, path: str) -> DataFrame:
