@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from civicloom.bindings.registry import Tables, query
@@ -8,7 +10,9 @@ from civicloom.operators import aggregate as A
 from civicloom.operators import corpus as C
 from civicloom.operators import records as RC
 from civicloom.operators import validate as V
-from civicloom.operators.skew import first_n, lookup_join, ordinal
+from civicloom.operators.skew import checkpoint_folder, first_n, lookup_join, ordinal
+from civicloom.sources import commits
+from civicloom.sources import writers as SNK
 
 # ---------------------------------------------------------------- services from lineitem
 
@@ -85,11 +89,17 @@ def _(t):
 SELECT l_orderkey AS document, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER_SQL}) AS seq, l_partkey,
   coalesce(section, 'unknown') AS section FROM services""")
 def _(t):
-    # Rows of the per-document files; the counts are agg_service_counts.
+    # Rows read back from the documents' folders; the counts are agg_service_counts. The folder is that
+    # of a document's last two digits: the tables have many small documents.
     s = services(t).select("l_orderkey", "section", *ORDER)
-    return ordinal(s, ["l_orderkey"], ORDER, F.floor(F.col("l_linenumber") / 4096), "seq").select(
-        F.col("l_orderkey").alias("document"), "seq", "l_partkey", F.coalesce("section", F.lit("unknown")).alias("section")
-    )
+    rows = ordinal(s, ["l_orderkey"], ORDER, F.floor(F.col("l_linenumber") / 4096), "seq").select(
+        F.col("l_orderkey").alias("document"), "seq", "l_partkey", F.coalesce("section", F.lit("unknown")).alias("section"),
+        (F.col("l_orderkey") % 20).cast("int").alias("folder"),
+    )
+    path = f"{checkpoint_folder(t.spark)}/documents-{uuid.uuid4().hex}"
+    for _ in range(2):
+        SNK.write_per_document(rows, path, "folder", "only")
+    return commits.load(t.spark, path, rows.schema).drop("folder")
 
 
 # ---------------------------------------------------------------- records with steps

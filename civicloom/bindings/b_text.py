@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from civicloom.bindings.registry import Tables, query
@@ -8,7 +10,8 @@ from civicloom.functions import urls
 from civicloom.operators import pages as P
 from civicloom.operators import phrases as PH
 from civicloom.operators import reconcile as R
-from civicloom.operators.skew import first_n
+from civicloom.operators.skew import checkpoint_folder, first_n
+from civicloom.sources import commits
 from civicloom.sources import readers as SRC
 from civicloom.sources import writers as SNK
 
@@ -511,8 +514,8 @@ def _(t):
     return SRC.blob_rows(t.pages, "url", "html")
 
 
-@query("src_sitemap", "SELECT DISTINCT url FROM pages WHERE url NOT LIKE '%/de/%'")
-def _(t):
+def sitemaps(t: Tables):
+    """(index, children): one sitemap a language, the German one not listed."""
     lang = F.regexp_extract("url", "/([a-z]{2})/", 1)
     children = t.pages.select(
         F.concat(F.lit("https://site/sitemap-"), lang, F.lit(".xml")).alias("sitemap"),
@@ -521,7 +524,12 @@ def _(t):
     index = t.documents.where(F.col("lang") != "de").select("lang").distinct().select(
         F.concat(F.lit("<sitemap><loc>https://site/sitemap-"), "lang", F.lit(".xml</loc></sitemap>")).alias("xml")
     )
-    return P.sitemap_urls(index, children)
+    return index, children
+
+
+@query("src_sitemap", "SELECT DISTINCT url FROM pages WHERE url NOT LIKE '%/de/%'")
+def _(t):
+    return P.sitemap_urls(*sitemaps(t))
 
 
 def payloads(t: Tables):
@@ -588,10 +596,15 @@ def _(t):
 
 
 @query("snk_inventory", f"""
-SELECT count(*) AS row_count, count(*) FILTER (WHERE kind = 'charter') AS charter, count(*) FILTER (WHERE kind = 'announcement') AS announcements FROM (SELECT {CLASS} AS kind FROM pages)""")
-def _(t):
-    return SNK.summary_of(classed(t), {
-        "charter": F.count_if(F.col("kind") == "charter"), "announcements": F.count_if(F.col("kind") == "announcement")})
+SELECT count(*) AS row_count, count(*) FILTER (WHERE kind = 'charter') AS charter, count(*) FILTER (WHERE kind = 'announcement') AS announcements, count(*) AS stored FROM (SELECT {CLASS} AS kind FROM pages)""")
+def _(t):
+    # The whole table takes the place of a part of it; a run that is repeated changes nothing.
+    path, now = f"{checkpoint_folder(t.spark)}/inventory-{uuid.uuid4().hex}", classed(t)
+    measures = {"charter": F.count_if(F.col("kind") == "charter"), "announcements": F.count_if(F.col("kind") == "announcement")}
+    SNK.write_inventory(now.where(F.col("kind") == "charter"), path, "first", measures)
+    for _ in range(2):
+        head = SNK.write_inventory(now, path, "second", measures)
+    return head.withColumn("stored", commits.load(t.spark, path, now.schema).agg(F.count(F.lit(1))).scalar())
 
 
 @query("snk_sitemap", """

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from civicloom.bindings import b_layout as BL
 from civicloom.bindings import b_text as BT
 from civicloom.bindings.registry import ORACLE, QUERIES, Tables, query
+from civicloom.operators.skew import checkpoint_folder
 from civicloom.plans import jobs as J
 
 
@@ -94,22 +97,33 @@ def _(t):
 
 
 @query("job_harvest", f"""
-WITH r AS (SELECT page_id, url, CASE WHEN starts_with(p, '/es/5') THEN '/es/5' WHEN starts_with(p, '/fr/') THEN '/fr/' END AS rule FROM
-   (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS p FROM pages)),
+WITH u AS (SELECT *, regexp_replace(url, '#.*$', '') AS plain, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS p FROM pages),
+r AS (SELECT page_id, url, CASE WHEN starts_with(p, '/es/5') THEN '/es/5' WHEN starts_with(p, '/fr/') THEN '/fr/' END AS rule FROM u
+  WHERE plain IN (SELECT plain FROM u WHERE url NOT LIKE '%/de/%' OR page_id % 2 = 0)
+  AND (starts_with(p, '/es/5') OR starts_with(p, '/fr/') OR plain NOT IN (SELECT plain FROM u WHERE page_id % 7 = 0))),
 k AS (SELECT page_id, kind FROM ({ORACLE['flt_reference_pages']})),
 a AS ({ORACLE['txt_article']}), ti AS ({ORACLE['txt_title']}), c AS ({ORACLE['txt_change']}),
-l AS (SELECT page_id, count(*) AS links FROM ({ORACLE['txt_links']}) GROUP BY 1)
-SELECT r.page_id, k.kind, r.rule, CASE WHEN r.rule IS NULL THEN ti.title END AS title, CASE WHEN r.rule IS NULL THEN a.chars END AS body_chars, CASE WHEN r.rule IS NULL THEN c.state END AS state,
+l AS (SELECT page_id, count(*) AS links FROM ({ORACLE['txt_links']}) GROUP BY 1),
+o AS (SELECT r.page_id, k.kind, r.rule, CASE WHEN r.rule IS NULL THEN ti.title END AS title, CASE WHEN r.rule IS NULL THEN a.chars END AS body_chars, CASE WHEN r.rule IS NULL THEN c.state END AS state,
   CASE WHEN r.rule IS NULL THEN coalesce(l.links, 0) END AS links
-FROM r JOIN k ON k.page_id = r.page_id JOIN a ON a.page_id = r.page_id JOIN ti ON ti.page_id = r.page_id LEFT JOIN c ON c.page_id = r.page_id LEFT JOIN l ON l.page_id = r.page_id""")
+FROM r JOIN k ON k.page_id = r.page_id JOIN a ON a.page_id = r.page_id JOIN ti ON ti.page_id = r.page_id LEFT JOIN c ON c.page_id = r.page_id LEFT JOIN l ON l.page_id = r.page_id)
+SELECT *, (SELECT count(*) FROM o) AS row_count, (SELECT count(rule) FROM o) AS forbidden FROM o""")
 def _(t):
     from civicloom.operators import pages as P
 
     prev, curr = BT.crawls(t)
     kind = P.classify(F.col("url"), r"(?i)spam", r"/(en|fr)/[0-9]+/?$", r"/fr/", ["/"], "/de/")
     now = t.pages.select("page_id", "url", "html")
-    out = J.job_harvest(now, prev, BT.robots(t), kind, "page_id", r"^/t", curr)
-    return out.select("page_id", "kind", "rule", "title", "body_chars", "state", "links")
+    index, children = BT.sitemaps(t)
+    linked = t.pages.where(F.col("url").contains("/de/") & (F.col("page_id") % 2 == 0))
+    seen = t.pages.where(F.col("page_id") % 7 == 0)
+    path = f"{checkpoint_folder(t.spark)}/harvest-{uuid.uuid4().hex}"
+    for _ in range(2):  # repeated, it changes nothing
+        head, out = J.job_harvest_run(
+            index, children, linked, seen, now, prev, BT.robots(t), kind, "page_id", r"^/t", path, "only", curr, {"forbidden": F.count("rule")}
+        )
+    rows = out.select("page_id", "kind", "rule", "title", "body_chars", "state", "links")
+    return rows.withColumns({"row_count": head.select("row_count").scalar(), "forbidden": head.select("forbidden").scalar()})
 
 
 # check -> (subject, other columns), from the registered queries themselves.

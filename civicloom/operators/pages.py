@@ -189,6 +189,22 @@ def cited_urls(df: DataFrame, text: str, pattern: str) -> DataFrame:
     return df.select(raw.alias("url")).select(F.regexp_replace("url", r"[),.]+$", "").alias("url")).distinct()
 
 
+def without_fragment(url: Column) -> Column:
+    return F.regexp_replace(F.trim(url), "#.*$", "")
+
+
+def frontier(found: DataFrame, seen: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """url, rule, state of every address found, once, fragments aside: `fetch`, `forbidden` (rule: the
+    prefix that says so) or `seen`. An address that robots forbid is that, seen or not.
+
+    Each side is one row per address before they meet, so no address weighs more than another."""
+    addresses = found.select(without_fragment(F.col(url)).alias(url)).where(F.coalesce(F.col(url) != "", F.lit(False))).distinct()
+    known = seen.select(without_fragment(F.col(url)).alias(url), F.lit(True).alias("_seen")).distinct()
+    judged = robots_verdict(addresses, url, rules).select(url, "rule").join(known, url, "left")
+    state = F.when(F.col("rule").isNotNull(), "forbidden").when(F.col("_seen").isNotNull(), "seen").otherwise("fetch")
+    return judged.select(url, "rule", state.alias("state"))
+
+
 # ---------------------------------------------------------------- scans
 
 

@@ -301,6 +301,30 @@ def job_harvest(
     )
 
 
+def job_harvest_run(
+    index: DataFrame, children: DataFrame, found: DataFrame, seen: DataFrame, pages: DataFrame, previous: DataFrame, robots: DataFrame,
+    kind: Column, key: str, link_pattern: str, path: str, run: str, crawled: DataFrame | None = None, measures: dict[str, Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """A harvest from the sitemap to the committed inventory: (header, rows).
+
+    index and children are the sitemaps, found(url) addresses that pages link to, seen(url) addresses that earlier
+    runs have dealt with, pages what can be had. Addresses already seen are left out, forbidden ones get a row with
+    their rule. The rows of the run take the place of those before, together with their header; `run` names it, and run again
+    it changes nothing."""
+    from civicloom.operators import pages as P
+    from civicloom.operators.skew import settle
+    from civicloom.sources import commits
+    from civicloom.sources import writers as SNK
+
+    rules = P.robots_rules(robots)
+    listed = P.sitemap_urls(index, children).unionByName(found.select("url"))
+    due = settle(P.frontier(listed, seen, rules).where(F.col("state") != "seen").select(F.col("url").alias("_due")))
+    asked = pages.withColumn("_due", P.without_fragment(F.col("url"))).join(due, "_due", "left_semi").drop("_due")
+    rows = job_harvest(asked, previous, robots, kind, key, link_pattern, crawled)
+    head = SNK.write_inventory(rows, path, run, measures)
+    return head, commits.load(rows.sparkSession, path, rows.schema)
+
+
 def job_audit(checks: dict[str, DataFrame]) -> DataFrame:
     """check, subject, detail: every check's findings in one violations table.
     A check contributes its first column as the subject and the others, joined,

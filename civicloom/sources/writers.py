@@ -1,61 +1,39 @@
 """Sinks. Each has a pure frame builder and a writer that returns a one-row
 summary; writers go to the path they are given, which on a cluster is shared
-storage."""
+storage. Inventories, per-document tables and version histories change by whole
+runs (see `commits`), so a job that is run again neither doubles nor loses rows."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicloom.operators import reconcile as R
+from civicloom.sources import commits
+from civicloom.sources.commits import summary_of
 
 
-def summary_of(df: DataFrame, measures: dict[str, Column] | None = None) -> DataFrame:
-    """The header of an inventory: one row of counts."""
-    return df.agg(F.count(F.lit(1)).alias("row_count"), *[c.alias(n) for n, c in (measures or {}).items()])
+def write_inventory(df: DataFrame, path: str, run: str, measures: dict[str, Column] | None = None) -> DataFrame:
+    """The inventory of a run takes the place of the one before. Rows and header change
+    together; the header is computed from what was stored, so it cannot disagree with it."""
+    return commits.commit(df, path, run, "replace", measures)
 
 
-def write_inventory(
-    df: DataFrame,
-    path: str,
-    mode: str = "errorifexists",
-    fmt: str = "parquet",
-    measures: dict[str, Column] | None = None,
-) -> DataFrame:
-    """Rows to `path/rows`, header to `path/summary`; the header is computed
-    from what was written, so it cannot disagree with it."""
-    df.write.mode(mode).format(fmt).save(f"{path}/rows")
-    spark = df.sparkSession
-    back = spark.read.schema(df.schema).format(fmt).load(f"{path}/rows")
-    summary_of(back, measures).write.mode(mode).format(fmt).save(f"{path}/summary")
-    return spark.read.format(fmt).load(f"{path}/summary")
-
-
-def write_per_document(df: DataFrame, path: str, document: str, mode: str = "errorifexists", fmt="parquet") -> DataFrame:
+def write_per_document(df: DataFrame, path: str, document: str, run: str) -> DataFrame:
     """One folder per document. A document's rows are dealt to a few tasks by a hash of
     the row, so that its folder has few files and a huge document more than one task;
     the size of a file is bounded as well."""
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(4))
-    df.repartition(document, spread).write.mode(mode).option("maxRecordsPerFile", 1_000_000).partitionBy(document).format(fmt).save(path)
-    return summary_of(df.sparkSession.read.format(fmt).load(path), {"documents": F.countDistinct(document)})
-
-
-def append_versions(documents: DataFrame, path: str) -> DataFrame:
-    """Append (file, sha256) versions that the history does not hold. History
-    is read once, never rewritten; returns the number of versions per file. Only a
-    path that is not there yet counts as an empty history."""
-    spark = documents.sparkSession
-    versions = documents.select("file", "sha256")
-    try:
-        history = spark.read.schema(versions.schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        history = versions.limit(0)
-    new = R.unseen_versions(documents, history)
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).groupBy("file").agg(F.count(F.lit(1)).alias("versions"))
+    return commits.commit(df.repartition(document, spread), path, run, "replace", {"documents": F.countDistinct(document)}, [document])
+
+
+def append_versions(documents: DataFrame, path: str, run: str) -> DataFrame:
+    """Append versions (file, sha256 and whatever else is known of them) that the
+    history does not hold: file, versions. History is never rewritten. A version that comes twice in one run is added once."""
+    once = documents.dropDuplicates(["file", "sha256"])
+    history = commits.load(documents.sparkSession, path, documents.schema)
+    commits.commit(R.unseen_versions(once, history).select(*documents.columns), path, run, "append")
+    return commits.load(documents.sparkSession, path, documents.schema).groupBy("file").agg(F.count(F.lit(1)).alias("versions"))
 
 
 def baseline_frame(pages: DataFrame, key: str) -> DataFrame:

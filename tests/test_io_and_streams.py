@@ -8,7 +8,9 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from civicloom.operators import pages as P
 from civicloom.operators import validate as V_
+from civicloom.sources import commits
 from civicloom.sources import readers as SRC
 from civicloom.sources import writers as SNK
 from civicloom.streaming import feeds
@@ -125,30 +127,81 @@ def test_crawl_feed(spark, tmp_path):
     assert got == [(0, 1, "new"), (0, 2, "new"), (1, 1, "same"), (1, 2, "changed"), (1, 3, "new")]
 
 
+def failing(df):
+    """The same rows, but some task breaks while they are written."""
+
+    def broken(batches):
+        for i, b in enumerate(batches):
+            yield b
+            raise RuntimeError("lost on the way")
+
+    return df.repartition(2).mapInArrow(broken, df.schema)
+
+
 def test_inventory_and_baseline(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", dt.date(2026, 1, 1)), (2, "b", dt.date(2026, 1, 2))], "key int, kind string, last_checked_at date")
-    head = SNK.write_inventory(df, str(tmp_path / "inv"), measures={"a": F.count_if(F.col("kind") == "a")})
-    assert head.first().asDict() == {"row_count": 2, "a": 1}
-    assert SNK.write_per_document(df, str(tmp_path / "doc"), "kind").first()["documents"] == 2
+    path, measures = str(tmp_path / "inv"), {"a": F.count_if(F.col("kind") == "a")}
+    assert commits.load(spark, path, df.schema).count() == 0 and commits.header(spark, path, "row_count long").count() == 0
+    assert SNK.write_inventory(df, path, "one", measures).first().asDict() == {"row_count": 2, "a": 1}
+    # a run that breaks is not seen, and can be run again
+    more = df.unionByName(df.withColumn("key", F.col("key") + 10))
+    with pytest.raises(Exception, match="lost on the way"):
+        SNK.write_inventory(failing(more), path, "two", measures)
+    assert (tmp_path / "inv" / "data" / "run=two").exists()
+    assert commits.load(spark, path, df.schema).count() == 2
+    assert commits.header(spark, path, "row_count long, a long").first().asDict() == {"row_count": 2, "a": 1}
+    assert SNK.write_inventory(more, path, "two", measures).first().asDict() == {"row_count": 4, "a": 2}
+    # run once more it changes nothing, whatever it is given
+    assert SNK.write_inventory(df, path, "two", measures).first().asDict() == {"row_count": 4, "a": 2}
+    assert sorted(r["key"] for r in commits.load(spark, path, df.schema).collect()) == [1, 2, 11, 12]
+    assert SNK.write_inventory(df.limit(0), path, "three", measures).first().asDict() == {"row_count": 0, "a": 0}
+    assert commits.load(spark, path, df.schema).count() == 0 and len(commits.commits(spark, path)) == 3
+    with pytest.raises(ValueError):
+        SNK.write_inventory(df, path, "../four")
+    docs = str(tmp_path / "doc")
+    assert SNK.write_per_document(df, docs, "kind", "one").first()["documents"] == 2
+    assert sorted(map(tuple, commits.load(spark, docs, df.schema).collect())) == sorted(map(tuple, df.collect()))
     assert SNK.write_baseline(df, str(tmp_path / "base"), "key").first()["row_count"] == 2
     lines = spark.createDataFrame([(2, 0, "b", "two"), (1, 0, "a", "one")], "section int, rank int, key string, line string")
     SNK.write_report(lines, str(tmp_path / "report"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()] == ["one", "two"]
 
 
+def test_rows_lost_in_storage_are_not_committed(spark, tmp_path, monkeypatch):
+    df = spark.range(10)
+    real = commits._present
+    monkeypatch.setattr(commits, "_present", lambda s, schema, *paths: real(s, schema, *paths).where("id > 0"))
+    with pytest.raises(commits.Incomplete):
+        commits.commit(df, str(tmp_path / "t"), "one")
+    assert commits.commits(spark, str(tmp_path / "t")) == []
+
+
 def test_versions_are_appended_once(spark, tmp_path):
     path = str(tmp_path / "versions")
     v = lambda rows: spark.createDataFrame(rows, "file string, sha256 string")
     count = lambda df: {r["file"]: r["versions"] for r in df.collect()}
-    assert count(SNK.append_versions(v([("a", "1"), ("b", "1")]), path)) == {"a": 1, "b": 1}
-    assert count(SNK.append_versions(v([("a", "2"), ("b", "1")]), path)) == {"a": 2, "b": 1}
+    assert count(SNK.append_versions(v([("a", "1"), ("b", "1"), ("a", "1")]), path, "r1")) == {"a": 1, "b": 1}
+    assert count(SNK.append_versions(v([("a", "2"), ("b", "1")]), path, "r2")) == {"a": 2, "b": 1}
+    # a job that is run again neither doubles nor loses versions
+    assert count(SNK.append_versions(v([("a", "2"), ("b", "1")]), path, "r2")) == {"a": 2, "b": 1}
+    with pytest.raises(Exception, match="lost on the way"):
+        SNK.append_versions(failing(v([("c", "1"), ("d", "1")])), path, "r3")
+    assert count(SNK.append_versions(v([("c", "1"), ("d", "1")]), path, "r3")) == {"a": 2, "b": 1, "c": 1, "d": 1}
     with pytest.raises(Exception):  # a history that cannot be read is not an empty one
-        bad = tmp_path / "bad"
-        bad.mkdir()
+        bad = tmp_path / "bad" / "commits"
+        bad.mkdir(parents=True)
         (bad / "part-0.parquet").write_text("no parquet")
-        SNK.append_versions(v([("a", "1")]), str(bad)).collect()
+        SNK.append_versions(v([("a", "1")]), str(tmp_path / "bad"), "r1").collect()
     # Reverting to a recorded checksum adds nothing.
-    assert count(SNK.append_versions(v([("a", "1"), ("b", "1")]), path)) == {"a": 2, "b": 1}
+    assert count(SNK.append_versions(v([("a", "1"), ("b", "1")]), path, "r4")) == {"a": 2, "b": 1, "c": 1, "d": 1}
+
+
+def test_frontier(spark):
+    robots = spark.createDataFrame([("h", 0, "User-agent: *"), ("h", 1, "Disallow: /no")], "host string, pos int, line string")
+    found = spark.createDataFrame([(u,) for u in ["http://h/a#x", "http://h/a", " http://h/b ", "http://h/no/1", "http://g/no/1", None, "", "#top"]], "url string")
+    seen = spark.createDataFrame([("http://h/b#y",), ("http://h/no/1",), ("http://h/b",)], "url string")
+    got = {r["url"]: (r["state"], r["rule"]) for r in P.frontier(found, seen, P.robots_rules(robots)).collect()}
+    assert got == {"http://h/a": ("fetch", None), "http://h/b": ("seen", None), "http://h/no/1": ("forbidden", "/no"), "http://g/no/1": ("fetch", None)}
 
 
 def test_readers(spark, tmp_path):
