@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from civicloom.bindings import b_freshness as BF
 from civicloom.bindings import b_text as BT
 from civicloom.bindings.registry import Tables, query
-from civicloom.operators import freshness as FR
-from civicloom.operators.skew import checkpoint_folder
+from civicloom.operators.skew import checkpoint_folder, lookup_join
 from civicloom.streaming import feeds
 from civicloom.streaming import visits as V
 
@@ -88,20 +87,38 @@ def _(t):
 SELECT page_id, CASE WHEN url LIKE '%.html' THEN 'new' WHEN url LIKE '%#top' THEN 'changed' ELSE 'same' END AS state FROM pages WHERE url NOT LIKE '%/es/%'""")
 def _(t):
     source, out = folder(t, "crawls-in"), folder(t, "crawls")
-    prev, curr = (c.withColumn("n", F.lit(n)) for n, c in enumerate(BT.crawls(t)))
-    for crawl in (prev, curr):
-        landing(crawl, source)()
-        feeds.crawl_feed(from_folder(crawl, source), out, "page_id", "html", "n").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{out}/log/batch=1").select("page_id", "state")
+    for n, crawl in enumerate(BT.crawls(t)):
+        landing(crawl.withColumn("n", F.lit(n)), source)()
+        changes = feeds.page_changes(from_folder(crawl.withColumn("n", F.lit(n)), source), "page_id", "html", "n")
+        V.run_to_end(feeds.appended(changes, out))
+    return t.spark.read.parquet(f"{out}/log").where(F.col("n") == 1).select("page_id", "state")
+
+
+def told(t: Tables, name: str, changed: DataFrame | None = None) -> DataFrame:
+    """What the calendar tells of the pages up to the day of the tables: pages land
+    90 days before, changes of documents a day before, then the day's tick."""
+    checks, ticks, out = folder(t, f"{name}-in"), folder(t, f"{name}-ticks"), folder(t, name)
+    day = BF.as_of().cast("date")
+    classes = BF.classes(t).select(F.col("name").alias("data_class"), F.col("cadence_days").alias("cadence"))
+    known = BF.pages(t).join(classes, "data_class", "left").select(
+        "key", "last_checked_at", F.col("cadence").cast("int").alias("cadence"), (F.col("verification") == "V0").alias("unconfirmed"), "data_class"
+    )
+    landed = known.select("key", "last_checked_at", "cadence", "unconfirmed", F.lit(False).alias("forced"), F.date_sub(day, 90).alias("at"))
+    landing(landed, checks)()
+    tick = t.spark.range(1).select(day.alias("day"))
+    landing(tick.limit(0), ticks)()
 
+    def run():
+        V.run_to_end(feeds.appended(feeds.freshness_stream(from_folder(landed, checks), from_folder(tick, ticks), "key"), out))
 
-def ticked(t: Tables, name: str, table) -> DataFrame:
-    """A table for the day of a landed tick."""
-    source, out = folder(t, f"{name}-in"), folder(t, name)
-    tick = t.spark.range(1).select(BF.as_of().cast("date").alias("day"))
-    landing(tick, source)()
-    feeds.tick_feed(from_folder(tick, source), out, "day", table).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{out}/batch=0")
+    run()
+    if changed is not None:
+        forced = lookup_join(known, changed.select("data_class").distinct(), ["data_class"], "left_semi").drop("data_class")
+        landing(forced.withColumns({"forced": F.lit(True), "at": F.date_sub(day, 1)}).select(*landed.columns), checks)()
+        run()
+    landing(tick, ticks)()
+    run()
+    return t.spark.read.parquet(f"{out}/log")
 
 
 @query("stm_freshness_tick", f"""WITH {BF.SQL},
@@ -113,13 +130,11 @@ def _(t):
     top = t.orders.groupBy(F.col("o_orderpriority").alias("data_class")).agg(F.max("o_totalprice").alias("p"))
     dearest = t.orders.agg(F.max("o_totalprice")).scalar()
     changed = top.withColumn("m", dearest).where(F.col("p") < F.col("m"))
-    stated = lambda day: feeds.freshness_tick(BF.pages(t), BF.classes(t), changed, day).select("key", "data_class", "state")
-    return ticked(t, "freshness", stated)
+    last = told(t, "freshness", changed).where(F.col("what") == "state").groupBy("key").agg(F.max_by("state", "n").alias("state"))
+    return BF.pages(t).select("key", "data_class").join(last, "key", "left")
 
 
 @query("stm_v0_expiry", f"WITH {BF.SQL} SELECT key, age FROM aged WHERE verification = 'V0' AND age >= 90")
 def _(t):
-    def over(day):
-        return FR.expired(BF.pages(t), day).select("key", F.date_diff(day, F.col("last_checked_at")).alias("age"))
-
-    return ticked(t, "expiry", over)
+    gone = told(t, "expiry").where(F.col("what") == "expiry")
+    return gone.select("key", F.date_diff(BF.as_of().cast("date"), F.col("checked")).alias("age"))

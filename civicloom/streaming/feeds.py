@@ -1,62 +1,157 @@
-"""Crawl batches as change events, and freshness re-evaluated by changes."""
+"""Crawl batches as change events, and freshness re-evaluated by changes and by the calendar.
+
+Both feeds hold state per page: a batch touches the pages it has news of, and a tick
+the pages whose state changes on that day. Outputs are appended by the file sink, which
+writes a batch once, also when it is run again."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from civicloom.functions.dates import days_between, freshness
 from civicloom.operators.pages import content_checksum
 from civicloom.operators.skew import lookup_join
 
-
-def page_events(latest: DataFrame, batch: DataFrame, key: str, html: str, order: str) -> DataFrame:
-    """key, state, sha256 for every page of a crawl batch against the latest
-    known checksums: new / changed / same. A page fetched twice in one batch is
-    judged by its last copy."""
-    now = batch.select(key, F.struct(order, content_checksum(F.col(html)).alias("sha")).alias("_c"))
-    now = now.groupBy(key).agg(F.max("_c").alias("_c")).select(key, F.col("_c.sha").alias("sha256"))
-    known = latest.select(key, F.col("sha256").alias("_known"))
-    out = now.join(known, key, "left")
-    state = F.when(F.col("_known").isNull(), "new").when(F.col("_known") != F.col("sha256"), "changed").otherwise("same")
-    return out.select(key, state.alias("state"), "sha256")
-
-
-def crawl_feed(stream: DataFrame, path: str, key: str, html: str, order: str):
-    """writeStream that turns crawl batches into change events under `path`.
-
-    `path/log` is append-only, one folder per batch. `path/latest` has the latest
-    checksum of every page as of a batch, so a batch reads that table once and not the
-    log; a batch that is run again overwrites its own folders and reads the one before."""
-    spark = stream.sparkSession
-    kind = stream.schema[key].dataType.simpleString()
-    known = f"{key} {kind}, sha256 string"
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        latest = spark.read.schema(known).parquet(f"{path}/latest/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], known)
-        page_events(latest, batch, key, html, order).write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
-        events = spark.read.schema(f"{key} {kind}, state string, sha256 string").parquet(f"{path}/log/batch={batch_id}")
-        seen = events.select(key, "sha256")
-        now = latest.join(seen.select(key), key, "left_anti").unionByName(seen)
-        now.write.mode("overwrite").parquet(f"{path}/latest/batch={batch_id}")
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/progress")
-
-
-def tick_feed(ticks: DataFrame, path: str, day: str, table: Callable[[Column], DataFrame]):
-    """writeStream that evaluates `table` (a frame for a day, such as `freshness_tick`
-    or `expired`) anew for the newest day of each batch of ticks, under
-    `path/batch=n`. State depends on the day alone, so ticks that were missed need
-    not be made up for; a batch without a day changes nothing."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max(day)).first()[0]
-        if newest is not None:
-            table(F.lit(newest)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return ticks.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/progress")
+DAY_MS = 86_400_000
+#: Days after which a fact that nobody has confirmed goes.
+EXPIRY = 90
+
+
+class LatestCopy(StatefulProcessor):
+    """The newest copy of a page that is known: what a later copy is compared with.
+
+    Of the copies in one batch the newest counts; one that is older than the known copy
+    says nothing. With `forget_ms` a page not seen for so long is new again."""
+
+    def __init__(self, forget_ms: int | None = None):
+        self.forget_ms = forget_ms
+
+    def init(self, handle) -> None:
+        self.known = handle.getValueState("known", "n long, sha256 string", self.forget_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = max((int(n), sha) for pdf in rows for n, sha in zip(pdf["n"], pdf["sha256"]))
+        known = self.known.get() if self.known.exists() else None
+        if known is None or newest[0] >= known[0]:
+            state = "new" if known is None else "same" if known[1] == newest[1] else "changed"
+            self.known.update(newest)
+            yield pd.DataFrame({"key": [key[0]], "n": [newest[0]], "state": [state], "sha256": [newest[1]]})
+
+    def close(self) -> None:
+        pass
+
+
+def page_changes(crawl: DataFrame, key: str, html: str, order: str, forget_ms: int | None = None) -> DataFrame:
+    """Stream of key, `order`, state (new / changed / same) and sha256 of a stream of crawled
+    pages. Texts become checksums before anything is shuffled; pages without a key or an order are left out."""
+    kind = crawl.schema[key].dataType.simpleString()
+    copies = crawl.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(
+        F.col(key).alias("key"), F.col(order).cast("long").alias("n"), F.coalesce(content_checksum(F.col(html)), F.lit("")).alias("sha256")
+    )
+    out = copies.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=LatestCopy(forget_ms), outputStructType=f"key {kind}, n long, state string, sha256 string",
+        outputMode="Append", timeMode="ProcessingTime" if forget_ms else "None",
+    )
+    return out.select(F.col("key").alias(key), F.col("n").alias(order), "state", "sha256")
+
+
+def appended(stream: DataFrame, path: str):
+    """writeStream that appends a stream's rows under `path/log`."""
+    return stream.writeStream.format("parquet").option("path", f"{path}/log").option("checkpointLocation", f"{path}/progress").outputMode("append")
+
+
+class Calendar(StatefulProcessor):
+    """A page's check, and a timer for the next day on which its state changes.
+
+    Told are changes of state (fresh, due, stale, undated; none without a cadence) and, once per
+    check, that a fact nobody has confirmed has expired. Days are numbers since 1970-01-01."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.page = handle.getValueState("page", "checked int, cadence int, unconfirmed boolean, forced boolean, told string, expired boolean, n long")
+
+    @staticmethod
+    def state_of(age: int, cadence: int | None, forced: bool) -> str | None:
+        if cadence is None:
+            return None
+        if age < 0:
+            return "undated"
+        return "stale" if forced or age > cadence else "due" if age * 10 > cadence * 9 else "fresh"
+
+    def _tell(self, key, page: tuple, today: int) -> Iterator[pd.DataFrame]:
+        checked, cadence, unconfirmed, forced, told, expired, n = page
+        age, rows = today - checked, []
+        state = self.state_of(age, cadence, forced)
+        if state != told:
+            n += 1
+            rows.append((key[0], n, today, checked, "state", state))
+        if unconfirmed and not expired and age >= EXPIRY:
+            n, expired = n + 1, True
+            rows.append((key[0], n, today, checked, "expiry", "expired"))
+        self.page.update((checked, cadence, unconfirmed, forced, state, expired, n))
+        ages = [0, EXPIRY if unconfirmed and not expired else -1]
+        if cadence is not None and not forced:
+            ages += [cadence * 9 // 10 + 1, cadence + 1]
+        later = [a for a in ages if a > age]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if later:
+            self.handle.registerTimer((checked + min(later)) * DAY_MS - 1)
+        if rows:
+            yield pd.DataFrame(rows, columns=["key", "n", "day", "checked", "what", "state"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        news = max(
+            (int(at), int(c), -1 if pd.isna(cadence) else int(cadence), bool(u), bool(f))
+            for pdf in rows for at, c, cadence, u, f in zip(pdf["at"], pdf["checked"], pdf["cadence"], pdf["unconfirmed"], pdf["forced"])
+        )
+        at, checked, cadence, unconfirmed, forced = news
+        old = self.page.get() if self.page.exists() else None
+        told, expired, n = (old[4], bool(old[5]) and old[0] == checked, old[6]) if old else (None, False, 0)
+        today = max(at, timerValues.getCurrentWatermarkInMs() // DAY_MS)
+        yield from self._tell(key, (checked, None if cadence < 0 else cadence, unconfirmed, forced, told, expired, n), today)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._tell(key, tuple(self.page.get()), timerValues.getCurrentWatermarkInMs() // DAY_MS)
+
+    def close(self) -> None:
+        pass
+
+
+def freshness_stream(checks: DataFrame, ticks: DataFrame, key: str) -> DataFrame:
+    """Stream of key, n (counts up per key), day, checked, what, state: what changes with checks and with the calendar.
+
+    checks(key, last_checked_at, cadence, unconfirmed, forced, at): what is known of a page as of the
+    day `at` on which it lands; forced: a document of its class has changed. ticks(day): the day has come.
+    Checks without a key or a date are left out, and those that land for a day before the last tick's."""
+    kind = checks.schema[key].dataType.simpleString()
+
+    def noon(day: Column, hours: int) -> Column:
+        return F.timestamp_seconds(F.unix_date(day) * 86400 + hours * 3600)
+
+    known = checks.where(F.col(key).isNotNull() & F.col("last_checked_at").isNotNull() & F.col("at").isNotNull()).select(
+        F.col(key).alias("key"), F.unix_date(F.col("at").cast("date")).alias("at"), F.unix_date(F.col("last_checked_at").cast("date")).alias("checked"),
+        F.col("cadence").cast("int").alias("cadence"), F.coalesce("unconfirmed", F.lit(False)).alias("unconfirmed"),
+        F.coalesce("forced", F.lit(False)).alias("forced"), noon(F.col("at").cast("date"), 12).alias("ts"),
+    )
+    # A tick is no page; it moves the watermark, a day behind, to its own midnight.
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in known.schema if f.name != "ts"]
+    moved = ticks.where(F.col("day").isNotNull()).select(*none, noon(F.col("day").cast("date"), 24).alias("ts"))
+    # The filter reads the time too, or it would be moved below the watermark and ticks with it.
+    page = F.when(F.col("ts").isNotNull(), F.col("key").isNotNull())
+    rows = known.unionByName(moved).withWatermark("ts", "1 day").where(page)
+    out = rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Calendar(), outputStructType=f"key {kind}, n long, day int, checked int, what string, state string",
+        outputMode="Append", timeMode="EventTime",
+    )
+    return out.select(
+        F.col("key").alias(key), "n", F.date_from_unix_date("day").alias("day"), F.date_from_unix_date("checked").alias("checked"), "what", "state"
+    )
 
 
 def freshness_tick(pages: DataFrame, classes: DataFrame, changed: DataFrame, as_of: Column) -> DataFrame:

@@ -262,6 +262,11 @@ def _to_its_end(writer, stateful: bool = False) -> StreamingQuery:
     return query
 
 
+def run_to_end(writer) -> StreamingQuery:
+    """Runs a stream that holds state per key over everything available."""
+    return _to_its_end(writer, stateful=True)
+
+
 def late_visits(query: StreamingQuery) -> int:
     """Rows that a stream's watermark has dropped."""
     return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])

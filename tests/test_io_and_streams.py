@@ -3,7 +3,6 @@
 import datetime as dt
 import json
 import random
-import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,20 +110,76 @@ def test_total_of_nothing_is_unknown(spark):
     assert V.total(empty).first()["total"] is None
 
 
-def test_crawl_feed(spark, tmp_path):
+def test_page_changes(spark, tmp_path):
     crawls = [
-        [(1, "<article>a</article>", 1), (2, "<article>b</article>", 1)],
-        [(1, "<script>7</script><article>a</article>", 2), (2, "<article>c</article>", 2), (3, "<article>n</article>", 2)],
+        [(1, "<article>a</article>", 1), (2, "<article>b</article>", 1), (None, "<article>x</article>", 1), (5, None, 1)],
+        [(1, "<script>7</script><article>a</article>", 2), (2, "<article>c</article>", 2), (2, "<article>b</article>", 1), (3, "<article>n</article>", 2)],
+        [(2, "<article>b</article>", 1), (5, "<article>now</article>", 3)],
     ]
     cols = "page long, html string, n int"
-    feed = str(tmp_path / f"feed-{uuid.uuid4().hex}")
-    for rows in crawls:
-        spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "feed")
+
+    def run():
         stream = spark.readStream.schema(cols).parquet(str(tmp_path / "in"))
-        feeds.crawl_feed(stream, feed, "page", "html", "n").trigger(availableNow=True).start().awaitTermination()
-    log = spark.read.parquet(f"{feed}/log")
-    got = sorted((r["batch"], r["page"], r["state"]) for r in log.collect())
-    assert got == [(0, 1, "new"), (0, 2, "new"), (1, 1, "same"), (1, 2, "changed"), (1, 3, "new")]
+        V.run_to_end(feeds.appended(feeds.page_changes(stream, "page", "html", "n"), out))
+        return sorted((r["n"], r["page"], r["state"]) for r in spark.read.parquet(f"{out}/log").collect())
+
+    def land(rows):
+        spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    land(crawls[0])
+    first = run()
+    assert first == [(1, 1, "new"), (1, 2, "new"), (1, 5, "new")]
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "feed" / "log").glob("part-*"))
+    before = size()
+    land(crawls[1])  # a stream that is started again goes on from what it knows
+    second = run()
+    assert second[3:] == [(2, 1, "same"), (2, 2, "changed"), (2, 3, "new")] and size() <= 3 * before
+    # a batch whose end was not recorded runs again and adds nothing
+    last = max((tmp_path / "feed" / "progress" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink()
+    assert run() == second
+    land(crawls[2])  # an older copy than the known one says nothing
+    assert run() == [*second, (3, 5, "changed")]
+
+
+def test_calendar_tells_only_what_changes(spark, tmp_path):
+    cols, day0 = "key string, last_checked_at date, cadence int, unconfirmed boolean, forced boolean, at date", dt.date(2026, 1, 1)
+    day = lambda n: day0 + dt.timedelta(days=n)
+    checks, ticks, out = (str(tmp_path / x) for x in ("checks", "ticks", "out"))
+    spark.createDataFrame([], "day date").write.parquet(ticks)
+    seen = 0
+
+    def run(rows=(), tick=None):
+        """What one run adds to the log."""
+        nonlocal seen
+        if rows:
+            spark.createDataFrame([(k, day(c), cad, u, f, day(at)) for k, c, cad, u, f, at in rows], cols).coalesce(1).write.mode("append").parquet(checks)
+        if tick is not None:
+            spark.createDataFrame([(day(tick),)], "day date").coalesce(1).write.mode("append").parquet(ticks)
+        stream = feeds.freshness_stream(spark.readStream.schema(cols).parquet(checks), spark.readStream.schema("day date").parquet(ticks), "key")
+        V.run_to_end(feeds.appended(stream, out))
+        log = sorted(((r["n"], r["key"], (r["day"] - day0).days, r["what"], r["state"]) for r in spark.read.parquet(f"{out}/log").collect()), key=lambda r: (r[2], r[1], r[0]))
+        fresh, seen = log[seen:], len(log)
+        return [(k, d, s) for _, k, d, _, s in fresh]
+
+    rows = [("a", 0, 10, False, False, 0), ("b", 5, 10, False, False, 0), ("c", 0, None, True, False, 0), ("d", 0, 100, True, False, 0)]
+    assert run(rows) == [("a", 0, "fresh"), ("b", 0, "undated"), ("d", 0, "fresh")]
+    assert run(tick=4) == []
+    assert run(tick=9) == [("b", 9, "fresh")]
+    assert run(tick=10) == [("a", 10, "due")]
+    assert run(tick=10) == []
+    # a tick that skips days tells where a page stands, not how it came there; a document of b's class has changed
+    assert run([("b", 5, 10, False, True, 10)]) == [("b", 10, "stale")]
+    assert run(tick=30) == [("a", 30, "stale")]
+    assert run([("a", 30, 10, False, False, 31)]) == [("a", 31, "fresh")]
+    assert run(tick=90) == [("a", 90, "stale"), ("c", 90, "expired"), ("d", 90, "expired")]
+    assert run(tick=91) == [("d", 91, "due")]
+    for age in range(-1, 40):  # the state is the one that the batch expression gives
+        for cadence in (0, 1, 9, 10, 20, 21):
+            want = "undated" if age < 0 else "stale" if age > cadence else "due" if age * 10 > cadence * 9 else "fresh"
+            assert feeds.Calendar.state_of(age, cadence, False) == want
 
 
 def failing(df):
