@@ -241,12 +241,22 @@ def render(
     return out
 
 
-def printed_whole() -> Column:
-    """Lines all of whose cells `render` prints: steps that say anything, and
-    requirements without cells that the requirements table has no column for."""
-    said = F.coalesce(*[F.col(f) for f in STEP_FIELDS]).isNotNull()
-    plain = F.coalesce("agencyAction", "fee", "processingTime").isNull() & F.col("clientStep").isNotNull()
-    return F.coalesce(((F.col("part") == "step") & said) | ((F.col("part") == "requirement") & plain), F.lit(False))
+def unpublished(source: DataFrame, body: DataFrame, key: str, line_id: str, text: str) -> DataFrame:
+    """Source lines (key, line_id, is_total, text) with any token that their record's published
+    lines lack. body: the rendered lines of one locale.
+
+    Every line is compared: first with the one printed for it, whose tokens have its own in
+    their order; only lines that aren't found whole there are looked up among all tokens of their record."""
+    said = lambda c: F.concat(F.lit(" "), F.array_join(T.tokens(F.col(c)), " "), F.lit(" "))
+    place = F.when(F.col("block") == 4, F.lit(-1).cast("long")).otherwise(F.col("line_no")).alias("_at")
+    printed = body.where((F.col("block") > 1) & (F.col("line_no") >= 0)).select(
+        key, place, (F.col("block") == 4).alias("is_total"), said("line").alias("_printed")
+    )
+    asked = source.withColumn("_at", F.when(F.col("is_total"), F.lit(-1).cast("long")).otherwise(F.col(line_id).cast("long")))
+    met = asked.join(printed, [key, "_at", "is_total"], "left")
+    rest = met.where(~F.coalesce(F.col("_printed").contains(said(text)), F.lit(False))).select(key, line_id, text)
+    # the bodies of records that still have lines to look up
+    return unrendered(rest, lookup_join(body, rest.select(key).distinct(), [key], "left_semi"), [key], line_id, text)
 
 
 def unrendered(source: DataFrame, rendered: DataFrame, keys: Sequence[str], line_id: str, text: str) -> DataFrame:

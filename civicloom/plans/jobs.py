@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from civicloom.operators import search as S
 from civicloom.operators.skew import lookup_join
 
-#: Positions of requirement rows lie this far below those of steps.
-BEFORE_STEPS = 1 << 40
+#: Positions of steps begin here, those of requirement rows at 1.
+BELOW_CHECKLIST = 1 << 40
 
 
 def job_search(
@@ -72,14 +72,10 @@ def job_publish(
         .drop("k_other", "k_fees", "k_time")
     )
     filed = lookup_join(parted, entries.select(key), [key], "left_semi")
-    body = RC.render(entries, filed, [key], facts, locales)
-    # Lines that are printed whole lack nothing; the others are compared with their records' pages.
-    source = filed.where(~RC.printed_whole()).select(key, "pos", F.concat_ws(" ", *[F.col(f) for f in RC.STEP_FIELDS]).alias("text"))
-    asked = source.select(key).distinct()
-    pages = RC.render(
-        lookup_join(entries, asked, [key], "left_semi"), lookup_join(filed, asked, [key], "left_semi"), [key], facts, locales[:1]
-    )
-    ledger = RC.unrendered(source, pages, [key], "pos", "text")
+    # Written once: the ledger reads what is published, not a second rendering.
+    body = settle(RC.render(entries, filed, [key], facts, locales))
+    source = filed.select(key, "pos", (F.col("part") == "total").alias("is_total"), F.concat_ws(" ", *[F.col(f) for f in RC.STEP_FIELDS]).alias("text"))
+    ledger = RC.unpublished(source, body.where(F.col("locale") == locales[0]), key, "pos", "text")
     return content, body, ledger
 
 
@@ -142,7 +138,7 @@ def job_extract(layout: DataFrame) -> tuple[DataFrame, DataFrame]:
     services: doc, section, number, title, the labelled fields, the record measures,
     whether the requirements read as a list, how many places could not be told to an
     item, and the confidence of the extraction. steps: one row per rebuilt table row
-    with the five columns and its part; requirement rows (negative pos) have the item as
+    with the five columns and its part; requirement rows (before the steps) have the item as
     clientStep and the place as personResponsible. Lines and cells are written once
     each; every later pass starts from there."""
     from civicloom.functions import text as T
@@ -249,10 +245,11 @@ def job_extract(layout: DataFrame) -> tuple[DataFrame, DataFrame]:
         "doc", "page", F.lit(None).cast("double").alias("top"), F.col("text").alias("clientStep"),
         *[none.alias(k) for k in keys if k not in ("clientStep", "personResponsible")],
         F.when(F.col("piece") == 0, F.col("_place")).alias("personResponsible"), none.alias("unresolved"),
-        (F.col("_n") - F.lit(BEFORE_STEPS)).alias("pos"), F.lit("requirement").alias("part"),
+        F.col("_n").alias("pos"), F.lit("requirement").alias("part"),
     )
     # Rows above the first timed one were read through the geometry of the steps table: the checklist has them instead.
-    parted = settle(parted.where(F.col("part") != "requirement").unionByName(asked).drop("page", "top"))
+    rest = parted.where(F.col("part") != "requirement").withColumn("pos", F.col("pos") + BELOW_CHECKLIST)
+    parted = settle(rest.unionByName(asked).drop("page", "top"))
     is_merged = merged.where(F.col("key").isin("fee", "processingTime")).select("doc").distinct().withColumn("_merged", F.lit(True))
     services = (
         number_of.select(F.concat_ws("#", "doc", "service").alias("doc"), "section", "number", "title")

@@ -308,3 +308,29 @@ def test_labels_that_wrap_are_read(spark):
     text = spark.createDataFrame([("a.pdf", i, x) for i, x in enumerate(lines)], "doc string, pos int, text string")
     got = J.job_enumerate(text, "doc").first()
     assert (got["office"], got["owning_office"], got["eligibility"], got["classification"]) == ("Registry", "present", "present", "Simple")
+
+
+def test_a_lost_step_is_held(spark, monkeypatch):
+    """The ledger reads the published body: a renderer that drops a plain step, a total or a cell is caught."""
+    from civicloom.plans import jobs as J
+
+    cols = "k string, pos int, " + ", ".join(f"{f} string" for f in RC.STEP_FIELDS)
+    data = [
+        ("r", 1, "1. Bring alpha", None, None, None, "Registrar"), ("r", 2, "Submit beta", "Check gamma", "PHP 5.00", "3 Minutes", "Clerk"),
+        ("r", 3, "Sign delta", None, None, "4 Minutes", "Clerk"), ("r", 4, "TOTAL", None, "PHP 9.00", "7 Minutes", None),
+        ("s", 1, "Go epsilon", None, "None", None, None), ("s", 2, None, None, None, None, None),
+    ]
+    lines = spark.createDataFrame(data, cols)
+    entries = spark.createDataFrame([("r", "Hall"), ("s", None)], "k string, office string")
+    known = entries.select("k", *[F.lit("present").alias(f"k_{c}") for c in ("other", "fees", "time")], F.lit(None).cast("string").alias("eligibility"))
+
+    def held():
+        return sorted(map(tuple, J.job_publish(lines, entries, known, "k", {"Office": F.col("office")}, ["en", "fil"])[2].collect()))
+
+    assert held() == []
+    real = RC.render
+    for lost, want in [((F.col("block") == 3) & (F.col("line_no") == 3), [("r", 3)]), (F.col("block") == 4, [("r", 4)]), (F.col("line").contains("alpha"), [("r", 1)])]:
+        monkeypatch.setattr(RC, "render", lambda *a, lost=lost, **k: real(*a, **k).where(~lost))
+        assert held() == want
+    monkeypatch.setattr(RC, "render", lambda *a, **k: real(*a, **k).withColumn("line", F.replace("line", F.lit("gamma"), F.lit(""))))
+    assert held() == [("r", 2)]
