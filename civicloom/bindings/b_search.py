@@ -187,7 +187,7 @@ WHERE h.source = '{CATEGORY}'""")
 def _(t):
     from civicloom.plans.jobs import job_search
 
-    return job_search(docs(t), QUERY, ["text"], "title", "source", "doc_id", CATEGORY).select(
+    return job_search(docs(t), QUERY, ["text"], "title", "source", "doc_id", CATEGORY, keep=["doc_id"]).select(
         "doc_id",
         "category",
         "title_hit",

@@ -76,8 +76,11 @@ def fold_literal(value: str) -> str:
     return _plain(value).lower()
 
 
-def _split_syllables(col: Column) -> Column:
-    """Hangul syllables as their two or three letters, by the arithmetic of their code points."""
+def _spelled_out(col: Column, several: dict[str, str]) -> Column:
+    """Characters that stand for several plain ones as these: by a table, and Hangul
+    syllables by the arithmetic of their code points. The expression's size doesn't
+    depend on the table's."""
+    table = F.map_from_arrays(F.lit(list(several)), F.lit(list(several.values())))
 
     def letter(first: int, count: int, index: Column) -> Column:
         return F.substring(F.lit("".join(chr(first + i) for i in range(count))), index + 1, F.lit(1))
@@ -87,7 +90,8 @@ def _split_syllables(col: Column) -> Column:
         lead = letter(0x1100, 19, F.floor(at / 588).cast("int"))
         vowel = letter(0x1161, 21, F.floor(at % 588 / 28).cast("int"))
         tail = F.when(at % 28 > 0, letter(0x11A8, 27, (at % 28 - 1).cast("int"))).otherwise(F.lit(""))
-        return F.when(char.between("\uac00", "\ud7a3"), F.concat(lead, vowel, tail)).otherwise(char)
+        syllable = F.when(char.between("\uac00", "\ud7a3"), F.concat(lead, vowel, tail))
+        return F.coalesce(syllable, F.try_element_at(table, char), char)
 
     return F.array_join(F.transform(F.split(col, ""), parts), "")
 
@@ -97,9 +101,9 @@ def fold(col: Column) -> Column:
     several plain ones are looked for first."""
     src, dst = accent_table()
     several = {c: p for c, p in _decompositions().items() if len(p) > 1}
-    spread = functools.reduce(lambda c, one: F.replace(c, F.lit(one[0]), F.lit(one[1])), several.items(), col)
-    wide = F.when(col.rlike("[" + "".join(several) + "]"), spread).otherwise(col)
-    wide = F.when(col.rlike("[\uac00-\ud7a3]"), _split_syllables(wide)).otherwise(wide)
+    # One range that holds all of them: a class that lists them is tried in turn for every character.
+    least = min(map(ord, several))
+    wide = F.when(col.rlike(rf"[\x{{{least:x}}}-\x{{10ffff}}]"), _spelled_out(col, several)).otherwise(col)
     plain = F.regexp_replace(F.translate(wide, src, dst), r"\p{Mn}+", "")
     return F.lower(F.when(col.rlike(r"[^\x00-\x7F]"), plain).otherwise(col))
 

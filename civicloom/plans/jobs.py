@@ -20,12 +20,18 @@ def job_search(
     category_col: str,
     pos_col: str,
     category: str | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Search, facet over the unfiltered hits, narrow, rank and highlight.
 
-    The facet count travels with every hit; facets are one row per category and
-    small, so the optimizer broadcasts them when their measured size allows."""
+    The texts are read and folded once: hits are written with the columns `keep` (all, if none are named)
+    and what ranking needs, and counted, narrowed and ranked from there. The facet count travels with every
+    hit; facets are one row per category and small, so the optimizer broadcasts them when their measured size allows."""
+    from civicloom.operators.skew import settle
+
     hits = S.search(df, query, text_cols, title_col, category_col)
+    carried = list(dict.fromkeys([*(df.columns if keep is None else keep), title_col, category_col, pos_col, "title_hit"]))
+    hits = settle(hits.select(*carried))
     counts = S.facets(hits, category_col).withColumnRenamed("hits", "category_hits")
     narrowed = hits.withColumnRenamed(category_col, "category")
     if category:
