@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from civicloom.bindings.registry import Tables, query
 from civicloom.operators import freshness as FR
 from civicloom.operators import validate as V
+from civicloom.operators.skew import checkpoint_folder
+from civicloom.plans import jobs as J
 
 AS_OF = "2001-06-01"
 CADENCES = [
@@ -58,9 +62,44 @@ stated AS (
 """
 
 
-@query("job_freshness", f"WITH {SQL} SELECT key, data_class, age, state FROM stated")
+@query("job_freshness", f"""WITH {SQL},
+h AS (SELECT count(*) AS row_count, count(*) FILTER (WHERE state IN ('stale', 'due')) AS overdue, count(*) FILTER (WHERE state = 'undated') AS undated,
+  count(review_role) AS reviewed, count(*) FILTER (WHERE cadence IS NULL) AS undeclared, count(DISTINCT data_class) AS manifests FROM stated)
+SELECT key, data_class, age, state, h.* FROM stated, h""")
+def _(t):
+    head, rows, _, _ = freshness_job(t)
+    counts = {c: head.select(c).scalar() for c in head.columns}
+    return rows.select("key", "data_class", "age", "state").withColumns(counts)
+
+
+def freshness_job(t: Tables):
+    path = f"{checkpoint_folder(t.spark)}/freshness-{uuid.uuid4().hex}"
+    listed = pages(t).withColumn("manifest", F.col("data_class"))
+    return J.job_freshness(listed, classes(t), as_of(), "key", "manifest", path, "only", FORCED, baseline(t), True)
+
+
+@query("job_freshness_report", f"""WITH {SQL}, byc AS (SELECT c.name, c.cadence, count(s.key) AS pages,
+    count(*) FILTER (WHERE s.state IN ('stale', 'due')) AS overdue
+  FROM classes c LEFT JOIN stated s ON s.data_class = c.name GROUP BY 1, 2)
+SELECT 0 AS section, 0 AS rank, '' AS key, 'Generated **{AS_OF}**, against ' || count(*) || ' published pages in ' || count(DISTINCT data_class) || ' manifests.' AS line FROM stated
+UNION ALL SELECT 1, 0, name, '| `' || name || '` | ' || cadence || ' days | ' || pages || ' | ' || overdue || ' |' FROM byc
+UNION ALL SELECT 2, -age, CAST(key AS VARCHAR), '| `' || key || '` | `' || data_class || '` | ' ||
+  strftime(last_checked_at, '%Y-%m-%d') || ' | ' || age || ' days | **' || state || '** |' FROM stated WHERE state IN ('stale', 'due')
+UNION ALL SELECT 3, 0, CAST(key AS VARCHAR), '- `' || key || '` — ' || strftime(last_checked_at, '%Y-%m-%d') FROM stated WHERE state = 'undated'
+UNION ALL SELECT 4, 0, '', count(review_role) || ' of ' || count(*) || ' pages carry a review.' FROM stated""")
+def _(t):
+    return freshness_job(t)[2]
+
+
+@query("job_freshness_findings", f"""WITH {SQL}, baseline AS (
+  SELECT o_orderkey AS key, CAST(o_orderdate AS DATE) - CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS recorded
+  FROM orders WHERE NOT (o_orderstatus = 'P' AND o_totalprice > 250000))
+SELECT CAST(key AS VARCHAR) AS key, 'undeclared-class' AS kind, data_class AS detail FROM stated WHERE cadence IS NULL
+UNION ALL SELECT CAST(key AS VARCHAR), 'future-date', strftime(last_checked_at, '%Y-%m-%d') FROM stated WHERE age < 0
+UNION ALL SELECT CAST(p.key AS VARCHAR), CASE WHEN b.key IS NULL THEN 'not-in-baseline' ELSE 'advanced-unreviewed' END, strftime(p.last_checked_at, '%Y-%m-%d')
+FROM stated p LEFT JOIN baseline b ON b.key = p.key WHERE b.key IS NULL OR (p.last_checked_at > b.recorded AND p.review_role IS NULL)""")
 def _(t):
-    return stated(t).select("key", "data_class", "age", "state")
+    return freshness_job(t)[3]
 
 
 @query(

@@ -255,9 +255,7 @@ def _(t):
     e = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(
         F.when(F.max("l_discount") >= 0.1, "unsure").when(F.min("l_tax") > 0, "high").otherwise("needs-human").alias("c")
     )
-    j = t.orders.select(F.col("o_orderkey").alias("id")).join(e, "id", "left")
-    kind = F.when(F.col("c").isNull(), "no-extraction").when(~F.col("c").isin("high", "needs-human"), "unknown-confidence")
-    return j.select("id", kind.alias("kind")).where(F.col("kind").isNotNull())
+    return C.confidence_present(t.orders.select(F.col("o_orderkey").alias("id")), e, "id", "c")
 
 
 def requirements(t: Tables):
@@ -557,7 +555,7 @@ def _(t):
 
 
 @query("val_level_not_overclaimed", """
-SELECT o_orderkey AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1 HAVING bool_and(l_returnflag = 'R')""")
+SELECT o_orderkey AS k FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1 HAVING bool_and(coalesce(l_returnflag, 'R') = 'R')""")
 def _(t):
     v3 = t.orders.where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("k"))
     return V.overclaimed_levels(v3, t.lineitem.withColumn("k", F.col("l_orderkey")), ["k"], F.col("l_returnflag") != "R")
@@ -700,20 +698,12 @@ def _(t):
 SELECT lang, count(*) AS pages, count(DISTINCT source) AS manifests, count(*) FILTER (WHERE n_chars > 0) AS entries,
   count(l.doc_id) AS with_source_and_date FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY 1""")
 def _(t):
-    seen = t.labels.select("doc_id", F.lit(True).alias("seen")).distinct()
-    return t.documents.select("doc_id", "lang", "source", "n_chars").join(seen, "doc_id", "left").groupBy("lang").agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.countDistinct("source").alias("manifests"),
-        F.count_if(F.col("n_chars") > 0).alias("entries"),
-        F.count("seen").alias("with_source_and_date"),
-    )
+    return A.handover_counts(t.documents, t.labels, "doc_id", ["lang"], "source", F.col("n_chars") > 0)
 
 
 @query("agg_gap_states", "SELECT o_orderstatus AS state, o_orderpriority AS channel, count(*) AS gaps, strftime(max(o_orderdate), '%Y-%m-%d') AS last_checked FROM orders GROUP BY 1, 2")
 def _(t):
-    return t.orders.groupBy(F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("channel")).agg(
-        F.count(F.lit(1)).alias("gaps"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_checked")
-    )
+    return A.gap_states(t.orders, "o_orderstatus", "o_orderpriority", "o_orderdate")
 
 
 TERMS = ["the", "of", "le", "que", "der", "ring"]
@@ -738,14 +728,11 @@ SELECT c_custkey, 'balance' AS fact, c_acctbal >= 0 AS present FROM customer
 UNION ALL SELECT c_custkey, 'segment', c_mktsegment <> 'MACHINERY' FROM customer
 UNION ALL SELECT c_custkey, 'name', true FROM customer""")
 def _(t):
-    facts = t.customer.select(
-        "c_custkey",
-        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal").cast("string")).alias("balance"),
-        F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment")).alias("segment"),
-        F.col("c_name").alias("name"),
-    )
-    long = facts.unpivot(["c_custkey"], ["balance", "segment", "name"], "fact", "value")
-    return long.select("c_custkey", "fact", F.col("value").isNotNull().alias("present"))
+    return RC.present_missing(t.customer, ["c_custkey"], {
+        "balance": F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")),
+        "segment": F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment")),
+        "name": F.col("c_name"),
+    }).select("c_custkey", "fact", "present")
 
 
 @query("prj_hotline_ready", """

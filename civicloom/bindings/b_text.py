@@ -358,12 +358,8 @@ WHERE source = 'src7' AND k > 1 AND regexp_matches(item, '[\\p{L}\\p{N}]') AND N
 def _(t):
     # One source publishes only the first line of its records.
     page = F.when(F.col("source") == "src7", F.split_part("text", F.lit("\n"), F.lit(1))).otherwise(F.concat(F.lit("> "), "text"))
-    flat = t.documents.select("doc_id", T.squash(page).alias("flat"), F.split("text", "\n").alias("items"))
-    lost = F.filter(
-        F.transform("items", lambda x, i: F.struct((i + 1).alias("k"), x.alias("item"))),
-        lambda x: ~F.col("flat").contains(T.squash(x["item"])),
-    )
-    return flat.select("doc_id", F.inline(lost)).select("doc_id", "k", F.length("item").alias("chars"))
+    records = t.documents.withColumn("items", F.split("text", "\n"))
+    return P.unrendered_items(records, "doc_id", "items", page).select("doc_id", "k", F.length("item").alias("chars"))
 
 
 @query("txt_internal_leak", """

@@ -186,6 +186,7 @@ AUDIT = {
     "txt_list_numbers": ["l_orderkey", "l_partkey", "l_suppkey", "problem"],
     "txt_no_schedule": ["doc_id"],
     "txt_proper_names": ["phrase", "doc_id"],
+    "txt_rendered_all": ["doc_id", "k"],
     "txt_required_sections": ["doc_id", "section"],
     "txt_untranslated": ["doc_id", "line_no"],
     "txt_untranslated_terms": ["doc_id", "rule", "term"],

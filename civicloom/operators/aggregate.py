@@ -113,3 +113,22 @@ def share(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     return part.withColumn("whole", whole).select(
         *groups, F.format_number(F.col("part") * 100 / F.col("whole"), 1).alias("share")
     )
+
+
+def handover_counts(pages: DataFrame, cited: DataFrame, key: str, by: Sequence[str], manifest: str, has_entry: Column) -> DataFrame:
+    """by, pages, manifests, entries, with_source_and_date: what is handed over. cited: keys of pages
+    that carry a source and a check date, however often."""
+    seen = cited.select(key, F.lit(True).alias("_seen")).distinct()
+    return lookup_join(pages.withColumn("_entry", has_entry).select(key, *by, manifest, "_entry"), seen, [key], "left").groupBy(*by).agg(
+        F.count(F.lit(1)).alias("pages"),
+        F.countDistinct(manifest).alias("manifests"),
+        F.count_if("_entry").alias("entries"),
+        F.count("_seen").alias("with_source_and_date"),
+    )
+
+
+def gap_states(gaps: DataFrame, state: str, channel: str, checked: str) -> DataFrame:
+    """state, channel, gaps, last_checked: the gap register by where each gap stands."""
+    return gaps.groupBy(F.col(state).alias("state"), F.col(channel).alias("channel")).agg(
+        F.count(F.lit(1)).alias("gaps"), F.date_format(F.max(checked), "yyyy-MM-dd").alias("last_checked")
+    )

@@ -213,3 +213,11 @@ def hotlines(agencies: DataFrame, numbers: DataFrame, key: str) -> DataFrame:
         key, F.lit(None).cast("string").alias("number"), F.lit("not-obtained").alias("gap")
     )
     return listed.unionByName(silent)
+
+
+def confidence_present(services: DataFrame, extracted: DataFrame, key: str, confidence: str, levels: Sequence[str] = ("high", "needs-human")) -> DataFrame:
+    """key, kind of services that no extraction covers (`no-extraction`) or whose extraction
+    states no known level (`unknown-confidence`)."""
+    stated = extracted.select(key, F.col(confidence).alias("_level"), F.lit(True).alias("_any"))
+    kind = F.when(F.col("_any").isNull() | F.col("_level").isNull(), "no-extraction").when(~F.col("_level").isin(*levels), "unknown-confidence")
+    return services.select(key).join(stated, key, "left").select(key, kind.alias("kind")).where(F.col("kind").isNotNull())

@@ -311,6 +311,17 @@ def item_problems(items: DataFrame, keys: Sequence[str], item: str) -> DataFrame
     return items.select(*keys, F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("problem"))
 
 
+def unrendered_items(records: DataFrame, key: str, items: str, page: Column) -> DataFrame:
+    """key, k, item: items (an array of texts, k from 1) that the record's page doesn't show, both
+    sides without punctuation, space and case. An item without a letter or digit says nothing and is not asked for."""
+    flat = records.select(key, T.squash(page).alias("_flat"), F.col(items).alias("_items"))
+    lost = F.filter(
+        F.transform("_items", lambda x, i: F.struct((i + 1).alias("k"), x.alias("item"))),
+        lambda x: (T.squash(x["item"]) != "") & ~F.coalesce(F.col("_flat").contains(T.squash(x["item"])), F.lit(False)),
+    )
+    return flat.select(key, F.inline(lost))
+
+
 def shared_phrases(a: DataFrame, b: DataFrame, text: str, path: str, pattern: str, common: str) -> DataFrame:
     """path, phrase: phrases of corpus `a` (by pattern, without those holding a
     common word) that also occur in a document of `b`."""

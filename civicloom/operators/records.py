@@ -162,6 +162,14 @@ def not_stated(known: dict[str, Column]) -> Column:
     )
 
 
+def present_missing(df: DataFrame, keys: Sequence[str], facts: dict[str, Column]) -> DataFrame:
+    """keys, fact, value, present: one row per record and fact, in the order given; a blank
+    value is missing like a null one. facts: name -> value."""
+    said = [F.nullif(F.trim(v.cast("string")), F.lit("")) for v in facts.values()]
+    cells = F.array(*[F.struct(F.lit(n).alias("fact"), v.alias("value"), v.isNotNull().alias("present")) for n, v in zip(facts, said)])
+    return df.select(*keys, F.inline(cells))
+
+
 def place_or_null(col: Column) -> Column:
     return F.when(col.rlike(NOT_A_PLACE), F.lit(None).cast("string")).otherwise(col)
 

@@ -79,9 +79,10 @@ def uncited_absences(absent: DataFrame, attempts: DataFrame, keys: Sequence[str]
 
 
 def overclaimed_levels(claims: DataFrame, sources: DataFrame, keys: Sequence[str], retrievable: Column) -> DataFrame:
-    """keys of rows that claim a level their sources, none of them retrievable, do not bear out."""
+    """keys of rows that claim a level their sources, none of them retrievable, do not bear out;
+    a claim without any source is one of them."""
     borne = sources.groupBy(*keys).agg(F.max(retrievable).alias("_any"))
-    return claims.join(borne, list(keys)).where(~F.col("_any")).select(*keys)
+    return claims.join(borne, list(keys), "left").where(~F.coalesce("_any", F.lit(False))).select(*keys)
 
 
 def blank(c) -> Column:

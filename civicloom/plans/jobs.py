@@ -328,6 +328,51 @@ def job_harvest_run(
     return head, commits.load(rows.sparkSession, path, rows.schema)
 
 
+def job_freshness(
+    pages: DataFrame, classes: DataFrame, as_of: Column, key: str, manifest: str, path: str, run: str,
+    forced: list[str] | None = None, baseline: DataFrame | None = None, record_baseline: bool = False,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(header, rows, report lines, findings) of the published pages as of a day, rows and report committed as `run`.
+
+    pages: key, data_class, last_checked_at, review_role and the manifest each page stands in. findings (key, kind,
+    detail): classes nobody declared, dates in the future, and, against a baseline, dates that moved without a review.
+    With `record_baseline` the check dates become the next baseline."""
+    from civicloom.operators import freshness as FR
+    from civicloom.operators.skew import settle
+    from civicloom.sources import commits
+    from civicloom.sources.writers import baseline_frame
+
+    spark = pages.sparkSession
+    stated = settle(FR.states(pages, classes, as_of, forced))
+    late = F.col("state").isin("stale", "due")
+    measures = {
+        "manifests": F.countDistinct(manifest), "overdue": F.count_if(late), "undated": F.count_if(F.col("state") == "undated"),
+        "reviewed": F.count("review_role"), "undeclared": F.count_if(F.col("cadence").isNull()),
+    }
+    head = commits.commit(stated, f"{path}/pages", run, "replace", measures)
+    lines = FR.report(stated, classes, key)
+    none = F.lit("").alias("key")
+    day = F.date_format(as_of, "yyyy-MM-dd")
+    title = head.select(F.lit(0).alias("section"), F.lit(0).alias("rank"), none, F.format_string(
+        "Generated **%s**, against %d published pages in %d manifests.", day, F.col("row_count"), F.col("manifests")).alias("line"))
+    reviews = head.select(F.lit(4).alias("section"), F.lit(0).alias("rank"), none, F.format_string(
+        "%d of %d pages carry a review.", F.col("reviewed"), F.col("row_count")).alias("line"))
+    lines = title.unionByName(lines).unionByName(reviews)
+    commits.commit(lines, f"{path}/report", run)
+    rows = commits.load(spark, f"{path}/pages", stated.schema)
+
+    def found(df, kind, detail):
+        return df.select(F.col(key).cast("string").alias("key"), kind.alias("kind"), detail.cast("string").alias("detail"))
+
+    findings = found(FR.undeclared(rows), F.lit("undeclared-class"), F.col("data_class")).unionByName(
+        found(FR.future_dates(rows, key, ["last_checked_at"], as_of), F.lit("future-date"), F.col("value")))
+    if baseline is not None:
+        findings = findings.unionByName(found(FR.baseline_advance(rows, baseline, key), F.col("kind"), F.col("last_checked_at")))
+    if record_baseline:
+        commits.commit(baseline_frame(rows, key), f"{path}/baseline", run)
+    return head, rows, commits.load(spark, f"{path}/report", lines.schema), findings
+
+
 def job_audit(checks: dict[str, DataFrame]) -> DataFrame:
     """check, subject, detail: every check's findings in one violations table.
     A check contributes its first column as the subject and the others, joined,
