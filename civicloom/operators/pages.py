@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
 
 from civicloom.functions import text as T
 from civicloom.functions import urls
 from civicloom.operators import reconcile as R
-from civicloom.operators.skew import Measure, lookup_join, ordinal, prefix_scan
+from civicloom.operators.skew import Measure, lookup_join, ordinal, prefix_scan, settle
 
 # Patterns of the published corpus.
 NON_CONTENT = r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1>"
@@ -332,48 +329,39 @@ def shared_phrases(a: DataFrame, b: DataFrame, text: str, path: str, pattern: st
 
 # ---------------------------------------------------------------- containment of long strings
 
-GRAM, WINDOW = 12, 13
-LONG = GRAM + WINDOW - 1
+#: Characters of a block. A string of 2 * BLOCK - 1 characters holds a whole block wherever a text's blocks begin.
+BLOCK = 13
+LONG = 24
 
 
-@F.pandas_udf(ST.ArrayType(ST.LongType()))
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    """Smallest gram hash of every run of WINDOW grams. Two strings that share a
-    piece of at least LONG characters share one of these."""
-    powers = np.array([pow(1000003, GRAM - 1 - i, 1 << 64) for i in range(GRAM)], dtype=np.uint64)
-
-    def prints(text):
-        if text is None or len(text) < LONG:
-            return []
-        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            grams = np.zeros(len(points) - GRAM + 1, dtype=np.uint64)
-            for i in range(GRAM):
-                grams += points[i : len(points) - GRAM + 1 + i] * powers[i]
-            grams ^= grams >> np.uint64(29)
-            grams *= np.uint64(0xBF58476D1CE4E5B9)
-        windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-        return np.unique(windows.min(axis=1)).astype(np.int64).tolist()
-
-    return texts.map(prints)
+def _blocks(text: Column) -> Column:
+    """Hashes of the blocks of a text, one after the other; what is left at its end is none."""
+    return F.transform(F.regexp_extract_all(text, F.lit(f".{{{BLOCK}}}"), F.lit(0)), lambda b: F.xxhash64(b))
 
 
 def leaked(titles: DataFrame, title_id: str, title: str, docs: DataFrame, path: str, text: str) -> DataFrame:
     """title_id, path: titles of more than 24 letters and digits that a document
-    contains, both squashed. Pairs come only from shared fingerprints and are
-    then tested on the whole text."""
+    contains, both squashed.
+
+    A document is cut into blocks; where it contains a title, the title's own blocks from one of its first
+    BLOCK characters on are among them. Of each such row of blocks the one that fewest documents have is looked up.
+    Only (path, block) is shuffled at first, and a block that many documents share is split by its measured size.
+    Texts are fetched for the documents left, and tested whole."""
     t = titles.select(title_id, T.squash(F.col(title)).alias("_t")).where(F.length("_t") > LONG)
     d = docs.select(path, T.squash(F.col(text)).alias("_d"))
-    # One fingerprint of a title is enough to find it; the smallest is as good as any.
-    key = t.select(title_id, "_t", F.array_min(_fingerprints("_t")).alias("_f"))
-    hits = d.select(path, F.explode(_fingerprints("_d")).alias("_f"))
-    spread = F.pmod(F.xxhash64(path), F.lit(16)).cast("int")
-    pairs = hits.withColumn("_s", spread).join(
-        key.select(title_id, "_f", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_s")), ["_f", "_s"]
-    ).select(path, title_id).distinct()
-    return (
-        pairs.join(d, path).join(t, title_id).where(F.col("_d").contains(F.col("_t"))).select(title_id, path)
-    )
+    rows = F.array(*[F.struct(F.lit(i).alias("_row"), _blocks(F.substring("_t", i + 1, F.length("_t"))).alias("_all")) for i in range(BLOCK)])
+    own = t.select(title_id, F.xxhash64("_t").alias("_same"), F.inline(rows)).select(title_id, "_same", "_row", F.explode("_all").alias("_f"))
+    own = settle(own)
+    hits = d.where(F.length("_d") > LONG).select(path, F.explode(F.array_distinct(_blocks(F.col("_d")))).alias("_f"))
+    hits = settle(lookup_join(hits, own.select("_f").distinct(), ["_f"], "left_semi"))
+    known = lookup_join(own, hits.groupBy("_f").agg(F.count(F.lit(1)).alias("_n")), ["_f"], "left")
+    # a row with a block that no document has is in none
+    rarest = known.groupBy(title_id, "_same", "_row").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_f")).alias("_least"))
+    key = rarest.where(F.col("_least.n") > 0).select(title_id, F.col("_least._f").alias("_f")).distinct()
+    pairs = settle(lookup_join(hits, key, ["_f"], "inner").select(path, title_id).distinct())
+    asked = lookup_join(d, pairs.select(path).distinct(), [path], "left_semi")
+    tried = lookup_join(pairs, t, [title_id], "inner")
+    return tried.join(asked, path).where(F.col("_d").contains(F.col("_t"))).select(title_id, path)
 
 
 # ---------------------------------------------------------------- markdown
