@@ -7,6 +7,7 @@ handled on its own, and only the much smaller per-piece summaries meet.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -110,6 +111,8 @@ def prefix_scan(
             totals.append(_AGG[m.kind](m.expr).alias(m.name))
     pieces = W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     reduce = {"count": "sum"}
+    # Groups of one piece have nothing to carry: what is left is small wherever groups are.
+    carried = [F.col("_c_" + m.name) for m in measures]
     carry = (
         keyed.groupBy(*by, "_chunk")
         .agg(*totals)
@@ -118,6 +121,7 @@ def prefix_scan(
             "_chunk",
             *[_AGG[reduce.get(m.kind, m.kind)](F.col(m.name)).over(pieces).alias("_c_" + m.name) for m in measures],
         )
+        .where(functools.reduce(lambda a, b: a | b, [c.isNotNull() for c in carried]))
     )
     out = rows.join(carry, by + ["_chunk"], "left")
     for m in measures:

@@ -105,8 +105,8 @@ def job_enumerate(lines: DataFrame, doc: str, pos: str = "pos", text: str = "tex
     # A value may stand on the line below its label, but not in the next block.
     pair = F.concat_ws("\n", line, F.when(~F.col("below").rlike(SG.ANCHOR), F.col("below")))
 
-    # Most lines carry no label: one cheap test spares them the label patterns. A label may wrap onto the line below.
-    labelled = pair.rlike(r"(?im)^\s*(?:office\s+or\s+division|classification|who\s+may\s+avail)")
+    # Most lines carry no label: the first word of one spares them the label patterns, and the pair of lines, onto which a label may wrap.
+    labelled = line.rlike(r"(?i)^\s*(?:office|classification|who)\b")
     labels = {"_office": "Office or Division", "_class": "Classification", "_whom": "Who may avail"}
     block = block.withColumn("_label", labelled).withColumns(
         {c: F.when(F.col("_label"), T.inline_field(pair, label)) for c, label in labels.items()}
