@@ -67,15 +67,15 @@ h AS (SELECT count(*) AS row_count, count(*) FILTER (WHERE state IN ('stale', 'd
   count(review_role) AS reviewed, count(*) FILTER (WHERE cadence IS NULL) AS undeclared, count(DISTINCT data_class) AS manifests FROM stated)
 SELECT key, data_class, age, state, h.* FROM stated, h""")
 def _(t):
-    head, rows, _, _ = freshness_job(t)
+    head, rows, _, _ = freshness_job(t, report=False)
     counts = {c: head.select(c).scalar() for c in head.columns}
     return rows.select("key", "data_class", "age", "state").withColumns(counts)
 
 
-def freshness_job(t: Tables):
+def freshness_job(t: Tables, **options):
     path = f"{checkpoint_folder(t.spark)}/freshness-{uuid.uuid4().hex}"
     listed = pages(t).withColumn("manifest", F.col("data_class"))
-    return J.job_freshness(listed, classes(t), as_of(), "key", "manifest", path, "only", FORCED, baseline(t), True)
+    return J.job_freshness(listed, classes(t), as_of(), "key", "manifest", path, "only", FORCED, baseline(t), **options)
 
 
 @query("job_freshness_report", f"""WITH {SQL}, byc AS (SELECT c.name, c.cadence, count(s.key) AS pages,
@@ -88,7 +88,7 @@ UNION ALL SELECT 2, -age, CAST(key AS VARCHAR), '| `' || key || '` | `' || data_
 UNION ALL SELECT 3, 0, CAST(key AS VARCHAR), '- `' || key || '` — ' || strftime(last_checked_at, '%Y-%m-%d') FROM stated WHERE state = 'undated'
 UNION ALL SELECT 4, 0, '', count(review_role) || ' of ' || count(*) || ' pages carry a review.' FROM stated""")
 def _(t):
-    return freshness_job(t)[2]
+    return freshness_job(t, record_baseline=True)[2]
 
 
 @query("job_freshness_findings", f"""WITH {SQL}, baseline AS (
@@ -99,7 +99,7 @@ UNION ALL SELECT CAST(key AS VARCHAR), 'future-date', strftime(last_checked_at,
 UNION ALL SELECT CAST(p.key AS VARCHAR), CASE WHEN b.key IS NULL THEN 'not-in-baseline' ELSE 'advanced-unreviewed' END, strftime(p.last_checked_at, '%Y-%m-%d')
 FROM stated p LEFT JOIN baseline b ON b.key = p.key WHERE b.key IS NULL OR (p.last_checked_at > b.recorded AND p.review_role IS NULL)""")
 def _(t):
-    return freshness_job(t)[3]
+    return freshness_job(t, report=False)[3]
 
 
 @query(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicloom.functions import text as T
-from civicloom.operators.skew import lookup_join
+from civicloom.operators.skew import lookup_join, settle
 
 STEP_FIELDS = ["clientStep", "agencyAction", "fee", "processingTime", "personResponsible"]
 TOTAL_LABEL = r"(?i)^\s*TOTAL\b[\s:]*$|^\s*TOTAL\s*[:\-]"
@@ -249,6 +249,17 @@ def render(
     return out
 
 
+def in_locales(body: DataFrame, locales: Sequence[str]) -> DataFrame:
+    """A body rendered for one locale in all of them: only the blocks' titles differ."""
+    spread = body.withColumn("locale", F.explode(F.array(*[F.lit(x) for x in locales])))
+    title = F.lit(None).cast("string")
+    for loc in locales:
+        for block, name in ((2, "requirements"), (3, "steps")):
+            title = F.when((F.col("locale") == loc) & (F.col("block") == block), BLOCKS[loc][name]).otherwise(title)
+    first = F.col("block").isin(2, 3) & (F.col("line_no") == -3)
+    return spread.withColumn("line", F.when(first, title).otherwise(F.col("line")))
+
+
 def unpublished(source: DataFrame, body: DataFrame, key: str, line_id: str, text: str) -> DataFrame:
     """Source lines (key, line_id, is_total, text) with any token that their record's published
     lines lack. body: the rendered lines of one locale.
@@ -262,7 +273,7 @@ def unpublished(source: DataFrame, body: DataFrame, key: str, line_id: str, text
     )
     asked = source.withColumn("_at", F.when(F.col("is_total"), F.lit(-1).cast("long")).otherwise(F.col(line_id).cast("long")))
     met = asked.join(printed, [key, "_at", "is_total"], "left")
-    rest = met.where(~F.coalesce(F.col("_printed").contains(said(text)), F.lit(False))).select(key, line_id, text)
+    rest = settle(met.where(~F.coalesce(F.col("_printed").contains(said(text)), F.lit(False))).select(key, line_id, text))
     # the bodies of records that still have lines to look up
     return unrendered(rest, lookup_join(body, rest.select(key).distinct(), [key], "left_semi"), [key], line_id, text)
 

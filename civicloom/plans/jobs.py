@@ -79,10 +79,10 @@ def job_publish(
     )
     filed = lookup_join(parted, entries.select(key), [key], "left_semi")
     # Written once: the ledger reads what is published, not a second rendering.
-    body = settle(RC.render(entries, filed, [key], facts, locales))
+    body = settle(RC.render(entries, filed, [key], facts, locales[:1]))
     source = filed.select(key, "pos", (F.col("part") == "total").alias("is_total"), F.concat_ws(" ", *[F.col(f) for f in RC.STEP_FIELDS]).alias("text"))
-    ledger = RC.unpublished(source, body.where(F.col("locale") == locales[0]), key, "pos", "text")
-    return content, body, ledger
+    ledger = RC.unpublished(source, body, key, "pos", "text")
+    return content, RC.in_locales(body, locales), ledger
 
 
 def job_enumerate(lines: DataFrame, doc: str, pos: str = "pos", text: str = "text", chunk: int = 4096) -> DataFrame:
@@ -330,27 +330,27 @@ def job_harvest_run(
 
 def job_freshness(
     pages: DataFrame, classes: DataFrame, as_of: Column, key: str, manifest: str, path: str, run: str,
-    forced: list[str] | None = None, baseline: DataFrame | None = None, record_baseline: bool = False,
+    forced: list[str] | None = None, baseline: DataFrame | None = None, report: bool = True, record_baseline: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(header, rows, report lines, findings) of the published pages as of a day, rows and report committed as `run`.
+    """(header, rows, report lines, findings) of the published pages as of a day, the rows and with `report` the lines committed as `run`.
 
     pages: key, data_class, last_checked_at, review_role and the manifest each page stands in. findings (key, kind,
     detail): classes nobody declared, dates in the future, and, against a baseline, dates that moved without a review.
     With `record_baseline` the check dates become the next baseline."""
     from civicloom.operators import freshness as FR
-    from civicloom.operators.skew import settle
     from civicloom.sources import commits
     from civicloom.sources.writers import baseline_frame
 
     spark = pages.sparkSession
-    stated = settle(FR.states(pages, classes, as_of, forced))
+    stated = FR.states(pages, classes, as_of, forced)
     late = F.col("state").isin("stale", "due")
     measures = {
         "manifests": F.countDistinct(manifest), "overdue": F.count_if(late), "undated": F.count_if(F.col("state") == "undated"),
         "reviewed": F.count("review_role"), "undeclared": F.count_if(F.col("cadence").isNull()),
     }
     head = commits.commit(stated, f"{path}/pages", run, "replace", measures)
-    lines = FR.report(stated, classes, key)
+    rows = commits.load(spark, f"{path}/pages", stated.schema)
+    lines = FR.report(rows, classes, key)
     none = F.lit("").alias("key")
     day = F.date_format(as_of, "yyyy-MM-dd")
     title = head.select(F.lit(0).alias("section"), F.lit(0).alias("rank"), none, F.format_string(
@@ -358,8 +358,9 @@ def job_freshness(
     reviews = head.select(F.lit(4).alias("section"), F.lit(0).alias("rank"), none, F.format_string(
         "%d of %d pages carry a review.", F.col("reviewed"), F.col("row_count")).alias("line"))
     lines = title.unionByName(lines).unionByName(reviews)
-    commits.commit(lines, f"{path}/report", run)
-    rows = commits.load(spark, f"{path}/pages", stated.schema)
+    if report:
+        commits.commit(lines, f"{path}/report", run)
+        lines = commits.load(spark, f"{path}/report", lines.schema)
 
     def found(df, kind, detail):
         return df.select(F.col(key).cast("string").alias("key"), kind.alias("kind"), detail.cast("string").alias("detail"))
@@ -370,7 +371,7 @@ def job_freshness(
         findings = findings.unionByName(found(FR.baseline_advance(rows, baseline, key), F.col("kind"), F.col("last_checked_at")))
     if record_baseline:
         commits.commit(baseline_frame(rows, key), f"{path}/baseline", run)
-    return head, rows, commits.load(spark, f"{path}/report", lines.schema), findings
+    return head, rows, lines, findings
 
 
 def job_audit(checks: dict[str, DataFrame]) -> DataFrame:

@@ -85,7 +85,9 @@ def commit(df: DataFrame, path: str, run: str, kind: str = "replace", measures:
     spark = df.sparkSession
     done = commits(spark, path)
     staged = f"{path}/data/run={run}"
-    if not any(c.run == run for c in done):
+    shape = summary_of(df.limit(0), measures).schema
+    told = next((c.header for c in done if c.run == run), None)
+    if told is None:
         seen = Observation()
         writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("maxRecordsPerFile", 1_000_000)
         (writer.partitionBy(*by) if by else writer).parquet(staged)
@@ -95,8 +97,7 @@ def commit(df: DataFrame, path: str, run: str, kind: str = "replace", measures:
         stored = json.loads(head.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("h")).first()["h"])
         if stored["row_count"] != seen.get["n"] and stored["row_count"] != df.count():
             raise Incomplete(f"{staged} has {stored['row_count']} rows of {df.count()}")
-        record = [(len(done) + 1, run, kind, stored["row_count"], json.dumps(stored))]
+        told = json.dumps(stored)
+        record = [(len(done) + 1, run, kind, stored["row_count"], told)]
         spark.createDataFrame(record, RECORD).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/run={run}")
-    own = next(c for c in commits(spark, path) if c.run == run)
-    shape = summary_of(df.limit(0), measures).schema
-    return spark.createDataFrame([(own.header,)], "header string").select(F.from_json("header", shape).alias("h")).select("h.*")
+    return spark.createDataFrame([(told,)], "header string").select(F.from_json("header", shape).alias("h")).select("h.*")
