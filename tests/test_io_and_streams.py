@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,66 @@ def test_calendar_tells_only_what_changes(spark, tmp_path):
             assert feeds.Calendar.state_of(age, cadence, False) == want
 
 
+def test_calendar_works_on_whole_buckets():
+    """A call to the state store costs more than a page: their number must not grow with the pages of a bucket."""
+    calls = []
+
+    class Value:
+        row = None
+
+        def exists(self):
+            return self.row is not None
+
+        def get(self):
+            calls.append("get")
+            return self.row
+
+        def update(self, row):
+            calls.append("update")
+            self.row = row
+
+    class Handle:
+        timers = set()
+
+        def getValueState(self, name, schema):
+            return Value()
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            calls.append("timer")
+            self.timers.discard(at)
+
+    class Times:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    handle, times, calendar, pages = Handle(), Times(), feeds.Calendar(), 5000
+    calendar.init(handle)
+    rows = pd.DataFrame({"key": range(pages), "at": 1000, "checked": [1000 - k % 7 for k in range(pages)], "cadence": [None if k % 5 == 0 else 20 for k in range(pages)],
+                         "unconfirmed": [k % 2 == 0 for k in range(pages)], "forced": [k % 11 == 0 for k in range(pages)]})
+    said = pd.concat(calendar.handleInputRows((0,), iter([rows[:2000], rows[2000:]]), times))
+    log = {k: [(1, 1000, "stale" if k % 11 == 0 else "fresh")] if k % 5 else [] for k in range(pages)}
+    while handle.timers:
+        due = min(handle.timers)
+        times.now = due + 1
+        handle.timers.discard(due)
+        said = pd.concat([said, *calendar.handleExpiredTimer((0,), times, None)])
+    for k, told in log.items():
+        days = [(1000 - k % 7 + 19, "due"), (1000 - k % 7 + 21, "stale")] if k % 5 and k % 11 else []
+        days += [(1000 - k % 7 + 90, "expired")] if k % 2 == 0 else []
+        told += [(len(told) + i, *d) for i, d in enumerate(days, 1)]
+    assert {k: sorted(zip(g["n"], g["day"], g["state"])) for k, g in said.groupby("key")} == {k: v for k, v in log.items() if v}
+    assert len(calls) < 300  # 21 days on which anything happens
+
+
 def failing(df):
     """The same rows, but some task breaks while they are written."""
 
