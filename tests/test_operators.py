@@ -223,6 +223,26 @@ def test_merged_column_is_reported_not_spread(spark):
     assert [(r["band"], r["text"]) for r in fee] == [(2, "None")]
 
 
+def test_table_writes_no_line_on_its_way_to_cells(spark, monkeypatch):
+    """Columns are named from outlines; on a tall page a cell may reach into the next piece."""
+    lines, written = [], []
+    for page, top in ((1, 100), (2, L.TALL - 60)):
+        for i in range(4):
+            y = top + 40 * i
+            lines += [line(page, i, 40, y, 150, f"Go {i}"), line(page, i, 40, y + 12, 150, "and back"), line(page, 20 + i, 500, y, 560, f"PHP {i}.00")]
+    settle = L.settle
+    monkeypatch.setattr(L, "settle", lambda df: written.append(df.columns) or settle(df))
+    names, cells = L.table(spark.createDataFrame(lines, COLS))
+    assert written and not any("text" in cols for cols in written)
+    assert {(r["page"], r["col"]): (r["key"], r["via"]) for r in names.collect()} == {
+        (p, c): v for p in (1, 2) for c, v in enumerate([("clientStep", "position"), ("fee", "content")])
+    }
+    got = sorted((r["page"], r["key"], r["y0"], r["y1"], r["text"]) for r in cells.collect())
+    want = [(p, "clientStep", t + 40.0 * i, t + 40 * i + 22, f"Go {i} and back") for p, t in ((1, 100), (2, 1940)) for i in range(4)]
+    want += [(p, "fee", t + 40.0 * i, t + 40 * i + 10, f"PHP {i}.00") for p, t in ((1, 100), (2, 1940)) for i in range(4)]
+    assert got == sorted(want)
+
+
 def test_list_items_and_groups(spark):
     text = ["•", "PSA certificate (pres", "photocopies)", "1. Stub", "1.", "1. RSBSA", "-", "loose", "tail"]
     data = [("d", i, t, i * 12.0, i * 12.0 + 9, 0.0, 1 if i < 5 else 2) for i, t in enumerate(text)]
