@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from civicloom.operators import records as RC
+from civicloom.operators import segments as SG
 from civicloom.operators import skew
 from civicloom.plans import jobs as J
 
@@ -27,3 +28,18 @@ def test_published_records_are_filed_once(spark, monkeypatch):
     steps = body.where("block = 3 AND line_no >= 0").select("k", "line_no").collect()
     assert sorted(map(tuple, steps)) == [(1, 1), (1, 2)]
     assert ledger.count() == 0
+
+
+def test_telling_lines_name_the_services(spark):
+    """Anchors are the same whether every line is scanned or only those that tell something."""
+    texts = ["plain", "External", "Services", "7. Renew licence", "more", "Office or Division: A", "TOTAL: 5", "x",
+             "8. Behind a barrier", "TOTAL: 6", "Office or Division: B", "INTERNAL SERVICES", "9. Far", *["y"] * 20, "Office or Division: C"]
+    lines = spark.createDataFrame([("d", i * 3000, t) for i, t in enumerate(texts, 1)] + [("e", 1, "Office or Division")], "doc string, pos long, text string")
+    barrier = F.col("text").rlike(SG.TOTAL)
+    whole = SG.services(SG.annotate(lines, "doc", "pos", "text", 15000, barrier), "doc", "pos")
+    told = SG.telling(SG.flagged(lines, "doc", "pos", "text", barrier))
+    few = SG.services(SG.scanned(told, "doc", "pos", 15000), "doc", "pos")
+    assert told.count() < lines.count()
+    assert sorted(map(str, few.collect())) == sorted(map(str, whole.collect()))
+    assert {(r.doc, r.seg, r.number, r.section) for r in few.collect()} == {
+        ("d", 1, 7, "external"), ("d", 2, None, "internal"), ("d", 3, None, "internal"), ("e", 1, None, "unknown")}
