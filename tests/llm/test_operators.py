@@ -11,6 +11,7 @@ import pytest
 
 from civicloom.llm import automata, bpe, bwt, decontaminate, embedding_dedup, line_dedup, ngram_join, pii, quality, secrets
 from civicloom.llm.components import components
+from civicloom.operators import skew
 
 SCHEMA = "doc_id bigint, text string, row string, value int, key string"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -280,6 +281,42 @@ def test_ngram_join_odd_rows(spark):
     assert ngram_join.report(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_sketches_drop_no_link():
+    rng = np.random.default_rng(3)
+    linked = dropped = 0
+    for _ in range(2000):
+        n, more = int(rng.integers(1, 300)), int(rng.integers(1, 60))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: int(rng.integers(0, n + 1))], rng.integers(0, 1 << 63, more).astype(np.uint64)]))
+        both = ngram_join.sketches(ngram_join.mix(np.concatenate([x, y])), np.array([0, len(x), len(x) + len(y)]))
+        may = ngram_join.may_link(*[np.frombuffer(b, np.uint64) for b in both], 75)
+        if ngram_join.link(x, y, 75):
+            assert may
+            linked += 1
+        dropped += not may
+    assert linked > 100 and dropped > 1000
+
+
+def test_ngram_join_sends_whole_sets_of_likely_pairs_only(spark, monkeypatch):
+    rnd = random.Random(2)
+    text = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(n))
+    passage = text(40)
+    texts = [f"{passage} {text(60)}" for _ in range(12)] + [base := text(100), base + " more"]
+    sent, real = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *rest: sent.append(pairs.count()) or real(pairs, *rest))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.report(docs_of(spark, texts)).collect())
+    assert got == ngram_brute(texts)
+    # those with the passage share tokens, but only the last two texts are alike
+    assert sum(sent) == 1
+
+
+def test_ngram_join_leaves_one_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(skew, "checkpoint_folder", lambda spark: str(tmp_path))
+    got = ngram_join.report(docs_of(spark, chains(groups=1, size=12)))
+    assert len([p for p in tmp_path.iterdir() if p.is_dir()]) == 1
+    assert got.count() == 12
+
+
 def bytes_brute(texts, length):
     raw = [(t or "").encode() for t in texts]
     times = Counter(x[i : i + length] for x in raw for i in range(len(x) - length + 1))
