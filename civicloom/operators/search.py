@@ -98,12 +98,17 @@ def border(terms: Sequence[str]) -> tuple[str, str]:
     text that none does, one for a covered character to the right).
 
     A place is inside an occurrence when a term's first k characters stand before it
-    and the others after it, so overlapping and touching occurrences need no merging."""
+    and the others after it, so overlapping and touching occurrences need no merging. Such
+    a place is no border; any other has covered text to its right where an occurrence starts
+    and to its left where one ends. The rare start or end is looked for first."""
     spelled = [[T.folding_to(c) for c in t] for t in dict.fromkeys(terms)]
     inside = [f"(?<={''.join(t[:k])})(?={''.join(t[k:])})" for t in spelled for k in range(1, len(t))]
-    right = "(?:" + "|".join([f"(?={''.join(t)})" for t in spelled] + inside) + ")"
-    left = "(?:" + "|".join([f"(?<={''.join(t)})" for t in spelled] + inside) + ")"
-    return f"(?:{right}(?!{left})|{left}(?!{right}))", right
+    starts = [f"(?={''.join(t)})" for t in spelled]
+    ends = [f"(?<={''.join(t)})" for t in spelled]
+    any_ = lambda places: f"(?:{'|'.join(places)})"
+    within = f"(?!{any_(inside)})" if inside else ""
+    cut = f"(?:{any_(starts)}(?!{any_(ends)})|{any_(ends)}(?!{any_(starts)})){within}"
+    return cut, any_(starts + inside)
 
 
 def segments(text: Column, query: str | None) -> Column:

@@ -142,6 +142,18 @@ def test_highlight_segments(spark, text, query, want):
     assert "".join(t for t, _ in got) == text
 
 
+def test_folding_pattern_tries_one_range_for_plain_text(spark):
+    from civicloom.functions import text as T
+
+    alike = {"e", *T._folding_to()["e"]}
+    pattern = T.folding_to("e")
+    # what is beyond ASCII stands behind one range
+    assert pattern.count("&&") == 1 and sorted(c for c in alike if c.isascii()) == ["E", "e"]
+    some = sorted(alike | set("adf EFé ñ日") | {"\U0001f600"})
+    found = spark.createDataFrame([(c,) for c in some], "c string").where(F.col("c").rlike(f"^{pattern}$")).collect()
+    assert {r.c for r in found} == alike
+
+
 def test_highlight_keeps_null_and_stays_in_the_jvm(spark):
     df = spark.createDataFrame([(None,), ("aXbaab",), ("abab",)], "t string").select(S.segments(F.col("t"), "ab b").alias("s"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
