@@ -43,7 +43,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _UNSURE = np.zeros(256, dtype=bool)
 _UNSURE[:0x20], _UNSURE[0x80:] = True, True
 #: Texts encoded at a time, and distinct pieces whose ids a worker remembers.
-SLICE_ROWS, SLICE_BYTES, REMEMBERED = 4096, 2 << 20, 300_000
+SLICE_ROWS, SLICE_BYTES, REMEMBERED = 4096, 2 << 20, 150_000
 _loaded: dict = {}
 
 
@@ -310,7 +310,9 @@ def _groups(text: str, specials: list[str], leaf: int) -> Iterator[tuple[int, in
         yield piece, 0, "".join(group)
 
 
-def _encode_long(rows: DataFrame, path: str, leaf: int) -> DataFrame:
+def _encode_long(rows: DataFrame, path: str, leaf: int, then=iter, out: str = "doc_id bigint, ids array<int>") -> DataFrame:
+    """`then` is done with (doc_id, ids) where a text is put together: one Python step, not two in a row."""
+
     def split_up(batches):
         for b in (p for b in batches for p in slices(b, 1, SLICE_ROWS, SLICE_BYTES)):
             b = b.filter(pa.array(_is_long(b.column(1), leaf)))
@@ -335,11 +337,11 @@ def _encode_long(rows: DataFrame, path: str, leaf: int) -> DataFrame:
             if i + 1 == len(found) or found[i + 1]["piece"] != r["piece"]:
                 whole += tree(parts, lambda w: encode_text(w, path), lambda x: int(sizes[x])).ids
                 parts = []
-        return pa.Table.from_batches([batch(_IDS, [found[0]["key"]], [whole])])
+        return pa.Table.from_batches(then([batch(_IDS, [found[0]["key"]], [whole])]))
 
     parts = settle(rows.mapInArrow(freed(split_up), "key bigint, row bigint, piece int, leaf int, part string"))
     done = parts.repartition("row", "piece", "leaf").mapInArrow(freed(encode_leaves), "key bigint, row bigint, piece int, leaf int, part string, ids array<int>")
-    return done.groupBy("key", "row").applyInArrow(assemble, "doc_id bigint, ids array<int>")
+    return done.groupBy("key", "row").applyInArrow(assemble, out)
 
 
 def decode_column(ids: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -393,7 +395,7 @@ def _digest(path: str):
 def _in_one_pass(docs: DataFrame, path: str, key: str, text: str, leaf: int, then, out: str) -> DataFrame:
     rows, plain = docs.select(F.col(key), F.col(text)), _plain(path, leaf)
     short = rows.mapInArrow(freed(lambda batches: then(plain(batches))), out)
-    return short.unionByName(_encode_long(rows, path, leaf).mapInArrow(freed(then), out))
+    return short.unionByName(_encode_long(rows, path, leaf, then, out))
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:

@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from civicloom.llm import automata, bpe, bwt, decontaminate, embedding_dedup, line_dedup, ngram_join, pii, quality, secrets
 from civicloom.llm.components import components
 from civicloom.operators import skew
@@ -452,6 +454,20 @@ def test_line_dedup(spark):
     assert line_dedup.report(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_line_dedup_python_once(spark):
+    """A text is cut once, also where the outcome is filtered, and only where a line may go; no stage chains Python steps."""
+    odd = ["a\n\x1c\n\u3000 \n\x85\xa0\nb\u200b", "\n", "", None, " \r\n\u2028x\n\u180e", "\x0b\x0c", "\x00\n\ufeff"]
+    odd += ["".join(map(chr, [9, 10, *range(28, 33)])) + f"\n{chr(c)}\n" for c in (*range(0x2000, 0x2030), 0x205F, 0x1680, 0xA0, 0x85)]
+    found = line_dedup.dedup(docs_of(spark, [*odd, "one long line of text here, shared\nx", "one long line of text here, shared\ny"]))
+    found = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    steps = found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    assert steps == 3, steps
+    got = {r.whole.doc_id: r for r in found.collect()}
+    for i, text in enumerate(odd):
+        assert (got[i].n_lines, got[i].n_removed, got[i].text) == (sum(1 for x in (text or "").split("\n") if x.strip()), 0, text), text
+    assert (got[len(odd) + 1].n_removed, got[len(odd) + 1].text) == (1, "y")
+
+
 def test_line_dedup_other_holders(spark):
     """A block counts as a whole, whichever documents hold its lines first."""
     four = "short a\nshort b\nshort c\nshort d"
