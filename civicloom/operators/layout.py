@@ -7,6 +7,7 @@ fragments, content or position, and its lines are stitched into cells and rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -251,7 +252,9 @@ def row_bands(cell_rows: DataFrame, page: Sequence[str] = ("doc", "page")) -> tu
     spine = counts.groupBy(*page).agg(
         F.max_by("key", F.struct("n", (-place_of).alias("p"))).alias("_spine"), F.max("n").alias("_most")
     )
-    merged = lookup_join(counts, spine, page, "inner").where(
+    # The counts of a page meet in one window: joined with their own maximum, every cell would be counted twice.
+    named = functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in page])
+    merged = counts.where(named).withColumn("_most", F.max("n").over(W.partitionBy(*page))).where(
         (F.col("n") < F.col("_most")) & (F.col("key") != "clientStep")
     ).select(*page, "key")
     spined = lookup_join(cell_rows, spine, page, "inner").where(F.col("key") == F.col("_spine")).select(*page, "y0", "y1")

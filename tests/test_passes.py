@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from civicloom.operators import layout as L
 from civicloom.operators import records as RC
 from civicloom.operators import segments as SG
 from civicloom.operators import skew
@@ -12,6 +13,16 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_cells_of_a_page_are_counted_once(spark):
+    """Columns with fewer cells than the spine come from one count of the cells; a page without a name has none."""
+    rows = [("a", 1, "fee", 1.0), ("a", 1, "agencyAction", 1.0), ("a", 1, "agencyAction", 2.0), ("a", 2, "fee", 1.0), ("a", 2, "clientStep", 1.0), ("b", 1, None, 1.0)]
+    rows += [("b", 1, None, 2.0), ("b", 1, "fee", 1.0), ("b", 1, "clientStep", 1.0), (None, 1, "fee", 1.0), (None, 1, "agencyAction", 1.0), (None, 1, "agencyAction", 2.0)]
+    cells = spark.createDataFrame(rows, "doc string, page int, key string, y0 double").withColumn("y1", F.col("y0") + 1)
+    merged = L.row_bands(cells)[1]
+    assert "Join" not in plan(merged) and plan(merged).count("count(1)") == 1
+    assert sorted(map(tuple, merged.collect())) == [("a", 1, "fee"), ("b", 1, "fee")]
+
+
 def test_published_records_are_filed_once(spark, monkeypatch):
     """Filing is told in the pass that parts the lines; neither the body nor the ledger joins the entries' keys again."""
     none = F.lit(None).cast("string")
