@@ -111,6 +111,20 @@ def test_no_text_is_gathered_whole(spark):
     assert RQ.read(df.limit(0)).items.count() == 0
 
 
+def test_the_whole_text_of_a_place_counts(spark):
+    """A place of more lines than a piece has is read to its end, with an item and without one."""
+    n = 2 * RQ.PIECE + 100
+    long = lambda page, block, at, end: [("d", page, 600.0, block, 400.0, at + i, 500.0, at + i + 1.0, end if i == n - 1 else f"hall {i}") for i in range(n)]
+    item = lambda page, y1: ("d", page, 600.0, 0, 40.0, 10.0, 100.0, y1, "1. Valid ID")
+    blank = [("d", 3, 600.0, 1, 400.0, 10.0 + i, 500.0, 11.0 + i, "None" if i == 0 else " ") for i in range(n)]
+    # page 2 has two places beside one item; they differ in their last lines only
+    lines = [item(1, 2000.0), *long(1, 1, 20.0, "annex"), item(2, 4000.0), *long(2, 1, 20.0, "north"), *long(2, 2, 1500.0, "south"), item(3, 900.0), *blank]
+    got = RQ.read(spark.createDataFrame(lines, SCHEMA))
+    text = lambda end: " ".join([*(f"hall {i}" for i in range(n - 1)), end])
+    assert [r.place for r in got.items.orderBy("page").collect()] == [text("annex"), None, None]
+    assert sorted(r.place for r in got.unpaired.collect()) == [text("north"), text("south")]
+
+
 def test_fragment_keys(spark):
     df = spark.createDataFrame([("CLIENT STEPS",), ("AGENCY",), ("time",), ("TIME",), ("Fee",), (None,)], "t string")
     assert [r[0] for r in df.select(L.fragment_key(F.col("t"))).collect()] == ["clientStep", "agencyAction", None, "processingTime", None, None]
