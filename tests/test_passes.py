@@ -1,5 +1,7 @@
 """What a job reads or joins more than once."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from civicloom.operators import layout as L
@@ -54,3 +56,58 @@ def test_telling_lines_name_the_services(spark):
     assert sorted(map(str, few.collect())) == sorted(map(str, whole.collect()))
     assert {(r.doc, r.seg, r.number, r.section) for r in few.collect()} == {
         ("d", 1, 7, "external"), ("d", 2, None, "internal"), ("d", 3, None, "internal"), ("e", 1, None, "unknown")}
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_cells_of_a_low_page_meet_once(spark):
+    """Bands and rows of pages of one piece need one shuffle each, and are those of pages that are cut into pieces."""
+    rng = random.Random(5)
+    rows = []
+    for doc in ("a", "b", None):
+        for page, steps in ((1, 30), (2, 1), (3, 400)):
+            for i in range(steps):
+                keys = [k for k in ("clientStep", "fee", "column0", None) if rng.random() < 0.7]
+                rows += [(doc, page, k, i * 12.0 + rng.choice([0.0, 1.0]), i * 12.0 + 9, f"{k} {rng.randrange(9)}", page == 3) for k in keys]
+    marked = spark.createDataFrame(rows, "doc string, page int, key string, y0 double, y1 double, text string, is_tall boolean")
+    plain = marked.drop("is_tall")
+    found = {}
+    for df in (marked, plain, plain.withColumn("is_tall", F.lit(False))):
+        bands, merged = L.row_bands(df)
+        known = spark.createDataFrame(bands.collect(), bands.schema)
+        placed = L.rows(df, known)
+        needed = shuffles(L.row_bands(df)[0]), shuffles(placed)
+        found.setdefault("bands", []).append(sorted(map(str, bands.collect())))
+        found.setdefault("merged", []).append(sorted(map(str, merged.collect())))
+        found.setdefault("rows", []).append(sorted(map(str, placed.collect())))
+    assert all(each[0] == each[1] == each[2] and each[0] for each in found.values())
+    assert needed == (1, 1)
+
+
+def test_a_cell_of_several_lines(spark):
+    """The first line of a cell says where it begins, the lowest where it ends; texts join in reading order."""
+    rows = [("d", 1, "fee", 0, 40.0, 12.0, 30.0, "b"), ("d", 1, "fee", 0, 40.0, 10.0, 20.0, "a"), ("d", 1, "fee", 0, 50.0, 12.0, 22.0, "c"), ("d", 1, "fee", 0, 40.0, 90.0, 99.0, "z")]
+    for tall in (False, True):
+        df = spark.createDataFrame([(*r, tall) for r in rows], "doc string, page int, key string, block long, x0 double, y0 double, y1 double, text string, is_tall boolean")
+        got = sorted(tuple(r) for r in L.cells(df).select("cell", "y0", "y1", "text", "is_tall").collect())
+        assert got == [(1, 10.0, 30.0, "a b c", tall), (2, 90.0, 99.0, "z", tall)]
+
+
+def test_services_reach_over_pieces(spark):
+    """Lines get their service, and what is known of it, in one shuffle of the lines, however many pieces lie between its start and them."""
+    lines = spark.createDataFrame([(d, p, f"t{p}") for d in ("a", "b", None) for p in range(1, 40)], "doc string, pos long, text string")
+    found = spark.createDataFrame([("a", 3, "x"), ("a", 3, "x"), ("a", 20, "y"), ("a", 21, None), ("b", 39, "z"), (None, 1, "n")], "doc string, start long, name string")
+    got = SG.assign(lines, found, "doc", "pos", chunk=4, own=["name"])
+    assert got.columns == ["doc", "pos", "text", "service", "name"]
+    want = [("a", p, f"t{p}", *((1, "x") if p < 20 else (2, "y") if p == 20 else (3, None))) for p in range(3, 40)] + [("b", 39, "t39", 1, "z")]
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_scans_over_the_same_pieces_share_a_shuffle(spark):
+    lines = spark.createDataFrame([("d", i, f"{i % 3}. w" if i % 4 else "-") for i in range(30)], "doc string, pos long, text string").withColumn("_p", F.floor(F.col("pos") / 8))
+    scan = lambda piece: skew.prefix_scan(skew.following(lines, ["doc"], ["pos"], piece, {"after": "text"}), ["doc"], ["pos"], piece, [skew.Measure("n", "count", F.col("after"))])
+    once, twice = scan("_p"), scan(F.col("_p") + 0)
+    assert once.columns == twice.columns and sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
+    assert shuffles(once) < shuffles(twice)
