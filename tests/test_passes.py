@@ -1,5 +1,6 @@
 """What a job reads or joins more than once."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -111,3 +112,19 @@ def test_scans_over_the_same_pieces_share_a_shuffle(spark):
     once, twice = scan("_p"), scan(F.col("_p") + 0)
     assert once.columns == twice.columns and sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
     assert shuffles(once) < shuffles(twice)
+
+
+def test_an_audit_keeps_findings_alone(spark, monkeypatch):
+    """Tables that a check settles on its way are gone when the audit has its findings."""
+    from civicloom.bindings import b_zjobs as B
+
+    def check(spark, folder):
+        return skew.settle(skew.settle(spark.range(5).withColumnRenamed("id", "k")).where("k > 2"))
+
+    monkeypatch.setitem(B.QUERIES, "one_check", check)
+    monkeypatch.setattr(B, "AUDIT", {"one_check": ["k"]})
+    folder = skew.checkpoint_folder(spark)
+    before = set(os.listdir(folder))
+    found = B.QUERIES["job_audit"](spark, "no folder")
+    assert sorted(map(tuple, found.collect())) == [("one_check", "3", ""), ("one_check", "4", "")]
+    assert len(set(os.listdir(folder)) - before) == 1
